@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from festa.llm import exact_dedup, fingerprint, langid, mixing, packing, quality
+from festa.llm import exact_dedup, fingerprint, html_extract, langid, mixing, near_dedup, packing, quality
 from festa.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_entropy_mixing": op7_entropy_mixing,
+    "op8_order_minhash": op8_order_minhash,
+    "op9_html_extraction": op9_html_extraction,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
