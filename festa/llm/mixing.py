@@ -17,7 +17,7 @@ null is a source of its own; repeated rows are rounded one by one; an empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm.common import WHITE_SPACE, cut, text_of
@@ -30,8 +30,12 @@ BUCKET_ROWS = 20_000
 NEWTON_STEPS = 64
 
 
+def _size() -> Column:
+    return F.regexp_count(text_of(), F.lit(f"[^{WHITE_SPACE}]+")).cast("bigint")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(f"[^{WHITE_SPACE}]+")).cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", _size().alias("size"))
 
 
 def source_rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -54,7 +58,7 @@ def source_rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_cop
     return aimed.select("source", "source_size", "source_rows", "target", rate.alias("rate"))
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+def mix_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for rows of ``doc_id, source, size`` and any more."""
     rates = source_rates(sized, weights, max_copies).withColumnRenamed("source", "__source")
     rows = sized.join(rates, sized["source"].eqNullSafe(rates["__source"]))
@@ -77,9 +81,16 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
     closing = (F.col("__rank") == F.col("__close")["__rank"]) & (F.col("__left") < F.abs("__gap"))
     extra = F.coalesce(F.col("__extra") != closing, F.col("__extra")).cast("int")
     copies = F.least(F.col("__base") + extra, F.lit(max_copies)).cast("int")
-    return closed.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop(*[c for c in closed.columns if c.startswith("__")], "source_rows")
+    return closed.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__source", "__bucket", "__base", "__part", "__rank", "__sum", "__need", "__extra", "__gap", "__left", "__close", "source_rows")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every document."""
-    return mix(cut(sizes(docs))).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_rows(cut(sizes(docs))).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as its copies say, with its own columns."""
+    rows = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    taken = mix_rows(rows).filter("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")

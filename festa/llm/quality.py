@@ -124,7 +124,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    done = scored(docs, fit(docs, labels, rows), "__quality")
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, learn_from: DataFrame | None = None) -> DataFrame:
+    """The documents that are not rejected, with their own columns; labels belong to ``learn_from`` (``docs`` if none)."""
+    done = scored(docs, fit(docs if learn_from is None else learn_from, labels, rows), "__quality")
     return done.filter(F.col("__quality") >= 0.5).drop("__quality")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from festa.llm import exact_dedup, fingerprint, html_extract, langid, mixing, near_dedup, packing, quality
+from festa.llm import chat, exact_dedup, fingerprint, html_extract, langid, mixing, near_dedup, packing, quality, sharding
 from festa.llm.common import table
 
 
@@ -22,6 +22,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(chat.probe_conversation(spark))))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.read_back(sharding.shard_documents(table(spark, sf_dir, "documents")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_sharding": op5_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_entropy_mixing": op7_entropy_mixing,
     "op8_order_minhash": op8_order_minhash,
@@ -54,6 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": """
+        SELECT doc_id, lang, source, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
