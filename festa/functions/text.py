@@ -49,7 +49,7 @@ def phrases(words: tuple[str, ...]) -> Column:
 
 def hits(normalized: Column, words: tuple[str, ...]) -> Column:
     """The phrases that stand in the text between word ends, in the order of the list, repeats kept."""
-    return F.filter(phrases(words), lambda k: F.contains(padded(normalized), padded(k)))
+    return let(padded(normalized), lambda n: F.filter(phrases(words), lambda k: F.contains(n, padded(k))))
 
 
 def has_any(normalized: Column, words: tuple[str, ...]) -> Column:

@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``cut``, in as many partitions as its size asks for: what follows a wide shuffle may be small."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def learn_row() -> Column:
     """Rows that a model may learn from: crc32 of the id's text, modulo 3, is not 1 (a null id is never learnt from)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))

@@ -30,7 +30,7 @@ TOKENS = 2048
 END_ID = 0
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Capacities of a sequence. The last two never bind by default: a sequence of T tokens has at most T documents and T*T cost.
 CAPACITY = (float(TOKENS), float(TOKENS), float(TOKENS) ** 2)
 WEIGHTS = (1.0, 1e-3, 1e-3)

@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 
 #: Code points that are handled together, so that a batch's arrays stay within some tens of MB.
-BATCH_POINTS = 3_000_000
+BATCH_POINTS = 900_000
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
-from festa.operators import catalogue, classify, resolve
+from festa.operators import catalogue, classify, enrich, resolve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, view
-from festa.sources import html
+from festa.sources import feeds, html
 from festa.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +369,31 @@ def page_texts(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", html.article_text(F.col("html")).alias("text"))
 
 
+# feeds and links
+
+
+@query(f"SELECT link, title, published FROM ({ARTICLES}) WHERE published >= {D} - 45")
+def feed_items(spark, sf_dir):
+    a = articles(spark, sf_dir)
+    parts = ["<rss><channel><item><title>", "title", "</title><link>", "link", "</link><pubDate>", "published", "</pubDate></item></channel></rss>"]
+    content = F.concat(*[F.lit(x) if x.startswith("<") else F.col(x).cast("string") for x in parts])
+    documents = a.select(F.col("item_id").cast("string").alias("source_id"), content.alias("content"), F.lit(False).alias("is_search"))
+    return feeds.feed_items(documents, today()).filter("error is null").select("link", "title", "published")
+
+
+@query(f"SELECT item_id, link, false AS online FROM ({ARTICLES})")
+def news_links(spark, sf_dir):
+    wrapped = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("https://news.google.com/r?oc=5&url="), F.url_encode("link"))).otherwise(F.col("link"))
+    return articles(spark, sf_dir).select("item_id", html.news_link(wrapped).alias("n")).select("item_id", "n.link", "n.online")
+
+
+@query(f"""
+    SELECT id, status FROM (SELECT id, CASE WHEN start_date IS NULL OR {sql_any(n("name"), lexicon.NEGATIVE)} THEN 'not_event'
+        WHEN {sql_any(n("summary"), ("ha noi", "da nang"))} THEN 'out_of_scope' WHEN end_date < {D} - 3 THEN 'past' WHEN start_date > {D} + 75 THEN 'far' ELSE 'accept' END AS status FROM ({EVENTS}))""")
+def judged_events(spark, sf_dir):
+    return enrich.judged(view(spark, sf_dir, EVENTS), today()).select("id", "status")
+
+
 # streams
 
 
