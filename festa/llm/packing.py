@@ -184,7 +184,8 @@ def pack(pieces: DataFrame, capacity=CAPACITY, weights=WEIGHTS, score: str = "no
         bins, offsets = best_fit(group["length"].to_numpy(), capacity, weights, score)
         return group.assign(sequence_id=group["__group"].astype("int64") * 2**40 + bins, offset=offsets).drop(columns="__group")
 
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    # the row's number, fixed by the checkpoint, spreads repeated rows over all groups
+    dealt = rows.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(packed, f"{_PIECES}, sequence_id bigint, offset bigint")
 
 
