@@ -126,11 +126,11 @@ def summaries(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT doc_id, trim(regexp_replace(substring(text, 1, 120), '\\s+', ' ', 'g')) AS t FROM documents),
+    WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
     c AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\\s[-|–—]\\s') AND length(t) > 40 THEN regexp_replace(t, '\\s+[-|–—]\\s+[^-|–—]{2,40}$', '') ELSE t END AS t FROM t)
     SELECT doc_id, substring(trim(regexp_replace(t, '(?i)^(ảnh|video|clip|infographic|trực tiếp|photo)\\s*[:\\-]\\s*', ''), ' "''“”'), 1, 160) AS title FROM c""")
 def clean_titles(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text.clean_title(F.substring("text", 1, 120)).alias("title"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.clean_title(F.col("text")).alias("title"))
 
 
 @query(f"""
