@@ -23,6 +23,8 @@ SKETCH_SIZE = 128
 #: Documents that stand together in one bucket of ids, and the most buckets: their list is broadcast (24 bytes each).
 BUCKET_ROWS = 500
 MOST_BUCKETS = 65_536
+#: Ranges of ids, bounded by approximate quantiles, that are cut into the buckets.
+RANGES = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,6 +92,29 @@ def merged(parts: DataFrame, key: str, column: str = "sketch", k: int = SKETCH_S
     return least.groupBy(key).agg(F.sort_array(F.collect_list("__hash")).alias(column))
 
 
+def _buckets(rows: DataFrame) -> Column:
+    """A bucket number that falls as doc_id rises, last for a null id: ranges of about as many rows each, cut evenly.
+
+    Quantiles bound the ranges, so that ids far apart or close together make no bucket large.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    low, high, count, found = rows.select(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.percentile_approx("doc_id", shares, 10_000)).first()
+    low, high, found = low or 0, high or 0, found or []
+    ranges = max(1, min(RANGES, count // BUCKET_ROWS))
+    cuts = sorted({c for c in found[RANGES // ranges - 1 :: RANGES // ranges] if c < high})
+    starts, ends = [low, *(c + 1 for c in cuts)], [*cuts, high]
+    parts = max(1, min(MOST_BUCKETS, count // BUCKET_ROWS) // len(starts))
+    widths = [-(-(e - s + 1) // parts) for s, e in zip(starts, ends, strict=True)]
+    doubles = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
+
+    def place(r: Column) -> Column:
+        inside = F.floor((F.col("doc_id").cast("double") - F.get(doubles(starts), r)) / F.get(doubles(widths), r))
+        return F.lit(len(starts) * parts) - r * parts - F.greatest(F.lit(0), F.least(inside, F.lit(parts - 1))) - 1
+
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), let(at, place)), F.lit(len(starts) * parts)).cast("int")
+
+
 def with_next(docs: DataFrame, derive: dict[str, Column]) -> DataFrame:
     """doc_id, text, next_text; and each derived column (of the text) with that of the next document as ``next_...``.
 
@@ -97,10 +122,7 @@ def with_next(docs: DataFrame, derive: dict[str, Column]) -> DataFrame:
     first document of each bucket is also sent to the bucket before it, so one shuffle of the texts is enough.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    low, high, count = rows.select(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    buckets = max(1, min(MOST_BUCKETS, count // BUCKET_ROWS))
-    width = -(-((high or 0) - (low or 0) + 1) // buckets)
-    bucket = F.coalesce(F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width)), F.lit(buckets)).cast("int")
+    bucket = _buckets(rows)
     dealt = rows.withColumn("__bucket", bucket)
     firsts = dealt.groupBy("__bucket").agg(F.max("doc_id").alias("__first"))
     by_bucket = Window.orderBy("__bucket")

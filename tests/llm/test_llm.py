@@ -109,6 +109,17 @@ def test_fingerprints_against_brute_force(spark, odd_texts):
     assert fingerprint.fingerprints(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_next_document_among_uneven_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 4)
+    ids = sorted({*range(300), *range(5000, 9000, 40), -(2**62), 2**62, 2**62 + 1, 10**15})
+    docs = spark.createDataFrame([*((i, f"t{i}") for i in ids), (None, "none")], "doc_id bigint, text string")
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, {}).collect()}
+    order = [*reversed(ids), None]
+    assert got == {i: f"t{j}" if j is not None else "none" for i, j in zip(order, [*order[1:], order[0]], strict=True)}
+    sizes = docs.groupBy(fingerprint._buckets(docs)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 20 and sizes.count() > 50
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(4)
     texts = [prose(rng, 900) for _ in range(4)]
