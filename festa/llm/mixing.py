@@ -26,7 +26,7 @@ from festa.llm.common import WHITE_SPACE, cut, text_of
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 #: Documents that are rounded together; a larger source is dealt over several buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 NEWTON_STEPS = 64
 
 
