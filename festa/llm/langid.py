@@ -28,6 +28,8 @@ BITS = 17
 #: The most rows of one language, and the most languages, that one fit learns from.
 ROWS_PER_LANGUAGE = 1_500
 MOST_LANGUAGES = 200
+#: Parts of a language's ids that are ranked apart.
+SALTS = 256
 EPOCHS = 4
 #: Families of closely related languages, by language code.
 FAMILIES = {
@@ -183,7 +185,10 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     """A model from at most ``rows`` documents of each language among those that may be learnt from."""
     able = docs.filter(learn_row() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64("doc_id", F.lit("lang"))
-    ranked = able.select("doc_id", "lang", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    # the first rows of each salted part, then of those: no language's ids meet in one task
+    first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "doc_id"))
+    parts = able.select("doc_id", "lang", order.alias("h")).withColumn("r", first(F.pmod("h", F.lit(SALTS)))).filter(F.col("r") <= rows)
+    ranked = parts.withColumn("r", first())
     chosen = ranked.filter(F.col("r") <= rows).select("doc_id", F.col("lang").alias("chosen"), "h").dropDuplicates(["doc_id"])
     languages = sorted(r[0] for r in chosen.select("chosen").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
