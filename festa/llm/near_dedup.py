@@ -11,8 +11,9 @@ edits / longer length) must be 0.8 or more. Classes are the connected components
 
 Defined results: a class is named by its least doc_id; a null text counts as empty, texts without any sign
 are one class; texts under five words are one k-mer; rows with a null doc_id join the class of their text
-and name none; rows of one doc_id share a class; an empty table gives an empty result; further columns are
-ignored by ``classes`` and kept by ``deduplicate``.
+and name it by null only if none of its rows has an id; different texts under one doc_id are different nodes;
+of each class ``deduplicate`` keeps the row of least doc_id (null last), then of least SHA-256 of the text; an
+empty table gives an empty result; further columns are ignored by ``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm import words
@@ -138,8 +139,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return within(a, b, int((1 - least) * max(len(a), len(b)) + 1e-9))
 
 
+def _sha() -> Column:
+    return F.unhex(F.sha2(text_of().cast("binary"), 256))
+
+
+def _named_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _sha().alias("sha"), text_of().alias("text"))
+
+
 def _sketched(docs: DataFrame, sketches: int) -> DataFrame:
-    """doc_id, sequence (digest of the words), n words, keys."""
+    """doc_id, sha (of the text), sequence (digest of the words), n words, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,10 +157,9 @@ def _sketched(docs: DataFrame, sketches: int) -> DataFrame:
             keys = [order_min_hash(t, sketches).view(np.int64) if len(t) else np.empty(0, np.int64) for t in tokens]
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array([len(t) for t in tokens], pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sequence", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(digest, pa.binary()), pa.array([len(t) for t in tokens], pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sha", "sequence", "n", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, sequence binary, n int, keys array<bigint>")
+    return _named_texts(docs).mapInArrow(run, "doc_id bigint, sha binary, sequence binary, n int, keys array<bigint>")
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -213,16 +221,19 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs if labels is None else _labelled(pairs, labels).filter("mine <> its").drop("mine", "its")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id, class_size, n_words for every row."""
+def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataFrame:
+    """doc_id, sha, n, class_id, class_size, kept (the class's row that stays) for every row."""
     rows = cut(_sketched(docs, sketches))
-    nodes = sized(rows.groupBy("sequence").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), 10_000)
-    members = nodes.filter(F.col("node").isNotNull()).select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
+    nodes = rows.groupBy("sequence").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    nodes = sized(nodes.withColumn("node", F.xxhash64("sequence")), 10_000)
+    members = nodes.select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = sized(members.join(crowded, "key"), 200_000)  # only buckets where texts meet
     met = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text"))
-    tokens = sized(_tokens(texts.join(met, "node", "left_semi")).dropDuplicates(["node"]), 5_000)
+    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
+    texts = _named_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
+    tokens = sized(_tokens(texts).dropDuplicates(["node"]), 5_000)
     links = labels = None
     for turn in range(rounds):
         first = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
@@ -249,13 +260,21 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
     between = _labelled(links, labels).filter("mine <> its").select(F.col("mine").alias("a"), F.col("its").alias("b")).distinct()
     whole = components(between).withColumnRenamed("node", "label")
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(whole, "label", "left")
-    named = named.select("sequence", F.coalesce("component", "label").alias("class_id"), "copies")
-    sizes = named.groupBy(F.col("class_id").alias("__class")).agg(F.sum("copies").alias("class_size"))
-    named = named.join(sizes, F.col("class_id").eqNullSafe(F.col("__class"))).drop("__class", "copies")
-    return rows.join(named, "sequence").select("doc_id", "class_id", "class_size", F.col("n").alias("n_words"))
+    named = named.select("sequence", F.coalesce("component", "label").alias("class"), "row", "copies")
+    told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))
+    named = named.join(told, "class").select("sequence", "kept", "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))
+    return rows.join(named, "sequence").select("doc_id", "sha", "n", F.col("kept.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, class_id, class_size, n_words for every row."""
+    return _classed(docs, least, sketches, rounds).select("doc_id", "class_id", "class_size", F.col("n").alias("n_words"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all its columns."""
-    kept = classes(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, with all its columns."""
+    kept = _classed(docs, SIMILARITY, SKETCHES, ROUNDS).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("sha").alias("__kept_sha")).distinct()
+    own = docs.withColumn("__sha", _sha())
+    same = own["doc_id"].cast("bigint").eqNullSafe(kept["__keep"]) & (own["__sha"] == kept["__kept_sha"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")

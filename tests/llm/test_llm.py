@@ -369,6 +369,19 @@ def test_near_duplicates_against_brute_force(spark, odd_texts):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_own_ids(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 80) for _ in range(8)]
+    near = texts[0].replace(texts[0].split()[40], "changed", 1)
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (5, texts[5]), (None, texts[5]), (6, texts[6]), (None, texts[6] + " more"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in near_dedup.deduplicate(docs).collect()]
+    first = min((texts[0], near), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert sorted(kept, key=str) == sorted([(None, first), *rows[2:7], rows[8], rows[10]], key=str)
+    found = Counter((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(docs).collect())
+    assert found == Counter({(None, None, 2): 2, (None, None, 1): 3, (4, 4, 1): 2, (5, 5, 2): 1, (None, 5, 2): 1, (6, 6, 2): 1, (None, 6, 2): 1})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
