@@ -4,9 +4,11 @@ A text is its sequence of words (runs of letters and digits, lower case; of othe
 Texts with the same sequence are one node. A node's k-mers are runs of five words labelled by occurrence; each
 of several sketches takes the least of them under its own hash and retains their order in the text, so that
 texts agree on a sketch the more likely the nearer they are by edit distance. Nodes that agree on a sketch
-meet in a bucket. No bucket emits all its pairs: each member is compared with the bucket's leader, which
-is another pseudo-random member for every sketch; where a comparison fails, the members left over meet again
-under new leaders. A comparison aligns the two word sequences within a band: their edit similarity (1 -
+meet in a bucket. Each member is first compared with the bucket's leader, which is another pseudo-random
+member for every sketch; where a comparison fails, the members left over meet again under new leaders. Buckets
+that this leaves in several components are then gone through whole: members lie in chunks of one length band,
+chunks of near lengths meet, and every pair of two components is compared unless the counts of its words prove
+it too far apart. So no pair of a bucket stays neither linked nor compared. A comparison aligns the two word sequences within a band: their edit similarity (1 -
 edits / longer length) must be 0.8 or more. Classes are the connected components of the links found.
 
 Defined results: a class is named by its least doc_id; a null text counts as empty, texts without any sign
@@ -35,8 +37,10 @@ SIMILARITY = 0.8
 SKETCHES = 24
 #: Least k-mers that a sketch retains.
 RETAINED = 2
-#: Rounds of leaders; each takes up what the one before left over.
+#: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair.
 ROUNDS = 2
+#: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
+CHUNK, CHUNKS_PER_TASK, COUNTS = 64, 64, 128
 
 
 def token_arrays(texts: list[str]) -> list[np.ndarray]:
@@ -184,6 +188,74 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return pairs.join(tokens, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """node, n, counts: how many of its words fall into each of COUNTS classes, 255 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words_of = [np.frombuffer(x, "<u4") for x in batch.column("tokens").to_pylist()]
+            counts = [np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes() for x in words_of]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in words_of], pa.int32()), pa.array(counts, pa.binary())], ["node", "n", "counts"])
+
+    return tokens.mapInArrow(run, "node bigint, n int, counts binary")
+
+
+def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: int, least: float = SIMILARITY) -> np.ndarray:
+    """Whether texts may be similar to another, by word counts: an edit changes their sum of differences by two at most."""
+    longer = np.maximum(n, other_n)
+    near = np.flatnonzero(np.abs(n - other_n) <= np.floor((1 - least) * longer + 1e-9))
+    apart = np.abs(counts[near].astype(np.int16) - other.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(n), bool)
+    out[near[apart <= 2 * np.floor((1 - least) * longer[near] + 1e-9)]] = True
+    return out
+
+
+def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """The pairs (node, leader) of each bucket whose labels differ and which word counts do not tell apart."""
+    told = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    most = of_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("of"), F.count(F.lit(1)).alias("labels"))
+    # two members have met as leader and member
+    most = most.filter("labels > 1 and of > 2").select("key", F.col("most.label").alias("bulk_label"))
+    open_ = told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
+    open_ = sized(open_, 200_000)
+    counted = _counted(tokens.join(open_.select("node").distinct(), "node", "left_semi"))
+    # texts whose lengths differ by more than the threshold lets lie two bands apart or more
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-np.log(least)) + 1e-9).cast("int")
+    open_ = open_.join(counted, "node").withColumn("band", band)
+    dealt = open_.groupBy("key", "bulk", "band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    spread = dealt.groupBy("key").agg(F.ceil(F.sum("chunks") / CHUNKS_PER_TASK).cast("int").alias("salts"))
+    dealt = dealt.join(spread, "key")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    member = F.struct("node", "label", "n", "counts")
+    chunks = open_.join(dealt, ["key", "bulk", "band"]).groupBy("key", "bulk", "band", chunk.alias("chunk")).agg(F.first("salts").alias("salts"), F.collect_list(member).alias("members"))
+    chunks = sized(chunks, 5_000)
+    side = F.struct("bulk", "band", "chunk")
+    # a bucket of many chunks is dealt to several tasks by its left side
+    left = chunks.select("key", F.pmod(F.xxhash64("bulk", "band", "chunk"), F.col("salts")).cast("int").alias("salt"), side.alias("a"), F.col("members").alias("a_members"))
+    right = chunks.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), side.alias("b"), F.col("members").alias("b_members"))
+    meet = (F.col("a") <= F.col("b")) & ~(F.col("a.bulk") & F.col("b.bulk")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(members: pa.StructArray) -> tuple:
+            counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+            return *(members.field(f).to_numpy(zero_copy_only=False) for f in ("node", "label", "n")), counts
+
+        for batch in batches:
+            nodes, leaders = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(len(batch)):
+                node, label, n, counts = parts(batch.column("a_members")[i].values)
+                its_node, its_label, its_n, its_counts = parts(batch.column("b_members")[i].values)
+                for j in range(len(its_node)):
+                    other = np.flatnonzero(label != its_label[j])
+                    found = node[other[maybe_similar(counts[other], n[other], its_counts[j], its_n[j], least)]]
+                    nodes.append(np.maximum(found, its_node[j]))
+                    leaders.append(np.minimum(found, its_node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(leaders))], ["node", "leader"])
+
+    return left.join(right, ["key", "salt"]).filter(meet).select("a_members", "b_members").mapInArrow(run, "node bigint, leader bigint").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of the edges (a, b), by alternating large and small stars."""
     edges = sized(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), 200_000)
@@ -216,6 +288,15 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return told.withColumns({"mine": F.coalesce("mine", "node"), "its": F.coalesce("its", "leader")})
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after all links: what the labels have joined is one node for the components."""
+    between = _labelled(links, labels).filter("mine <> its").select(F.col("mine").alias("a"), F.col("its").alias("b")).distinct()
+    whole = components(between).withColumnRenamed("node", "label")
+    nodes = labels.select("node").unionByName(links.select("node")).unionByName(links.select(F.col("leader").alias("node"))).distinct()
+    told = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(whole, "label", "left")
+    return sized(told.select("node", F.coalesce("component", "label").alias("label")), 200_000)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs that are not known to be linked."""
     return pairs if labels is None else _labelled(pairs, labels).filter("mine <> its").drop("mine", "its")
@@ -234,7 +315,7 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     wanted = nodes.join(met, "node", "left_semi").select("node", F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
     texts = _named_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
     tokens = sized(_tokens(texts).dropDuplicates(["node"]), 5_000)
-    links = labels = None
+    everyone, links, labels = members, None, None
     for turn in range(rounds):
         first = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
         led = members.groupBy("key").agg(first.alias("l")).select("key", "l.leader", "l.leader_n")
@@ -256,11 +337,11 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
                 labels = _near_labels(links)
         if turn + 1 < rounds:
             members = _apart(pairs, labels).select("key", "node", "n")
-    # what the labels have joined is one node for the components
-    between = _labelled(links, labels).filter("mine <> its").select(F.col("mine").alias("a"), F.col("its").alias("b")).distinct()
-    whole = components(between).withColumnRenamed("node", "label")
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(whole, "label", "left")
-    named = named.select("sequence", F.coalesce("component", "label").alias("class"), "row", "copies")
+    labels = _relabelled(labels, links)
+    more = sized(_unlinked(everyone, labels, tokens, least), 20_000)
+    labels = _relabelled(labels, sized(_verified(more, tokens, least), 200_000))
+    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))
     named = named.join(told, "class").select("sequence", "kept", "class_size")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))

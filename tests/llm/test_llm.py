@@ -382,6 +382,51 @@ def test_near_duplicates_without_own_ids(spark):
     assert found == Counter({(None, None, 2): 2, (None, None, 1): 3, (4, 4, 1): 2, (5, 5, 2): 1, (None, 5, 2): 1, (6, 6, 2): 1, (None, 6, 2): 1})
 
 
+def brute_classes(texts):
+    tokens = near_dedup.token_arrays(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            n = max(len(tokens[i]), len(tokens[j]))
+            if root[i] != root[j] and abs(len(tokens[i]) - len(tokens[j])) <= 0.2 * n and near_dedup.similar(tokens[i], tokens[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
+    rng = random.Random(22)
+    monkeypatch.setattr(near_dedup, "CHUNK", 32, raising=False)
+    monkeypatch.setattr(near_dedup, "CHUNKS_PER_TASK", 4, raising=False)
+    vocab = [f"v{i}" for i in range(20_000)]
+    shared = prose(rng, 100, vocab)  # in every text, while the rest is its own
+    texts = [f"{shared} {prose(rng, rng.randrange(45, 60), vocab)}" for _ in range(300)]
+    for t in rng.sample(texts, 40):  # chains of near copies, whose ends are not near each other
+        for _ in range(2):
+            w = t.split()
+            for i in rng.sample(range(100, len(w)), len(w) // 6):
+                w[i] = rng.choice(vocab)
+            t = " ".join(w)
+            texts.append(t)
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    sketched = near_dedup._sketched  # every text has the one key 7
+    monkeypatch.setattr(near_dedup, "_sketched", lambda *a: sketched(*a).withColumn("keys", F.array(F.lit(7).cast("bigint"))))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs_of(spark, texts)).collect()}
+    want = brute_classes(texts)
+    assert len(set(want)) > 250 and got == dict(enumerate(want))
+
+
+def test_word_counts_never_part_similar_texts():
+    rng = random.Random(23)
+    for _ in range(300):
+        a = [rng.randrange(40) for _ in range(rng.randrange(1, 60))]
+        b = [rng.randrange(40) if rng.random() < 0.1 else x for x in a if rng.random() < 0.95] or [1]
+        x, y = np.array(a, "<u4"), np.array(b, "<u4")
+        counts = [np.bincount(t % near_dedup.COUNTS, minlength=near_dedup.COUNTS).astype(np.uint8) for t in (x, y)]
+        assert near_dedup.maybe_similar(counts[0][None], np.array([len(x)]), counts[1], len(y))[0] or not near_dedup.similar(x, y)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
