@@ -427,6 +427,29 @@ def test_word_counts_never_part_similar_texts():
         assert near_dedup.maybe_similar(counts[0][None], np.array([len(x)]), counts[1], len(y))[0] or not near_dedup.similar(x, y)
 
 
+def test_near_duplicates_at_the_threshold_and_in_short_texts(spark):
+    rng = random.Random(24)
+    vocab = [f"v{i}" for i in range(50_000)]
+    pairs = []
+    for kind in range(3):
+        for _ in range(200):
+            n = rng.randrange(5, 10) if kind == 2 else rng.randrange(100, 300)
+            w = prose(rng, n, vocab).split()
+            at = [[*range(4, n, 5)], rng.sample(range(n), int(rng.uniform(0.15, 0.2) * n)), [n // 2]][kind]
+            pairs.append((kind, " ".join(w), " ".join("new" + x if i in at else x for i, x in enumerate(w))))
+    pairs += [(2, "a1 b2 c3 d4 e5", "a1 b2 d4 e5"), (2, "f1 g2 h3 i4 j5 k6", "f1 g2 h3 new i4 j5 k6")]
+    texts = [t for _, *pair in pairs for t in pair]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs_of(spark, texts)).collect()}
+    tokens = near_dedup.token_arrays(texts)
+    of, found = Counter(), Counter()
+    for i, (kind, _, _) in enumerate(pairs):
+        if near_dedup.similar(tokens[2 * i], tokens[2 * i + 1]):
+            of[kind] += 1
+            found[kind] += got[2 * i] == got[2 * i + 1]
+    assert of[2] >= 200 and found[2] == of[2]
+    assert min(of[0], of[1]) >= 150 and found[0] >= 0.95 * of[0] and found[1] >= 0.98 * of[1]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
