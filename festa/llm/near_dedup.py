@@ -225,17 +225,31 @@ def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, "node bigint, n int, counts binary")
 
 
-def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: int, least: float = SIMILARITY) -> np.ndarray:
-    """Whether texts may be similar to another, by word counts: an edit changes their sum of differences by two at most."""
+def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: np.ndarray | int, least: float = SIMILARITY) -> np.ndarray:
+    """Whether texts may be similar to another (or each to its own other), by word counts: an edit changes their sum of differences by two at most."""
     longer = np.maximum(n, other_n)
     near = np.flatnonzero(np.abs(n - other_n) <= np.floor((1 - least) * longer + 1e-9))
-    apart = np.abs(counts[near].astype(np.int16) - other.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    apart = np.abs(counts[near].astype(np.int16) - np.broadcast_to(other, counts.shape)[near].astype(np.int16)).sum(axis=1, dtype=np.int64)
     out = np.zeros(len(n), bool)
     out[near[apart <= 2 * np.floor((1 - least) * longer[near] + 1e-9)]] = True
     return out
 
 
-def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+def _possible(pairs: DataFrame, counted: DataFrame, least: float) -> DataFrame:
+    """The pairs (node, leader) that word counts do not tell apart; texts needn't travel for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTS) for c in ("counts", "leader_counts"))
+            keep = maybe_similar(a, batch.column("n").to_numpy(), b, batch.column("leader_n").to_numpy(), least)
+            yield batch.select(["node", "leader"]).filter(pa.array(keep))
+
+    leaders = counted.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("counts").alias("leader_counts"))
+    told = pairs.join(counted, "node").join(leaders, "leader").select("node", "leader", "n", "leader_n", "counts", "leader_counts")
+    return told.mapInArrow(run, "node bigint, leader bigint")
+
+
+def _unlinked(members: DataFrame, labels: DataFrame, counted: DataFrame, least: float) -> DataFrame:
     """The pairs (node, leader) of each bucket whose labels differ and which word counts do not tell apart."""
     told = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
@@ -244,7 +258,6 @@ def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: f
     most = most.filter("labels > 1 and of > 2").select("key", F.col("most.label").alias("bulk_label"))
     open_ = told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
     open_ = sized(open_, 200_000)
-    counted = _counted(tokens.join(open_.select("node").distinct(), "node", "left_semi"))
     # texts whose lengths differ by more than the threshold lets lie two bands apart or more
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-np.log(least)) + 1e-9).cast("int")
     open_ = open_.join(counted, "node").withColumn("band", band)
@@ -340,6 +353,7 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     wanted = nodes.join(met, "node", "left_semi").select("node", F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
     texts = _named_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
     tokens = sized(_tokens(texts).dropDuplicates(["node"]), 5_000)
+    counted = sized(_counted(tokens), 50_000)
     everyone, links, labels = members, None, None
     for turn in range(rounds):
         first = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
@@ -356,14 +370,17 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
         else:
             parts = [agreed]
         for part in parts:
-            good = sized(_verified(_apart(part, labels).select("node", "leader"), tokens, least), 200_000)
+            asked = _apart(part, labels).select("node", "leader")
+            if labels is not None:
+                asked = _possible(asked, counted, least)  # most of what the first look has not linked is far apart
+            good = sized(_verified(asked, tokens, least), 200_000)
             links = good if links is None else links.unionByName(good)
             if turn + 1 < rounds or labels is None:
                 labels = _near_labels(links)
         if turn + 1 < rounds:
             members = _apart(pairs, labels).select("key", "node", "n")
     labels = _relabelled(labels, links)
-    more = sized(_unlinked(everyone, labels, tokens, least), 20_000)
+    more = sized(_unlinked(everyone, labels, counted, least), 20_000)
     labels = _relabelled(labels, sized(_verified(more, tokens, least), 200_000))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
