@@ -145,8 +145,8 @@ def groups(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
         is_history = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     rows = cut(digests(docs))
     split = F.coalesce(is_history, F.lit(False))
-    history, arrivals = cut(grouped(rows.filter(split))), grouped(rows.filter(~split))
-    shards = max(1, -(-history.count() // KEYS_PER_SHARD))
+    history, arrivals = cut(grouped(rows.filter(split))), cut(grouped(rows.filter(~split)))
+    shards = max(1, -(-max(history.count(), arrivals.count()) // KEYS_PER_SHARD))
     found = merge(build_index(history, shards), arrivals, shards)
     keep_id = (-F.col("keep_neg_id")).alias("keep_id")
     kept = (F.col("doc_id").eqNullSafe(-F.col("keep_neg_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept")

@@ -511,6 +511,14 @@ def test_exact_dedup_against_brute_force(spark, odd_texts):
     assert exact_dedup.groups(docs, F.lit(True)).filter("kept").count() == len(want)
 
 
+def test_exact_dedup_deals_arrivals_without_history(spark, monkeypatch):
+    shards, merge = [], exact_dedup.merge
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_SHARD", 10)
+    monkeypatch.setattr(exact_dedup, "merge", lambda i, a, n: shards.append(n) or merge(i, a, n))
+    rows = exact_dedup.groups(docs_of(spark, [*(f"text {i}" for i in range(95)), "text 1"]), F.lit(False)).collect()
+    assert shards == [10] and len(rows) == 96 and sum(r.kept for r in rows) == 95
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 2**63, (5000, 4)).astype(np.uint64)
     sizes, bits = exact_dedup.build_levels(keys)
