@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +19,13 @@ def text_of(column: str = "text") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's setting, or a local one where none is set (tests)."""
+    """The shared folder for cut lineage and stages, as the session's ``spark.checkpoint.dir`` or its context names it."""
     context = spark.sparkContext
-    found = context.getCheckpointDir()
-    if found:
-        return found
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="festa-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -50,3 +48,14 @@ def learn_row() -> Column:
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def row_key(doc_id: Column, text_digest: Column) -> Column:
+    """One key for a row's id (null differs from all) and the digest of its text."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_digest).cast("binary"), 256))
+
+
+def rows_of_keys(docs: DataFrame, own: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key ``own`` is among those of ``kept`` (one column), once each; texts move once, by key."""
+    keyed, keys = docs.withColumn("__key", own), kept.toDF("__key")
+    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

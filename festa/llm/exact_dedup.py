@@ -19,16 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from festa.llm.common import WHITE_SPACE, cut, text_of
+from festa.llm.common import WHITE_SPACE, cut, row_key, rows_of_keys, text_of
 
 #: Digests in one index shard: about 60 bytes each, so that a shard is a few MB in one task.
 KEYS_PER_SHARD = 50_000
 #: Bits of a level for each key that reaches it.
 GAMMA = 2
 
-_BEST = "struct<n_chars:bigint,neg_id:bigint>"
-_INDEX = "shard bigint, n_keys bigint, level_sizes array<bigint>, bits binary, digests binary, n_chars array<bigint>, neg_ids array<bigint>, counts array<bigint>"
-_GROUPS = "digest binary, keep_chars bigint, keep_neg_id bigint, group_size bigint"
+_INDEX = "shard bigint, n_keys bigint, level_sizes array<bigint>, bits binary, digests binary, n_chars array<bigint>, has_ids array<boolean>, turned_ids array<bigint>, counts array<bigint>"
+_GROUPS = "digest binary, keep_chars bigint, keep_has_id boolean, keep_turned_id bigint, group_size bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -47,8 +46,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame) -> DataFrame:
     """One row per digest: the best row (most code points, then smallest id) and the number of rows."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("digest", F.col("best.n_chars").alias("n_chars"), F.col("best.neg_id").alias("neg_id"), "n")
+    # all bits turned, the least id is the greatest number, and no id overflows
+    turned = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit(0)).alias("turned_id")
+    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), turned))
+    return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "best.*", "n")
 
 
 def _positions(words: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -94,8 +95,8 @@ def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
     sizes, bits = build_levels(keys)
     order = np.argsort(slots_of(keys, sizes, bits))
     take = lambda c: rows[c].to_numpy()[order].tolist()
-    ids = [None if pd.isna(x) else int(x) for x in take("neg_id")]
-    return pd.DataFrame([[int(rows["shard"].iloc[0]), len(rows), sizes, np.packbits(bits).tobytes(), b"".join(take("digest")), take("n_chars"), ids, take("n")]], columns=["shard", "n_keys", "level_sizes", "bits", "digests", "n_chars", "neg_ids", "counts"])
+    found = [int(rows["shard"].iloc[0]), len(rows), sizes, np.packbits(bits).tobytes(), b"".join(take("digest")), *map(take, ("n_chars", "has_id", "turned_id", "n"))]
+    return pd.DataFrame([found], columns=["shard", "n_keys", "level_sizes", "bits", "digests", "n_chars", "has_ids", "turned_ids", "counts"])
 
 
 def _with_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -109,9 +110,7 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 
 def _look_up(index: pd.DataFrame, arrivals: pd.DataFrame) -> pd.DataFrame:
     """Groups of one shard after the arrivals: each slot's group, and a group for each nonmember."""
-    best = lambda a, b: max(a, b, key=lambda x: (x[0], -(2**63) if x[1] is None else x[1]))
-    number = lambda x: None if pd.isna(x) else int(x)
-    out: list[list] = []
+    out: list[tuple] = []
     slot = np.full(len(arrivals), -1, np.int64)
     if len(index):
         row = index.iloc[0]
@@ -122,16 +121,14 @@ def _look_up(index: pd.DataFrame, arrivals: pd.DataFrame) -> pd.DataFrame:
             keys = _words(arrivals["digest"])
             slot = slots_of(keys, sizes, bits)
             slot[(slot >= 0) & (stored[np.maximum(slot, 0)] != keys).any(axis=1)] = -1
-        out = [[stored[i].tobytes(), int(c), number(d), int(e)] for i, (c, d, e) in enumerate(zip(row["n_chars"], row["neg_ids"], row["counts"], strict=True))]
-    for s, digest, chars, neg_id, n in zip(slot.tolist(), arrivals["digest"], arrivals["n_chars"], arrivals["neg_id"], arrivals["n"], strict=True):
+        held = (row[c].tolist() for c in ("n_chars", "has_ids", "turned_ids", "counts"))
+        out = [(stored[i].tobytes(), *group) for i, group in enumerate(zip(*held, strict=True))]
+    for s, new in zip(slot.tolist(), zip(*(arrivals[c].tolist() for c in ("digest", "n_chars", "has_id", "turned_id", "n")), strict=True), strict=True):
         if s < 0:
-            out.append([digest, int(chars), number(neg_id), int(n)])
+            out.append(new)
         else:
-            g = out[s]
-            chars_id = best((g[1], g[2]), (int(chars), number(neg_id)))
-            out[s] = [g[0], *chars_id, g[3] + int(n)]
-    frame = pd.DataFrame(out, columns=["digest", "keep_chars", "keep_neg_id", "group_size"])
-    return frame.astype({"keep_neg_id": "Int64"})
+            out[s] = (new[0], *max(out[s][1:4], new[1:4]), out[s][4] + new[4])
+    return pd.DataFrame(out, columns=["digest", "keep_chars", "keep_has_id", "keep_turned_id", "group_size"])
 
 
 def merge(index: DataFrame, arrivals: DataFrame, shards: int) -> DataFrame:
@@ -148,14 +145,13 @@ def groups(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
     history, arrivals = cut(grouped(rows.filter(split))), cut(grouped(rows.filter(~split)))
     shards = max(1, -(-max(history.count(), arrivals.count()) // KEYS_PER_SHARD))
     found = merge(build_index(history, shards), arrivals, shards)
-    keep_id = (-F.col("keep_neg_id")).alias("keep_id")
-    kept = (F.col("doc_id").eqNullSafe(-F.col("keep_neg_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept")
-    return rows.join(found, "digest").select("doc_id", keep_id, "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+    keep_id = F.when(F.col("keep_has_id"), F.bitwise_not(F.col("keep_turned_id")))
+    kept = (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept")
+    return rows.join(found, "digest").select("doc_id", keep_id.alias("keep_id"), "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns, once each."""
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("n_chars").alias("__n"), F.col("text_sha256").alias("__sha")).distinct()
-    own = docs.withColumn("__sha", F.sha2(normalised(text_of()).cast("binary"), 256))
-    same = own["doc_id"].cast("bigint").eqNullSafe(kept["__keep"]) & (own["__sha"] == kept["__sha"]) & (F.char_length(text_of()) == kept["__n"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    key = lambda sha, n: row_key(F.col("doc_id").cast("bigint"), F.concat_ws(":", sha, n.cast("string")))
+    kept = groups(docs).filter("kept").select(key(F.col("text_sha256"), F.col("n_chars")))
+    return rows_of_keys(docs, key(F.sha2(normalised(text_of()).cast("binary"), 256), F.char_length(text_of())), kept)

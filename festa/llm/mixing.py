@@ -1,18 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each source s has a token constraint: the words taken from it shall be its target. Among all document
-rates, those nearest to 1 in relative entropy (each word counting alike) are exponentially tilted, rate =
-exp(lambda_s), where lambda solves the convex dual. The dual's gradient and Hessian are sums over
-documents; they are gathered once in a distributed aggregation and the damped Newton steps run on all
-sources in parallel. Rates are then rounded into whole copies: floor(rate) for every document and one more
-for a pseudo-random subset whose words add up to the remainder; a closing document takes up the last gap.
-Rounding works in buckets of bounded size, so that a source of any size is split over many tasks.
+Each source s has a token constraint: the words taken from it shall be its target. Among all document rates up to
+``max_copies``, those nearest to 1 in relative entropy are exponentially tilted: rate = exp(lambda_s * size), with the
+document's own words in the exponent. lambda solves the convex dual by Newton iterations, kept inside a bracket: each
+step gathers the dual's gradient and curvature for all sources in one distributed aggregation. Documents of one source
+and size have one rate, so the sums run over (source, size, count), which is exact and far smaller than the documents.
+
+Rates are rounded into whole copies: floor(rate) for every document and one more for some, by sequential Poisson
+sampling: in the order of a pseudo-random number over the fraction that is left, until the words add up; a closing
+document takes up the last gap. This works in buckets of about BUCKET_ROWS documents, so that a source of any size is
+split over many tasks, and yields one short plan row a bucket, from which every document knows its copies: whole rows
+never move.
 
 Targets: sources rank by code point (null last), weigh 1, 2, 3 repeating, and share all words by weight;
 a target stops at ``max_copies`` times its source's words, the excess is shared out again by weight.
 
-Defined results: a null or empty text has size 0 and gives 0 words; a source without words has target 0;
-null is a source of its own; repeated rows are rounded one by one; an empty table gives an empty result.
+Defined results: a null or empty text has size 0, one copy and gives 0 words; a source without words has target 0;
+null is a source of its own; rows that repeat both id and text are rounded alike, all or none of them; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,76 +26,136 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm.common import WHITE_SPACE, cut, text_of
+from festa.llm.common import sized as packed
 
 #: The weights that the ranked sources repeat.
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
-#: Documents that are rounded together; a larger source is dealt over several buckets.
-BUCKET_ROWS = 2_000
-NEWTON_STEPS = 64
+#: Documents that are rounded together, at least, and the most buckets that the plan has besides one a source.
+BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
+#: The dual is solved when every source's words are this near their target, and given up after so many steps.
+NEAR, NEWTON_STEPS = 1e-6, 80
 
 
 def _size() -> Column:
     return F.regexp_count(text_of(), F.lit(f"[^{WHITE_SPACE}]+")).cast("bigint")
 
 
+def _mark() -> Column:
+    return F.xxhash64(text_of())
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", _size().alias("size"))
-
-
-def source_rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, rows, target, rate: one row per source."""
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    ranked = stats.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") - 1) % len(weights) + 1))
-    capped = weighed.withColumn("cap", F.col("source_size") * float(max_copies))
-    # The level of words per weight at which all words are shared: sources reach their caps in the order of cap / weight.
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = F.max("level").over(Window.partitionBy())
-    aimed = capped.withColumn("level", (total - before) / rest).withColumn("target", F.least("cap", F.col("weight") * level))
-    # Dual of one source: S exp(x) - T x. Newton's step is (T - S exp(x)) / (S exp(x)), held within one unit.
-    step = lambda x, _: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("target") / (F.col("source_size") * F.exp(x)) - 1))
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.lit(float(max_copies)), F.exp(tilt))).otherwise(0.0)
-    return aimed.select("source", "source_size", "source_rows", "target", rate.alias("rate"))
-
-
-def mix_rows(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for rows of ``doc_id, source, size`` and any more."""
-    rates = source_rates(sized, weights, max_copies).withColumnRenamed("source", "__source")
-    rows = sized.join(rates, sized["source"].eqNullSafe(rates["__source"]))
-    buckets = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))
-    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), buckets)).withColumn("__base", F.least(F.floor(F.col("rate") + 1e-9), F.lit(max_copies)))
-    dealt = dealt.withColumn("__part", F.greatest(F.col("rate") - F.col("__base"), F.lit(0.0)))
-    group = Window.partitionBy("__source", "__bucket")
-    order = group.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        dealt.withColumn("__rank", F.row_number().over(order))
-        .withColumn("__sum", F.sum("size").over(run))
-        .withColumn("__need", F.col("__part") * F.sum("size").over(group))
-        .withColumn("__extra", (F.col("__part") > 0) & (F.col("__sum") - F.col("size") / 2 <= F.col("__need")))
-    )
-    gap = F.col("__need") - F.sum(F.when(F.col("__extra"), F.col("size")).otherwise(0)).over(group)
-    change = F.when(F.col("__extra"), -F.col("size")).otherwise(F.col("size"))
-    left = F.when(F.col("__part") > 0, F.abs(F.col("__gap") - change))
-    closed = picked.withColumn("__gap", gap).withColumn("__left", left).withColumn("__close", F.min(F.struct(F.coalesce("__left", F.lit(float("inf"))), "__rank")).over(group))
-    closing = (F.col("__rank") == F.col("__close")["__rank"]) & (F.col("__left") < F.abs("__gap"))
-    extra = F.coalesce(F.col("__extra") != closing, F.col("__extra")).cast("int")
-    copies = F.least(F.col("__base") + extra, F.lit(max_copies)).cast("int")
-    return closed.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__source", "__bucket", "__base", "__part", "__rank", "__sum", "__need", "__extra", "__gap", "__left", "__close", "source_rows")
+    return docs.select("doc_id", "source", _size().alias("size"), _mark().alias("mark"))
+
+
+def _ranked(stats: DataFrame) -> DataFrame:
+    """``stats`` with the rank of each source, from ranges of sources: no task sorts all of them."""
+    ranges = cut(stats.repartitionByRange(F.col("source").asc_nulls_last())).withColumn("part", F.spark_partition_id())
+    counts = {r["part"]: r["count"] for r in ranges.groupBy("part").count().collect()}  # one row a partition
+    before = [sum(n for q, n in counts.items() if q < p) for p in range(max(counts, default=0) + 1)]
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.withColumn("rank", F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1) + inside).drop("part")
+
+
+def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """source, source_size, source_rows, target from (source, size, n)."""
+    stats = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    weighed = cut(_ranked(stats).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_copies)))
+    level, capped = 0.0, None
+    while True:  # each round lifts the level and caps all sources that it reaches; ends when no more are
+        full = F.col("weight") * level >= F.col("cap")
+        total, held, free, now = weighed.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        if now == capped or not free:
+            break
+        level, capped = ((total or 0) - (held or 0.0)) / free, now
+    return weighed.select("source", "source_size", "source_rows", F.least("cap", F.col("weight") * level).alias("target"))
+
+
+def _tilt(max_copies: int) -> Column:
+    """A document's rate; ``tilt`` is null where every document is taken as often as may be."""
+    grown = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))
+    return F.when(F.col("size") == 0, 1.0).when(F.col("tilt").isNull(), float(max_copies)).otherwise(F.least(F.lit(float(max_copies)), grown))
+
+
+def source_tilts(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """source, source_size, source_rows, target, scale, tilt: one row per source. Rates are exp(tilt * size / scale)."""
+    aimed = targets(histogram, weights, max_copies)
+    most = F.col("target") >= F.col("source_size") * (max_copies * (1 - NEAR))
+    none = F.lit(None).cast("double")
+    state = cut(aimed.withColumns({"scale": F.greatest(F.col("source_size") / F.col("source_rows"), F.lit(1.0)), "tilt": F.when(~most, 0.0), "low": none, "high": none, "open": ~most}))
+    for _ in range(NEWTON_STEPS):
+        if not state.filter("open").limit(1).count():
+            break
+        told = histogram.join(state.filter("open").select(F.col("source").alias("its"), "tilt", "scale"), F.col("source").eqNullSafe(F.col("its")))
+        words = F.col("n") * F.col("size") * _tilt(max_copies)
+        bends = F.when(_tilt(max_copies) < max_copies, words * F.col("size") / F.col("scale")).otherwise(0.0)
+        sums = told.groupBy("its").agg(F.sum(words).alias("words"), F.sum(bends).alias("bend"))
+        state = cut(_stepped(state.join(sums, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")))
+    return state.drop("low", "high", "open")
+
+
+def _stepped(state: DataFrame) -> DataFrame:
+    """One Newton step for every open source; halves the bracket instead where Newton would leave it."""
+    tilt, gap, reach = F.col("tilt"), F.col("target") - F.col("words"), 2 * F.greatest(F.abs("tilt"), F.lit(1.0))
+    still = F.col("open") & (F.abs("gap") > F.greatest(F.col("target") * NEAR, F.lit(1e-9)))
+    low, high = F.when(F.col("gap") > 0, tilt).otherwise(F.col("low")), F.when(F.col("gap") < 0, tilt).otherwise(F.col("high"))
+    step = tilt + F.greatest(-reach, F.least(reach, F.when(F.col("bend") > 0, F.col("gap") / F.col("bend")).otherwise(F.signum("gap") * reach)))
+    inside = ((F.col("low").isNull()) | (F.col("newton") > F.col("low"))) & ((F.col("high").isNull()) | (F.col("newton") < F.col("high")))
+    moved = state.withColumn("gap", gap).withColumn("open", F.coalesce(still, F.lit(False))).withColumns({"low": low, "high": high}).withColumn("newton", step)
+    tilted = F.when(F.col("open"), F.when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)).otherwise(tilt)
+    return moved.withColumn("tilt", tilted).drop("gap", "newton", "words", "bend")
+
+
+def _dealt(rows: DataFrame, tilts: DataFrame, max_copies: int) -> DataFrame:
+    """``rows`` with size, mark and their source's figures: base copies, the fraction left, bucket and place in it."""
+    told = rows.join(tilts.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    rate = _tilt(max_copies)
+    told = told.withColumn("__base", F.floor(rate + 1e-9)).withColumn("__part", F.greatest(rate - F.col("__base"), F.lit(0.0)))
+    chance = F.xxhash64("doc_id", "mark", F.lit("order")) / F.lit(2.0**64) + F.lit(0.5)
+    place = F.struct((chance / F.col("__part")).alias("turn"), "doc_id", "size", "mark")
+    return told.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "mark", F.lit("bucket")), F.col("buckets"))).withColumn("__place", F.when(F.col("__part") > 1e-9, place))
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> tuple[DataFrame, DataFrame]:
+    """The sources' tilts and the buckets' plan (source, bucket, last place taken, closing place) for the rows of ``sizes``."""
+    histogram = packed(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), 200_000)
+    rows = histogram.agg(F.sum("n")).first()[0] or 0
+    tilts = source_tilts(histogram, weights, max_copies)
+    tilts = cut(tilts.withColumn("buckets", F.ceil(F.col("source_rows") / max(BUCKET_ROWS, rows / MOST_BUCKETS))))
+    rows = _dealt(sized, tilts, max_copies).filter("__place is not null").select("__source", "__bucket", "__place", "__part", "size")
+    bucket = Window.partitionBy("__source", "__bucket")
+    order = bucket.orderBy("__place")
+    peers = F.sum("size").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    upto = F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    need = F.sum(F.col("size") * F.col("__part")).over(bucket)
+    drawn = rows.withColumns({"__peers": peers, "__upto": upto, "__need": need}).withColumn("__in", F.col("__upto") - F.col("__peers") / 2 <= F.col("__need"))
+    # the words still missing after all that are in, and after one more change
+    gap = F.col("__need") - F.max(F.when(F.col("__in"), F.col("__upto")).otherwise(0)).over(bucket)
+    left = F.abs(F.col("__gap") - F.when(F.col("__in"), -F.col("__peers")).otherwise(F.col("__peers")))
+    closed = drawn.withColumn("__gap", gap).withColumn("__left", left)
+    closing = F.min(F.when(F.col("__left") < F.abs("__gap"), F.struct("__left", "__place"))).alias("closing")
+    return tilts, cut(closed.groupBy("__source", "__bucket").agg(F.max(F.when(F.col("__in"), F.col("__place"))).alias("last"), closing).select("__source", "__bucket", "last", F.col("closing.__place").alias("closing")))
+
+
+def with_copies(rows: DataFrame, tilts: DataFrame, planned: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``rows`` (doc_id, source, size, mark and any more) with source_size, target, copies, taken."""
+    found = planned.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__in"), "last", "closing")
+    told = _dealt(rows, tilts, max_copies).join(found, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")), "left")
+    drawn = F.coalesce(F.col("__place") <= F.col("last"), F.lit(False)) != F.coalesce(F.col("__place") == F.col("closing"), F.lit(False))
+    copies = F.least(F.col("__base") + drawn.cast("int"), F.lit(max_copies)).cast("int")
+    return told.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every document."""
-    return mix_rows(cut(sizes(docs))).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    sized = cut(sizes(docs))
+    return with_copies(sized, *plan(sized)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its copies say, with its own columns."""
-    rows = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    taken = mix_rows(rows).filter("copies > 0")
+    rows = docs.select("doc_id", "source", _size().alias("size"), _mark().alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    taken = with_copies(rows, *plan(cut(sizes(docs)))).filter("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm import words
-from festa.llm.common import cut, sized, text_of
+from festa.llm.common import cut, row_key, rows_of_keys, sized, text_of
 from festa.llm.langid import _lower as lower_table
 
 KMER_WORDS = 5
@@ -42,6 +42,8 @@ SKETCHES = 24
 SHORT_SKETCHES, SHORT_WORDS = 64, 3
 #: Texts under this many words take runs of two words; longer ones that may be similar to such a text take both.
 FEW_WORDS = 30
+#: Texts of this many words have enough k-mers in every sketch's range of one permutation; shorter ones are hashed once a sketch.
+MANY_WORDS = 16 * max(SKETCHES, SHORT_SKETCHES)
 #: Texts of fewer words may differ by one edit at most.
 ONE_EDIT_WORDS = 10
 #: Least k-mers that a sketch retains.
@@ -83,22 +85,48 @@ def kmers(tokens: np.ndarray, k: int = KMER_WORDS) -> np.ndarray:
     return words.mix(h + label * np.uint64(0xA0761D6478BD642F))
 
 
-def order_min_hash(tokens: np.ndarray, sketches: int = SKETCHES, retained: int = RETAINED, k: int = KMER_WORDS) -> np.ndarray:
-    """One 64-bit key per sketch: its least labelled k-mers, in the order of the text."""
-    h = kmers(tokens, k)
-    seeds = words.mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    value = (h[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
-    value ^= value >> np.uint64(32)
+def _retained(h: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """One key for each row of places: the k-mers there, in the order of the text."""
+    at, key = np.sort(at, axis=1), seeds.copy()
+    for j in range(at.shape[1]):
+        key = words.mix(key + h[at[:, j]])
+    return key
+
+
+def _seeds(sketches: int, kind: int) -> np.ndarray:
+    return words.mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(kind))
+
+
+def order_min_hash(h: np.ndarray, sketches: int = SKETCHES, retained: int = RETAINED) -> np.ndarray:
+    """One 64-bit key per sketch: the k-mers ``h`` that are least under its own hash, in the order of the text."""
+    seeds = _seeds(sketches, 0)
+    low, turn = seeds.astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    value = ((h >> np.uint64(32)).astype(np.uint32)[None, :] ^ low[:, None]) * turn[:, None]
     rows, taken = np.arange(sketches), []
     for _ in range(min(retained, len(h))):
         at = value.argmin(axis=1)
-        value[rows, at] = np.uint64(2**64 - 1)
+        value[rows, at] = np.uint32(2**32 - 1)
         taken.append(at)
-    at = np.sort(np.stack(taken, axis=1), axis=1)
-    key = seeds.copy()
-    for j in range(at.shape[1]):
-        key = words.mix(key + h[at[:, j]])
-    return key
+    return _retained(h, np.stack(taken, axis=1), seeds)
+
+
+def order_min_hash_of_many(h: np.ndarray, sketches: int = SKETCHES, retained: int = RETAINED) -> np.ndarray:
+    """As ``order_min_hash``, by one permutation: each sketch has its own range of hashes and takes the least in it."""
+    order = np.argsort(h)
+    edges = np.array([i * 2**64 // sketches for i in range(sketches)], np.uint64)
+    first = np.searchsorted(h[order], edges)
+    full = np.diff(first, append=len(h)) >= retained
+    return _retained(h, order[first[full, None] + np.arange(retained)], _seeds(sketches, 1)[full])
+
+
+def sketched_keys(tokens: np.ndarray, sketches: int, k: int) -> list[np.ndarray]:
+    """The keys of one family: by one permutation for texts of many k-mers, by one hash a sketch for others; both between."""
+    h, found = kmers(tokens, k), []
+    if len(tokens) >= MANY_WORDS:
+        found.append(order_min_hash_of_many(h, sketches))
+    if len(tokens) <= (MANY_WORDS - 1) / SIMILARITY:
+        found.append(order_min_hash(h, sketches))
+    return found
 
 
 def keys_of(tokens: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
@@ -106,19 +134,40 @@ def keys_of(tokens: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.empty(0, np.uint64)
-    found = [order_min_hash(tokens, sketches)]
+    found = sketched_keys(tokens, sketches, KMER_WORDS)
     if n >= FEW_WORDS:
-        found.append(order_min_hash(tokens, SHORT_SKETCHES, k=SHORT_WORDS))
+        found += sketched_keys(tokens, SHORT_SKETCHES, SHORT_WORDS)
     if n <= (FEW_WORDS - 1) / SIMILARITY:
-        found.append(order_min_hash(tokens, SHORT_SKETCHES, k=SHORT_WORDS - 1))
+        found += sketched_keys(tokens, SHORT_SKETCHES, SHORT_WORDS - 1)
     if n < ONE_EDIT_WORDS:
         variants = [tokens, *(np.delete(tokens, i) for i in range(n))]
         found.append(np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little") for v in variants], np.uint64))
     return np.unique(np.concatenate(found))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the values two arrays have in common, repeats counted."""
+    va, ca = np.unique(a, return_counts=True)
+    vb, cb = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(vb, va), len(vb) - 1)
+    return int(np.minimum(ca, np.where(vb[at] == va, cb[at], 0)).sum())
+
+
+def least_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: each word without a partner costs an edit, and an edit breaks two pairs of neighbours at most."""
+    longer = max(len(a), len(b))
+    found = longer - _common(a, b)
+    if min(len(a), len(b)) > 1:
+        pairs = [x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64) for x in (a, b)]
+        found = max(found, -(-(longer - 1 - _common(*pairs)) // 2))
+    return found
+
+
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the edit distance of two word sequences is at most ``most``: bit-parallel alignment in a band of 2 most + 1 rows."""
+    """Whether the edit distance of two sequences of 32-bit words is at most ``most``: bit-parallel alignment in a band.
+
+    The band is widened fourfold until it holds the distance, so that texts of few edits are aligned in a narrow one.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     n = min(len(a), len(b))
@@ -130,12 +179,22 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return max(len(a), len(b)) <= most
-    va, ca = np.unique(a, return_counts=True)
-    vb, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    if max(len(a), len(b)) - int(np.minimum(ca[i], cb[j]).sum()) > most:
-        return False  # each word without a partner costs an edit
-    m, n, d = len(a), len(b), most
+    least = least_distance(a, b)
+    if least > most:
+        return False
+    band = max(least, 30)
+    while band < most:
+        if _aligned(a, b, band):
+            return True
+        band *= 4
+    return _aligned(a, b, most)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, d: int) -> bool:
+    """Whether the edit distance is at most d, in a band of 2 d + 1 rows."""
+    if abs(len(a) - len(b)) > d:
+        return False
+    m, n = len(a), len(b)
     places: dict[int, int] = {}
     for r, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | (1 << r)
@@ -380,7 +439,5 @@ def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns."""
-    kept = _classed(docs, SIMILARITY, SKETCHES, ROUNDS).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("sha").alias("__kept_sha")).distinct()
-    own = docs.withColumn("__sha", _sha())
-    same = own["doc_id"].cast("bigint").eqNullSafe(kept["__keep"]) & (own["__sha"] == kept["__kept_sha"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    kept = _classed(docs, SIMILARITY, SKETCHES, ROUNDS).filter("kept").select(row_key(F.col("doc_id"), F.hex("sha")))
+    return rows_of_keys(docs, row_key(F.col("doc_id").cast("bigint"), F.hex(_sha())), kept)

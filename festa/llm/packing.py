@@ -6,17 +6,19 @@ scores best, by the weighted norm of what would be left (``norm``) or by the wei
 and residual (``dot``); if none fits, a sequence is opened. Pieces are dealt by hash into groups of bounded
 size which are packed independently, so that the waste is at most about one sequence in each group.
 
-Tokenising runs in tasks with a bounded cache from pre-token to ids; ids equal the tokenizer file's own.
+Tokenising runs in tasks, by the tokenizer file, with a bounded cache from pre-token to ids.
 
 Defined results: a null text counts as empty and yields the one end token; texts longer than a sequence
-(and only those) are cut into full pieces, the first of which may be shorter; special strings inside a text
-are ordinary text; repeated rows are packed one by one; an empty table gives an empty result.
+(and only those) are cut into full pieces, the first of which may be shorter; the tokenizer file's added tokens
+inside a text are one id each, as that library has it; repeated rows are packed one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,8 @@ TOKENS = 2048
 END_ID = 0
 #: Pieces that one task packs.
 GROUP_PIECES = 20_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+_BREAK = 0x110000  # stands between texts; no sign has this number
 #: Capacities of a sequence. The last two never bind by default: a sequence of T tokens has at most T documents and T*T cost.
 CAPACITY = (float(TOKENS), float(TOKENS), float(TOKENS) ** 2)
 WEIGHTS = (1.0, 1e-3, 1e-3)
@@ -39,10 +42,9 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 
 def default_tokenizer() -> str:
-    """Ranks of the byte-level BPE whose ids byte_bpe_50k.json gives too."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def token_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -71,39 +73,68 @@ def token_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def told_apart(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of each kind, and the kind of each run; runs go from start to start. Grouped by hash, then compared sign by sign."""
+    ends = np.append(starts[1:], len(codes))
+    _, first, which = np.unique(words.hashes(codes, starts, ends), return_index=True, return_inverse=True)
+    n, model = ends - starts, first[which]
+    there = np.arange(len(codes), dtype=np.int64) + np.repeat(starts[model] - starts, n)
+    differ = codes[np.minimum(there, len(codes) - 1)] != codes
+    odd = np.flatnonzero((n != n[model]) | (np.add.reduceat(differ, starts) > 0))  # runs that only share a hash are kinds of their own
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), which
+
+
 class Encoder:
-    """Ids of byte-level BPE: pre-tokens are found and told apart for many texts at once, and each distinct one is encoded once.
+    """The ids that the tokenizer file gives, with each distinct pre-token of many texts encoded once.
 
-    Byte-level BPE never merges across pre-tokens, so equal pre-tokens have equal ids. The cache is bounded.
+    Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its pre-tokens. The cache from
+    pre-tokens (their code points, not hashes) to ids is bounded. Texts that hold an added token of the file go
+    through the tokenizer whole. Where the same vocabulary lies beside the file as ranks (``.tiktoken``), single
+    pre-tokens are merged by these, which takes a fifth of the time; else by the tokenizer.
     """
 
     def __init__(self, path: str):
-        import base64
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[bytes, bytes] = {_BREAK.to_bytes(4, "little"): b""}
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.merge = self._by_ranks(ranks) if os.path.exists(ranks) else lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    @staticmethod
+    def _by_ranks(path: str) -> Callable[[str], list[int]]:
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.piece = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.cache: dict[int, bytes] = {}
+        return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        found = self._plain(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        for i in whole:
+            found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return found
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         codes, kinds, bounds = words.points(texts)
         starts = token_starts(codes, kinds)
-        ends = np.append(starts[1:], len(codes))
-        inside = kinds[starts] != words.BREAK
-        starts, ends = starts[inside], ends[inside]
         if not len(starts):
-            return [np.empty(0, "<u4") for _ in texts]
-        kinds_of, first, which = np.unique(words.hashes(codes, starts, ends), return_index=True, return_inverse=True)
+            return []
+        codes = np.where(kinds == words.BREAK, np.uint32(_BREAK), codes)
+        first, which = told_apart(codes, starts)
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found, get, raw = [], self.cache.get, codes.tobytes()
-        for h, s, e in zip(kinds_of.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            ids = get(h)
+            self.cache = {_BREAK.to_bytes(4, "little"): b""}
+        raw, cache, merge, found = codes.tobytes(), self.cache, self.merge, []
+        ends = np.append(starts[1:], len(codes))
+        for s, e in zip((4 * starts[first]).tolist(), (4 * ends[first]).tolist(), strict=True):
+            key = raw[s:e]
+            ids = cache.get(key)
             if ids is None:
-                word = raw[4 * s : 4 * e].decode("utf-32-le", "replace")
-                ids = self.cache[h] = np.array(self.piece(word.encode()), "<u4").tobytes()
+                ids = cache[key] = np.array(merge(key.decode("utf-32-le", "replace")), "<u4").tobytes()
             found.append(ids)
         flat = np.frombuffer(b"".join(found), "<u4")
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4

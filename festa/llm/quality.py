@@ -26,6 +26,8 @@ from festa.llm.common import held_out, learn_row, text_of
 BITS = 18
 #: The most labelled rows that one fit learns from.
 SAMPLE_ROWS = 8_000
+#: Rows that the learner holds, and goes through EPOCHS times, before it takes the next.
+BLOCK_ROWS = 1_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 _REPEAT, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
@@ -44,18 +46,34 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(bounds, start, side="right")
     again = word[1:][(h[word[1:]] == h[word[:-1]]) & (text[word[1:]] == text[word[:-1]])]
     h[again] = _REPEAT
-    pair = words.mix(h[:-1] * _PAIR + h[1:])
-    pair[text[1:] != text[:-1]] = _REPEAT
+    own = np.ones(len(h), bool)  # a text's last word starts no pair
+    own[:-1] = text[1:] == text[:-1]
+    own[-1:] = False
     space = np.uint64((1 << BITS) - 1)
-    out = np.empty(2 * len(h), np.int64)
-    out[0::2], out[1:-1:2] = h % space, pair % space
-    if len(out):
-        out[-1] = out[-2]
-    return out, 2 * np.searchsorted(start, bounds)
+    out = np.empty((len(h), 2), np.int64)
+    out[:, 0] = h % space
+    out[:-1, 1] = words.mix(h[:-1] * _PAIR + h[1:]) % space
+    taken = np.stack([np.ones(len(h), bool), own], axis=1)
+    at = np.concatenate(([0], np.cumsum(1 + own)))
+    return out[taken], at[np.searchsorted(start, bounds)]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and labels in blocks of BLOCK_ROWS, however the batches were cut."""
+    texts, labels = [], []
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["quality"], strict=True):
+            texts.append(text)
+            labels.append(float(label))
+            if len(texts) == BLOCK_ROWS:
+                yield texts, np.array(labels)
+                texts, labels = [], []
+    if texts:
+        yield texts, np.array(labels)
 
 
 def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Online FTRL over the rows as they come; the weights that are not zero at the end."""
+    """Online FTRL over blocks of rows, EPOCHS times each; the weights that are not zero at the end."""
     z, n, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), (1 << BITS) - 1
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -63,8 +81,7 @@ def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     seen = False
-    for batch in batches:
-        texts, labels = batch["text"].tolist(), batch["quality"].to_numpy(float)
+    for texts, labels in _blocks(batches):
         for _ in range(EPOCHS):
             for a, b in words.batches(texts):
                 found, at = features(texts[a:b])

@@ -11,28 +11,20 @@ import numpy as np
 #: Code points that are handled together, so that a batch's arrays stay within some tens of MB.
 BATCH_POINTS = 900_000
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 @cache
 def classes() -> np.ndarray:
+    kinds = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
     table = np.full(0x110000, OTHER, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for i in range(0x110000):
-        k = kinds.get(unicodedata.category(chr(i))[0])
-        if k:
-            table[i] = k
+    table[kinds == ord("L")] = LETTER
+    table[kinds == ord("N")] = NUMBER
     table[_WHITE] = SPACE
     return table
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, p, np.uint64)))) for p in (_P, pow(_P, -1, 2**64)))
-
-
 def batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BATCH_POINTS code points, one text at least."""
     start, points = 0, 0
@@ -55,11 +47,18 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each run of code points, mixed with its length."""
-    power, inverse = _powers(max(20, int(len(codes)).bit_length()))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], dtype=np.uint64)))
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each run of code points: the sum of one mixed number for each sign at its place in the run.
+
+    Not a polynomial, whose even powers cancel out in strings of a regular pattern.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    first = np.zeros(len(codes), np.int64)
+    first[starts] = starts
+    place = np.arange(len(codes)) - np.maximum.accumulate(first)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) * np.uint64(_A) + place.astype(np.uint64) * np.uint64(_B)), dtype=np.uint64, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

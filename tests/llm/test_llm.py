@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +55,23 @@ def test_quality_learns_and_scores_everything(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_quality_features_do_not_cross_texts():
-    found, at = quality.features(["a b", "", "c", "a b"])
-    assert at.tolist()[0] == 0 and at[1] == at[2] and at[-1] == len(found)
-    assert sorted(found[at[0] : at[1]]) == sorted(found[at[3] : at[4]]) or set(found[at[0] : at[1] - 1]) <= set(found[at[3] : at[4]])
+def test_quality_scores_do_not_depend_on_the_batch(monkeypatch):
+    rng = random.Random(15)
+    texts = ["a b c", "a b c", "", "c", "x x x", "a b", *(prose(rng, rng.randrange(1, 30)) for _ in range(50)), "a b c"]
+    alone = [quality.features([t])[0].tolist() for t in texts]
+    found, at = quality.features(texts)
+    assert at[-1] == len(found) and [found[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == alone
+    weights = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32)
+    assert quality.score_texts(texts, weights).tolist() == [quality.score_texts([t], weights)[0] for t in texts]
+    monkeypatch.setattr(words, "BATCH_POINTS", 10)
+    assert quality.score_texts(texts, weights).tolist() == [quality.score_texts([t], weights)[0] for t in texts]
+
+
+def test_quality_fit_does_not_depend_on_batches():
+    rng = random.Random(16)
+    rows = pd.DataFrame({"text": [prose(rng, 12) for _ in range(90)], "quality": [float(i % 3 > 0) for i in range(90)]})
+    fits = [pd.concat(quality.train(iter(parts))) for parts in ([rows], [rows[:7], rows[7:8], rows[8:]])]
+    assert fits[0].equals(fits[1])
 
 
 def test_language_id(spark):
@@ -219,11 +233,22 @@ def test_ids_equal_the_tokenizer_file(odd_texts):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
     rng = random.Random(8)
     parts = [" ", "  ", "\n", "\t", "'", "s", "t", "re", "'ve", "ll", "L", "é", "ß", "日", "1", "²", "½", "!", "-", "😀", "d ", "<|endoftext|>", "_", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)] + [t or "" for t in odd_texts]
+    first = "".join("ab"[i.bit_count() % 2] for i in range(1024))  # a polynomial hash takes these two for one word
+    texts += [first, first.translate(str.maketrans("ab", "ba")), "<|endoftext|>", "x<|endoftext|>\n"]
     assert [x.tolist() for x in packing.Encoder(packing.default_tokenizer()).ids(texts)] == [x.ids for x in bpe.encode_batch(texts, add_special_tokens=False)]
+    alone = packing.Encoder(packing.default_tokenizer())
+    assert [alone.ids([t])[0].tolist() for t in texts[-300:]] == [x.ids for x in bpe.encode_batch(texts[-300:], add_special_tokens=False)]
+
+
+def test_runs_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "hashes", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    codes = np.frombuffer("ab cd ab ab".encode("utf-32-le"), "<u4")
+    first, which = packing.told_apart(codes, np.array([0, 2, 3, 5, 6, 8, 9]))
+    runs = ["ab", " ", "cd", " ", "ab", " ", "ab"]
+    assert [runs[first[k]] for k in which] == runs
 
 
 def test_packing_round_trip(spark, odd_texts):
@@ -304,6 +329,31 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_mixing_tilts_solve_the_dual(spark):
+    rng = random.Random(17)
+    rows = [(i, rng.choice("abcdef"), int(rng.paretovariate(1.1) * 5)) for i in range(3000)]
+    sized = spark.createDataFrame([(i, s, z, i) for i, s, z in rows], "doc_id bigint, source string, size bigint, mark bigint")
+    histogram = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    for r in mixing.source_tilts(histogram).collect():
+        own = [z for _, s, z in rows if s == r.source]
+        assert (r.source_size, r.source_rows) == (sum(own), len(own))
+        rates = [3.0 if r.tilt is None else min(3.0, np.exp(min(50, r.tilt * z / r.scale))) for z in own]
+        assert abs(np.dot(rates, own) - r.target) <= 2e-6 * r.target
+
+
+def test_mixing_agrees_without_own_ids(spark):
+    rng = random.Random(18)
+    rows = [(rng.choice([None, 1, 2, i]), prose(rng, rng.randrange(1, 60)), "en", rng.choice(["a", "b", None]), 0) for i in range(4000)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], SCHEMA)
+    taken = [Counter((r.doc_id, r.size, r.taken) for r in mixing.mix_documents(d).collect()) for d in (docs, docs.repartition(7, "text"))]
+    assert taken[0] == taken[1]
+    mix = mixing.mixed(docs).count()
+    assert mix == mixing.mix_documents(docs).agg(F.sum("copies")).first()[0]
+    ranked = mixing._ranked(spark.createDataFrame([(f"s{i:03}",) for i in range(250)] + [(None,)], "source string").repartition(5))
+    got = [r.source for r in ranked.orderBy("rank").collect()]
+    assert got == [*sorted(f"s{i:03}" for i in range(250)), None] and ranked.select("rank").distinct().count() == 251
+
+
 # 8: near-duplicates
 
 
@@ -369,6 +419,34 @@ def test_near_duplicates_against_brute_force(spark, odd_texts):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_words_of_one_pattern_are_no_duplicates(spark):
+    first = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    docs = docs_of(spark, [first, first.translate(str.maketrans("ab", "ba"))])
+    assert [r.class_id for r in near_dedup.classes(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_lower_bound_of_the_distance():
+    rng = random.Random(25)
+    for _ in range(2000):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 16))]
+        b = [x if rng.random() < 0.8 else rng.randrange(6) for x in a if rng.random() < 0.9] or [0]
+        assert near_dedup.least_distance(np.array(a, "<u4"), np.array(b, "<u4")) <= edit_distance(a, b)
+
+
+def test_long_texts_share_keys():
+    rng = np.random.default_rng(26)
+    agreed = []
+    for n in (1000, 1100, 1300, 5000):
+        for _ in range(40):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            at = rng.choice(n, int(0.19 * n), replace=False)
+            b[at] = rng.integers(0, 2**63, len(at)).astype(np.uint64)
+            b = b[: len(b) - n // 100]
+            agreed.append(len(np.intersect1d(near_dedup.keys_of(a), near_dedup.keys_of(b))))
+    assert np.mean(np.array(agreed) > 0) >= 0.99 and np.mean(agreed) > 5
+
+
 def test_near_duplicates_without_own_ids(spark):
     rng = random.Random(21)
     texts = [prose(rng, 80) for _ in range(8)]
@@ -511,6 +589,16 @@ def test_exact_dedup_against_brute_force(spark, odd_texts):
     assert exact_dedup.groups(docs, F.lit(True)).filter("kept").count() == len(want)
 
 
+def test_exact_dedup_takes_any_id(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(most, "a b"), (least, "ab "), (None, "a b"), (2**53 + 1, "c"), (2**53 + 2, "c"), (None, "c"), (None, "d"), (None, "d e"), (0, "long one"), (1, "long  one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    for split in (None, F.lit(True), F.lit(False), F.col("doc_id") > 0):
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.groups(docs, split).collect())
+        assert got == Counter({(most, least, 3, False): 1, (least, least, 3, True): 1, (None, least, 3, False): 1, (2**53 + 1, 2**53 + 1, 3, True): 1, (2**53 + 2, 2**53 + 1, 3, False): 1, (None, 2**53 + 1, 3, False): 1, (None, None, 1, True): 2, (0, 1, 2, False): 1, (1, 1, 2, True): 1})
+    assert sorted(r.text for r in exact_dedup.deduplicate(docs).collect()) == ["ab ", "c", "d", "d e", "long  one"]
+
+
 def test_exact_dedup_deals_arrivals_without_history(spark, monkeypatch):
     shards, merge = [], exact_dedup.merge
     monkeypatch.setattr(exact_dedup, "KEYS_PER_SHARD", 10)
