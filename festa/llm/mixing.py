@@ -22,6 +22,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ MAX_COPIES = 3
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 #: The dual is solved when every source's words are this near their target, and given up after so many steps.
 NEAR, NEWTON_STEPS = 1e-6, 80
+#: Up to so many sources their figures are broadcast (under 10 MB); more are joined by a shuffle.
+FEW_SOURCES = 100_000
 
 
 def _size() -> Column:
@@ -85,25 +89,30 @@ def source_tilts(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, max
     most = F.col("target") >= F.col("source_size") * (max_copies * (1 - NEAR))
     none = F.lit(None).cast("double")
     state = cut(aimed.withColumns({"scale": F.greatest(F.col("source_size") / F.col("source_rows"), F.lit(1.0)), "tilt": F.when(~most, 0.0), "low": none, "high": none, "open": ~most}))
+    solved = []
     for _ in range(NEWTON_STEPS):
-        if not state.filter("open").limit(1).count():
+        solved.append(state.filter(~F.col("open")))
+        state = state.filter("open")
+        sources = state.count()
+        if not sources:
             break
-        told = histogram.join(state.filter("open").select(F.col("source").alias("its"), "tilt", "scale"), F.col("source").eqNullSafe(F.col("its")))
+        its = state.withColumnRenamed("source", "its")
+        told = histogram.join(F.broadcast(its) if sources <= FEW_SOURCES else its, F.col("source").eqNullSafe(F.col("its")))
         words = F.col("n") * F.col("size") * _tilt(max_copies)
         bends = F.when(_tilt(max_copies) < max_copies, words * F.col("size") / F.col("scale")).otherwise(0.0)
-        sums = told.groupBy("its").agg(F.sum(words).alias("words"), F.sum(bends).alias("bend"))
-        state = cut(_stepped(state.join(sums, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")))
-    return state.drop("low", "high", "open")
+        sums = told.groupBy(*its.columns).agg(F.sum(words).alias("words"), F.sum(bends).alias("bend"))
+        state = cut(_stepped(sums.withColumnRenamed("its", "source")))
+    return reduce(DataFrame.unionByName, [*solved, state]).drop("low", "high", "open")
 
 
 def _stepped(state: DataFrame) -> DataFrame:
-    """One Newton step for every open source; halves the bracket instead where Newton would leave it."""
-    tilt, gap, reach = F.col("tilt"), F.col("target") - F.col("words"), 2 * F.greatest(F.abs("tilt"), F.lit(1.0))
-    still = F.col("open") & (F.abs("gap") > F.greatest(F.col("target") * NEAR, F.lit(1e-9)))
+    """One Newton step for every source; halves the bracket instead where Newton would leave it."""
+    tilt, reach = F.col("tilt"), 2 * F.greatest(F.abs("tilt"), F.lit(1.0))
     low, high = F.when(F.col("gap") > 0, tilt).otherwise(F.col("low")), F.when(F.col("gap") < 0, tilt).otherwise(F.col("high"))
-    step = tilt + F.greatest(-reach, F.least(reach, F.when(F.col("bend") > 0, F.col("gap") / F.col("bend")).otherwise(F.signum("gap") * reach)))
-    inside = ((F.col("low").isNull()) | (F.col("newton") > F.col("low"))) & ((F.col("high").isNull()) | (F.col("newton") < F.col("high")))
-    moved = state.withColumn("gap", gap).withColumn("open", F.coalesce(still, F.lit(False))).withColumns({"low": low, "high": high}).withColumn("newton", step)
+    newton = tilt + F.greatest(-reach, F.least(reach, F.when(F.col("bend") > 0, F.col("gap") / F.col("bend")).otherwise(F.signum("gap") * reach)))
+    inside = (F.col("low").isNull() | (F.col("newton") > F.col("low"))) & (F.col("high").isNull() | (F.col("newton") < F.col("high")))
+    moved = state.withColumn("gap", F.col("target") - F.col("words")).withColumn("open", F.abs("gap") > F.greatest(F.col("target") * NEAR, F.lit(1e-9)))
+    moved = moved.withColumns({"low": low, "high": high}).withColumn("newton", newton)
     tilted = F.when(F.col("open"), F.when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)).otherwise(tilt)
     return moved.withColumn("tilt", tilted).drop("gap", "newton", "words", "bend")
 
