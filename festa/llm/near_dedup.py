@@ -48,6 +48,8 @@ MANY_WORDS = 16 * max(SKETCHES, SHORT_SKETCHES)
 ONE_EDIT_WORDS = 10
 #: Least k-mers that a sketch retains.
 RETAINED = 2
+#: Up to so many pairs their nodes are broadcast (16 MB at most), so that the words of others stay where they are.
+FEW_PAIRS = 1_000_000
 #: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair.
 ROUNDS = 2
 #: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
@@ -268,6 +270,10 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             keep = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) for x, y in zip(a, b, strict=True)]
             yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = sized(pairs.select("node", "leader"), 20_000)
+    if pairs.count() <= FEW_PAIRS:  # then only the words of these nodes move
+        asked = pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
+        tokens = tokens.join(F.broadcast(asked), "node", "left_semi")
     leaders = tokens.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
     return pairs.join(tokens, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
@@ -357,14 +363,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _near_labels(links: DataFrame) -> DataFrame:
-    """node, label: nodes of one label are linked. A cheap look, not all the way: two hops and a jump."""
-    both = links.select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("leader").alias("b")), F.struct(F.col("leader").alias("a"), F.col("node").alias("b")))).alias("e")).select("e.a", "e.b")
-    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    jump = one.select(F.col("node").alias("label"), F.col("label").alias("further"))
-    return sized(one.join(jump, "label").select("node", F.col("further").alias("label")), 200_000)
-
-
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (node, leader, …) with the labels of both."""
     mine, its = labels.withColumnRenamed("label", "mine"), labels.select(F.col("node").alias("leader"), F.col("label").alias("its"))
@@ -372,8 +370,13 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return told.withColumns({"mine": F.coalesce("mine", "node"), "its": F.coalesce("its", "leader")})
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label after all links: what the labels have joined is one node for the components."""
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after more links: nodes of one label are linked; what the labels have joined is one node for the components."""
+    if labels is not None and not links.limit(1).count():
+        return labels
+    if labels is None:
+        whole = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        return sized(whole.withColumnRenamed("component", "label"), 200_000)
     between = _labelled(links, labels).filter("mine <> its").select(F.col("mine").alias("a"), F.col("its").alias("b")).distinct()
     whole = components(between).withColumnRenamed("node", "label")
     nodes = labels.select("node").unionByName(links.select("node")).unionByName(links.select(F.col("leader").alias("node"))).distinct()
@@ -381,6 +384,12 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return sized(told.select("node", F.coalesce("component", "label").alias("label")), 200_000)
 
 
+def _foremost(pairs: DataFrame, *of: Column | str) -> DataFrame:
+    """Of the pairs (node, leader, agree) of each group the one whose texts agree on most keys."""
+    best = F.max(F.struct("agree", F.xxhash64("node", "leader").alias("h"), "node", "leader")).alias("best")
+    return pairs.groupBy(*of).agg(best).select("best.node", "best.leader")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs that are not known to be linked."""
     return pairs if labels is None else _labelled(pairs, labels).filter("mine <> its").drop("mine", "its")
@@ -399,31 +408,22 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     wanted = nodes.join(met, "node", "left_semi").select("node", F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
     texts = _named_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
     tokens = sized(_tokens(texts).dropDuplicates(["node"]), 5_000)
-    everyone, links, labels = members, None, None
+    everyone, labels = members, None
+    link = lambda pairs: _relabelled(labels, sized(_verified(pairs, tokens, least), 200_000))
     for turn in range(rounds):
         first = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
         led = members.groupBy("key").agg(first.alias("l")).select("key", "l.leader", "l.leader_n")
         # what is neither the leader nor linked to it; the next round's leaders are chosen among these
         pairs = sized(_apart(members.join(led, "key").filter("node <> leader"), labels), 200_000)
         near = pairs.filter(F.least("n", "leader_n") >= F.lit(least) * F.greatest("n", "leader_n") - 1e-9)
-        agreed = near.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree"))
-        if turn == 0:
-            # first each node's most agreeing leader, then those that this has not linked
-            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), F.xxhash64("node", "leader"))) == 1
-            fresh = sized(agreed.withColumn("best", best), 20_000)
-            parts = [fresh.filter("best"), fresh.filter(~F.col("best"))]
-        else:
-            parts = [agreed]
-        for part in parts:
-            good = sized(_verified(_apart(part, labels).select("node", "leader"), tokens, least), 200_000)
-            links = good if links is None else links.unionByName(good)
-            if turn + 1 < rounds or labels is None:
-                labels = _near_labels(links)
+        agreed = sized(near.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")), 20_000)
+        # first each node's most agreeing leader, then one pair of any two classes that these links leave apart, then the rest
+        labels = link(_foremost(agreed, "node"))
+        labels = link(_foremost(sized(_labelled(agreed, labels).filter("mine <> its"), 20_000), F.least("mine", "its"), F.greatest("mine", "its")))
+        labels = link(_apart(agreed, labels))
         if turn + 1 < rounds:
             members = _apart(pairs, labels).select("key", "node", "n")
-    labels = _relabelled(labels, links)
-    more = sized(_unlinked(everyone, labels, tokens, least), 20_000)
-    labels = _relabelled(labels, sized(_verified(more, tokens, least), 200_000))
+    labels = link(_unlinked(everyone, labels, tokens, least))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))
