@@ -48,10 +48,10 @@ MANY_WORDS = 16 * max(SKETCHES, SHORT_SKETCHES)
 ONE_EDIT_WORDS = 10
 #: Least k-mers that a sketch retains.
 RETAINED = 2
-#: Up to so many pairs their nodes are broadcast (16 MB at most), so that the words of others stay where they are.
-FEW_PAIRS = 1_000_000
-#: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair.
-ROUNDS = 2
+#: Up to so many nodes are broadcast to where their words lie (8 MB).
+FEW_NODES = 1_000_000
+#: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair, so that more rounds only move work.
+ROUNDS = 1
 #: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
 CHUNK, CHUNKS_PER_TASK, COUNTS = 64, 64, 128
 
@@ -233,12 +233,8 @@ def _sha() -> Column:
     return F.unhex(F.sha2(text_of().cast("binary"), 256))
 
 
-def _named_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _sha().alias("sha"), text_of().alias("text"))
-
-
 def _sketched(docs: DataFrame, sketches: int) -> DataFrame:
-    """doc_id, sha (of the text), sequence (digest of the words), n words, keys."""
+    """doc_id, sha (of the text), sequence (digest of the words), n words, keys, tokens (32 bits a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,18 +243,20 @@ def _sketched(docs: DataFrame, sketches: int) -> DataFrame:
             keys = [keys_of(t, sketches).view(np.int64) for t in tokens]
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(digest, pa.binary()), pa.array([len(t) for t in tokens], pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sha", "sequence", "n", "keys"])
-
-    return _named_texts(docs).mapInArrow(run, "doc_id bigint, sha binary, sequence binary, n int, keys array<bigint>")
+            short = pa.array([(t >> np.uint64(32)).astype("<u4").tobytes() for t in tokens], pa.binary())
+            made = [pa.array(digest, pa.binary()), pa.array([len(t) for t in tokens], pa.int32()), pa.ListArray.from_arrays(offsets, flat), short]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), *made], ["doc_id", "sha", "sequence", "n", "keys", "tokens"])
 
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _sha().alias("sha"), text_of().alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, sha binary, sequence binary, n int, keys array<bigint>, tokens binary")
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = token_arrays(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([(t >> np.uint64(32)).astype("<u4").tobytes() for t in tokens], pa.binary())], ["node", "tokens"])
 
-    return docs.mapInArrow(run, "node bigint, tokens binary")
+def _asked(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The words of some nodes: found where they lie if the nodes are few enough to be broadcast, else by a shuffle, kept for further use."""
+    nodes = sized(nodes.select("node").distinct(), 200_000)
+    if nodes.count() <= FEW_NODES:
+        return tokens.join(F.broadcast(nodes), "node", "left_semi")
+    return sized(tokens.join(nodes, "node", "left_semi"), 5_000)
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
@@ -271,9 +269,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = sized(pairs.select("node", "leader"), 20_000)
-    if pairs.count() <= FEW_PAIRS:  # then only the words of these nodes move
-        asked = pairs.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-        tokens = tokens.join(F.broadcast(asked), "node", "left_semi")
+    tokens = _asked(tokens, pairs.select(F.explode(F.array("node", "leader")).alias("node")))
     leaders = tokens.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
     return pairs.join(tokens, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
@@ -309,7 +305,7 @@ def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: f
     most = most.filter("labels > 1 and of > 2").select("key", F.col("most.label").alias("bulk_label"))
     open_ = told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
     open_ = sized(open_, 200_000)
-    counted = _counted(tokens.join(open_.select("node").distinct(), "node", "left_semi"))
+    counted = _counted(_asked(tokens, open_))
     # texts whose lengths differ by more than the threshold lets lie two bands apart or more
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-np.log(least)) + 1e-9).cast("int")
     open_ = open_.join(counted, "node").withColumn("band", band)
@@ -397,17 +393,16 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataFrame:
     """doc_id, sha, n, class_id, class_size, kept (the class's row that stays) for every row."""
-    rows = cut(_sketched(docs, sketches))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
-    nodes = rows.groupBy("sequence").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
-    nodes = sized(nodes.withColumn("node", F.xxhash64("sequence")), 10_000)
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
+    # a row's number, fixed by the checkpoint, names it; a node has the number of its first row
+    rows = cut(_sketched(docs, sketches)).withColumn("at", F.monotonically_increasing_id())
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "at")
+    nodes = rows.groupBy("sequence").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    nodes = sized(nodes.withColumn("node", F.col("row.at")), 200_000)
+    of = lambda some, column: rows.select(F.col("at").alias("node"), column).join(some, "node")
+    members = of(nodes.select("node", "n"), "keys").select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     members = sized(members.join(crowded, "key"), 200_000)  # only buckets where texts meet
-    met = members.select("node").distinct()
-    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
-    texts = _named_texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
-    tokens = sized(_tokens(texts).dropDuplicates(["node"]), 5_000)
+    tokens = _asked(rows.select(F.col("at").alias("node"), "tokens"), members)
     everyone, labels = members, None
     link = lambda pairs: _relabelled(labels, sized(_verified(pairs, tokens, least), 200_000))
     for turn in range(rounds):
@@ -429,7 +424,7 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))
     named = named.join(told, "class").select("sequence", "kept", "class_size")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sha") == F.col("kept.sha"))
-    return rows.join(named, "sequence").select("doc_id", "sha", "n", F.col("kept.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+    return rows.select("doc_id", "sha", "n", "sequence").join(named, "sequence").select("doc_id", "sha", "n", F.col("kept.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = ROUNDS) -> DataFrame:
