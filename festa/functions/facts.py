@@ -48,7 +48,8 @@ def find_crowd(text: Column) -> Column:
 def _stated(text: Column, words: tuple[str, ...]) -> Column:
     """Some mention of a word has no denial in the 25 characters before it."""
     free = "".join(f"(?<!{d}.{{0,{25 - len(d)}}})" for d in _DENIALS)
-    return F.coalesce(text, F.lit("")).rlike(f"(?siuU){free}(?:{'|'.join(words)})")
+    # the mention first: the text before it is looked at only where one stands
+    return F.coalesce(text, F.lit("")).rlike(f"(?siuU)(?={'|'.join(words)}){free}")
 
 
 def has_fireworks(text: Column) -> Column:

@@ -121,7 +121,7 @@ def canonical_name(name: Column) -> Column:
     """Without words of preparation and a date at the end, first letter upper; unchanged if under 8 characters are left."""
     own = F.btrim(F.coalesce(name, F.lit("")))
     n = strip_signs(F.regexp_replace(F.regexp_replace(own, _NAME_PREFIX, ""), _NAME_SUFFIX, ""), " ,:-–")
-    return F.when(F.char_length(n) >= 8, F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 100_000))).otherwise(own)
+    return F.when(F.char_length(n) >= 8, F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, F.lit(2), F.char_length(n)))).otherwise(own)
 
 
 def make_summary(text: Column) -> Column:

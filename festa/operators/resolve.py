@@ -181,7 +181,7 @@ class Catalogue:
         before = {k: v for k, v in old.items()}
         old["sources"] = [*old["sources"], *[s for s in dict.fromkeys(new["sources"]) if s not in old["sources"]][: max(0, MOST_SOURCES - len(old["sources"]))]]
         old["crowd"] = new["crowd"] if (new["crowd"] or 0) > (old["crowd"] or 0) else old["crowd"]
-        for flag in ("fireworks", "big_concert"):
+        for flag in ("fireworks", "big_concert", "alerted"):  # an event that was alerted as either is not alerted again
             old[flag] = old[flag] or new[flag]
         for text in ("venue", "start_time", "summary"):
             old[text] = old[text] or new[text]

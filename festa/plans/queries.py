@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
 from festa.operators import catalogue, classify, enrich, resolve
-from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, view
+from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
+from festa.shared import shared_folder
 from festa.sources import feeds, html
 from festa.streaming import ingest
 
@@ -38,12 +39,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, ARTICLES)
+    return spread(view(spark, sf_dir, ARTICLES), _table(spark, sf_dir, "orders"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event catalogue, with priority and search text."""
-    return catalogue.with_priority(view(spark, sf_dir, EVENTS).withColumn("sources", F.array("source")))
+    return catalogue.with_priority(spread(view(spark, sf_dir, EVENTS), _table(spark, sf_dir, "orders")).withColumn("sources", F.array("source")))
 
 
 # SQL fragments
@@ -87,8 +88,8 @@ LAST = "coalesce(end_date, start_date)"
 
 @query(f"SELECT doc_id, md5({n('text')}) AS normalized_md5, length({n('text')}) AS n FROM documents")
 def normalize_documents(spark, sf_dir):
-    norm = text.normalize(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(norm.cast("binary")).alias("normalized_md5"), F.char_length(norm).alias("n"))
+    norm, docs = text.normalize(F.col("text")), _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(norm.cast("binary")).alias("normalized_md5"), F.char_length(norm).alias("n"))
 
 
 @query(f"""
@@ -311,7 +312,7 @@ SQL_TOKENS = f"""
     SELECT a_id, b_id, shared FROM pairs
     WHERE shared > 0 AND (shared / (sa + sb - shared) >= CASE WHEN dated THEN 0.34 ELSE 0.4 END OR (shared / least(sa, sb) >= 0.6 AND shared >= 3))""")
 def duplicate_pairs(spark, sf_dir):
-    return resolve.duplicate_pairs(view(spark, sf_dir, EVENTS))
+    return resolve.duplicate_pairs(spread(view(spark, sf_dir, EVENTS), _table(spark, sf_dir, "orders")))
 
 
 @query(f"""
@@ -398,12 +399,7 @@ def judged_events(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="festa-checkpoint-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark: SparkSession, batch: DataFrame, folder: str, name: str, files: int = 2) -> DataFrame:

@@ -67,6 +67,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``df`` over all cores, if what it is made from was read in fewer parts: rules cost far more than moving short rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if scanned.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the statements above over the tables of ``sf_dir``."""
     used = {n: _table(spark, sf_dir, n) for n in ("orders", "customer", "events") if f" {n}" in sql}
