@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from festa.shared import shared_folder
+
 #: The six white space characters that the text contracts name.
 WHITE_SPACE = r"\x20\x09-\x0D"
 
@@ -19,14 +21,10 @@ def text_of(column: str = "text") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and stages, as the session's ``spark.checkpoint.dir`` or its context names it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    """The shared folder for cut lineage and the pipeline's stages."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
