@@ -6,12 +6,13 @@ of several sketches takes the least of them under its own hash and retains their
 texts agree on a sketch the more likely the nearer they are by edit distance. Edits at every fifth word leave no
 run of five, so that a second family of sketches takes runs of three words (of two in texts under 30 words, where
 few runs are left); texts under ten words, which the threshold allows one edit, have themselves and themselves
-without each word as keys, which two texts one edit apart always share. Nodes that agree on a key meet in a bucket. Each member is first compared with the bucket's leader, which is another pseudo-random
-member for every sketch; where a comparison fails, the members left over meet again under new leaders. Buckets
-that this leaves in several components are then gone through whole: members lie in chunks of one length band,
-chunks of near lengths meet, and every pair of two components is compared unless the counts of its words prove
-it too far apart. So no pair of a bucket stays neither linked nor compared. A comparison aligns the two word sequences within a band: their edit similarity (1 -
-edits / longer length) must be 0.8 or more. Classes are the connected components of the links found.
+without each word as keys, which two texts one edit apart always share. Nodes that agree on a key meet in a bucket.
+Each member is first compared with the bucket's leader, the first in one of a few pseudo-random orders. Buckets that
+this leaves in several components are then gone through whole: members lie in chunks of one length band, chunks of
+near lengths meet, and every pair of two components is compared unless the counts of its words prove it too far apart.
+So no pair of a bucket stays neither linked nor compared. A comparison aligns the two word sequences within a band:
+their edit similarity (1 - edits / longer length) must be 0.8 or more. Classes are the connected components of the
+links found.
 
 Defined results: a class is named by its least doc_id; a null text counts as empty, texts without any sign
 are one class; texts under five words are one k-mer; rows with a null doc_id join the class of their text
@@ -50,6 +51,10 @@ ONE_EDIT_WORDS = 10
 RETAINED = 2
 #: Up to so many nodes are broadcast to where their words lie (8 MB).
 FEW_NODES = 1_000_000
+#: Up to so many bytes of words are broadcast to the pairs to be compared; more are joined by a shuffle.
+FEW_BYTES = 16 * 2**20
+#: Pseudo-random orders in which a bucket's first member leads it.
+LEADERS = 4
 #: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair, so that more rounds only move work.
 ROUNDS = 1
 #: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
@@ -269,9 +274,12 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = sized(pairs.select("node", "leader"), 20_000)
-    tokens = _asked(tokens, pairs.select(F.explode(F.array("node", "leader")).alias("node")))
+    tokens = _asked(tokens, pairs.select("node").distinct().unionByName(pairs.select(F.col("leader").alias("node")).distinct()))
+    some = F.broadcast if (tokens.agg(F.sum(F.length("tokens"))).first()[0] or 0) <= FEW_BYTES else (lambda df: df)
+    # comparing costs far more than moving the pairs: over as many tasks as there are, some thousand pairs each
+    pairs = pairs.repartition(max(1, min(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 2_000)))
     leaders = tokens.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
-    return pairs.join(tokens, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
+    return pairs.join(some(tokens), "node").join(some(leaders), "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
@@ -406,7 +414,9 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     everyone, labels = members, None
     link = lambda pairs: _relabelled(labels, sized(_verified(pairs, tokens, least), 200_000))
     for turn in range(rounds):
-        first = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
+        # few orders in all: the buckets of one class then mostly have the same leaders, and few pairs to compare
+        order = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
+        first = F.min(F.struct(order.alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
         led = members.groupBy("key").agg(first.alias("l")).select("key", "l.leader", "l.leader_n")
         # what is neither the leader nor linked to it; the next round's leaders are chosen among these
         pairs = sized(_apart(members.join(led, "key").filter("node <> leader"), labels), 200_000)
