@@ -125,6 +125,28 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def updated(old: DataFrame, new: DataFrame, kept: tuple[str, ...] = ("province", "first_seen", "alerted")) -> DataFrame:
+    """``old`` with the fields of ``new`` (one row an id) but for those that an update never touches; unknown ids add nothing."""
+    hit = F.col("n.id").isNotNull()
+    fields = [F.col(f"o.{c}") if c == "id" or c in kept else F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns]
+    return old.alias("o").join(new.alias("n"), F.col("o.id") == F.col("n.id"), "left").select(*fields)
+
+
+def subscribed(subscribers: DataFrame, joining: DataFrame, most: int = 60) -> DataFrame:
+    """chat_id, name, joined_at: who joins is added with a name of 60 characters at most; who is there stays as is, the first to join wins."""
+    rank = lambda df, n, name: df.select("chat_id", name.alias("name"), "joined_at", F.lit(n).alias("__new"))
+    both = rank(subscribers, 0, F.col("name")).unionByName(rank(joining, 1, F.substring(F.coalesce("name", F.lit("")), 1, most)))
+    first = F.min(F.struct("__new", "joined_at", "name")).alias("f")
+    return both.groupBy("chat_id").agg(first).select("chat_id", "f.name", "f.joined_at")
+
+
+def named(replies: DataFrame, events: DataFrame) -> DataFrame:
+    """Replies (name, …) with the ``id`` of the event of the same normalised name; of several events the last one. Others are left out."""
+    key = text.normalize(F.col("name")).alias("__key")
+    last = events.groupBy(key).agg(F.max("id").alias("id"))
+    return replies.select("*", key).join(last, "__key").drop("__key")
+
+
 def deleted(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 

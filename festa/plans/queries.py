@@ -13,7 +13,7 @@ from festa.operators import catalogue, classify, enrich, resolve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
 from festa.shared import shared_folder
 from festa.sources import feeds, html
-from festa.streaming import ingest
+from festa.streaming import ingest, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -296,6 +296,73 @@ def message_recipients(spark, sf_dir):
     return catalogue.recipients(configured, subscribers).select("chat_id", "kind")
 
 
+@query(f"SELECT id, name FROM ({EVENTS}) WHERE NOT alerted")
+def deleted_events(spark, sf_dir):
+    rows = view(spark, sf_dir, EVENTS)
+    return catalogue.deleted(rows, rows.filter("alerted")).select("id", "name")
+
+
+@query(f"SELECT id, alerted OR {SQL_LARGE} AS alerted FROM ({EVENTS})")
+def alerted_events(spark, sf_dir):
+    rows = view(spark, sf_dir, EVENTS)
+    return catalogue.mark_alerted(rows, rows.filter(catalogue.large())).select("id", "alerted")
+
+
+@query(f"SELECT id, CASE WHEN fireworks THEN upper(name) ELSE name END AS name, alerted FROM ({EVENTS})")
+def upserted_events(spark, sf_dir):
+    rows = view(spark, sf_dir, EVENTS)
+    return catalogue.upserted(rows, rows.filter("fireworks").withColumn("name", F.upper("name"))).select("id", "name", "alerted")
+
+
+@query(f"SELECT id, CASE WHEN big_concert THEN upper(name) ELSE name END AS name, CASE WHEN big_concert THEN NULL ELSE crowd END AS crowd, province, alerted, first_seen FROM ({EVENTS})")
+def updated_events(spark, sf_dir):
+    rows = view(spark, sf_dir, EVENTS)
+    new = rows.filter("big_concert").withColumns({"name": F.upper("name"), "crowd": F.lit(None).cast("int"), "province": F.lit("hcm"), "alerted": F.lit(False), "first_seen": today()})
+    return catalogue.updated(rows, new).select("id", "name", "crowd", "province", "alerted", "first_seen")
+
+
+@query("""
+    WITH o AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS chat_id, CAST(o_orderdate AS DATE) AS d, o_orderstatus = 'F' AS old FROM orders)
+    SELECT chat_id, coalesce(min(d) FILTER (WHERE old), min(d)) AS joined_at, CASE WHEN count(*) FILTER (WHERE old) > 0 THEN 'old' ELSE repeat('x', 60) END AS name FROM o GROUP BY 1""")
+def subscribers_added(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("chat_id"), F.col("o_orderdate").cast("date").alias("joined_at"), F.col("o_orderstatus") == "F")
+    rows = rows.toDF("chat_id", "joined_at", "old")
+    first = rows.filter("old").groupBy("chat_id").agg(F.min("joined_at").alias("joined_at")).withColumn("name", F.lit("old"))
+    return catalogue.subscribed(first, rows.filter("not old").withColumn("name", F.lit("x" * 70))).select("chat_id", "joined_at", "name")
+
+
+@query(f"SELECT link, status, event_id FROM ({LEDGER}) WHERE seen_at >= {D} - 90")
+def retained_links(spark, sf_dir):
+    return catalogue.retained_articles(view(spark, sf_dir, LEDGER), today()).select("link", "status", "event_id")
+
+
+@query(f"""
+    WITH r AS ({RUNS}), l AS (SELECT source_id, max(seq) FILTER (WHERE ok) AS last_seq FROM r GROUP BY 1)
+    SELECT source_id, count(*) AS fails FROM r JOIN l USING (source_id) WHERE NOT ok AND (last_seq IS NULL OR seq > last_seq) GROUP BY 1 HAVING count(*) >= 3""")
+def failing_sources(spark, sf_dir):
+    return catalogue.to_notify(catalogue.fail_streaks(view(spark, sf_dir, RUNS))).select("source_id", "fails")
+
+
+@query(f"SELECT item_id, link FROM ({ARTICLES}) ORDER BY published DESC, link LIMIT 50")
+def admitted_items(spark, sf_dir):
+    return schedule.admitted(articles(spark, sf_dir), 50).select("item_id", "link")
+
+
+@query(f"""
+    WITH e AS (SELECT {n("name")} AS k, id FROM ({EVENTS})), l AS (SELECT k, max(id) AS id FROM e GROUP BY 1)
+    SELECT e.id AS asked_id, l.id FROM e JOIN l USING (k)""")
+def named_replies(spark, sf_dir):
+    rows = view(spark, sf_dir, EVENTS)
+    return catalogue.named(rows.select(F.col("id").alias("asked_id"), F.upper("name").alias("name")), rows).select("asked_id", "id")
+
+
+@query("SELECT event_id, 'Hội ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS name, CAST(ts AS DATE) AS start_date, CASE WHEN CAST(json_extract(props, '$.k') AS INT) > 0 THEN CAST(json_extract(props, '$.k') AS INT) END AS crowd FROM events")
+def model_replies(spark, sf_dir):
+    k, day = F.regexp_extract("props", r"(\d+)", 1), F.col("ts").cast("date").cast("string")
+    reply = F.concat(F.lit('Here is the list: [{"name": " Hội '), k, F.lit('", "crowd": "'), k, F.lit('", "start_date": "'), day, F.lit('"}] Done.'))
+    return enrich.reply_rows(_table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))).select("event_id", "name", "start_date", "crowd")
+
+
 # entity resolution
 
 SQL_TOKENS = f"""
