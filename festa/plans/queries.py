@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
 from festa.operators import catalogue, classify, enrich, resolve
+from festa.plans import serve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
 from festa.shared import shared_folder
 from festa.sources import feeds, html
@@ -363,6 +364,32 @@ def model_replies(spark, sf_dir):
     return enrich.reply_rows(_table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))).select("event_id", "name", "start_date", "crowd")
 
 
+# chats
+
+UPDATES = """
+SELECT event_id AS update_id, 'c' || CAST(user_id AS STRING) AS chat_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'Nhóm ' || CAST(event_id AS STRING) END AS title,
+       CAST(NULL AS STRING) AS username, event_type AS first_name,
+       CASE event_id % 7 WHEN 0 THEN '/start' WHEN 1 THEN '/start MA1' WHEN 2 THEN '/stop' WHEN 3 THEN '/id' WHEN 4 THEN '/excel thang' WHEN 5 THEN '/excel' ELSE '/homnay' END AS text
+FROM events
+"""
+
+
+@query(f"""
+    WITH k AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS chat_id FROM customer WHERE c_acctbal > 0),
+    u AS (SELECT *, chat_id IN (SELECT chat_id FROM k) AS known FROM ({UPDATES}))
+    SELECT update_id, CASE update_id % 7 WHEN 0 THEN CASE WHEN known THEN 'join' ELSE 'refuse' END WHEN 1 THEN 'join' WHEN 2 THEN 'leave' WHEN 3 THEN 'id' WHEN 4 THEN 'month' WHEN 5 THEN 'week' END AS action,
+           update_id % 7 = 1 OR (update_id % 7 = 0 AND known) AS joins FROM u""")
+def chat_actions(spark, sf_dir):
+    known = _table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("chat_id"))
+    done = serve.acted(view(spark, sf_dir, UPDATES), known, "MA1")
+    return done.select("update_id", "action", F.coalesce(F.startswith("reply", F.lit("Đã đăng ký.")), F.lit(False)).alias("joins"))
+
+
+@query(f"SELECT chat_id, arg_max(CASE WHEN title <> '' THEN title ELSE first_name END, update_id) AS name FROM ({UPDATES}) GROUP BY 1")
+def chat_names(spark, sf_dir):
+    return serve.chats(view(spark, sf_dir, UPDATES))
+
+
 # entity resolution
 
 SQL_TOKENS = f"""

@@ -37,6 +37,36 @@ def allowed(updates: DataFrame, recipients: DataFrame) -> DataFrame:
     return told.join(known, "chat_id", "left").filter(F.coalesce("__known", F.col("cmd").isin(*OPEN_COMMANDS))).drop("__known")
 
 
+def acted(updates: DataFrame, recipients: DataFrame, code: str = "") -> DataFrame:
+    """Updates (chat_id, text, …) with ``action`` and ``reply`` of the commands that need no events: start, stop, help, id, excel.
+
+    With a ``code``, a chat that is no recipient yet joins only by giving it. Other commands have null in both. A chat
+    counts as known by ``recipients`` alone, so that all updates of one batch are judged alike.
+    """
+    parsed = text.parsed_command(F.col("text"))
+    told = updates.withColumn("__p", parsed).join(recipients.select("chat_id", F.lit(True).alias("__known")).distinct(), "chat_id", "left")
+    cmd, arg = F.col("__p.cmd"), F.col("__p.arg")
+    refused = F.lit(code != "") & F.col("__known").isNull() & (F.coalesce(arg, F.lit("")) != code)
+    period = F.when(F.lower(arg).isin("thang", "tháng", "month"), "month").otherwise("week")
+    action = F.when(cmd == "start", F.when(refused, "refuse").otherwise("join")).when(cmd == "stop", "leave").when(cmd == "excel", period).when(cmd.isin("help", "id"), cmd)
+    # What the bot says.
+    reply = (
+        F.when(F.col("action") == "refuse", "Bot yêu cầu mã tham gia. Gõ: /start <mã>")
+        .when(F.col("action") == "join", "Đã đăng ký. Bản tin sự kiện gửi tự động lúc 07:00 mỗi sáng, gõ /stop để huỷ.")
+        .when(F.col("action") == "leave", "Đã huỷ nhận tin. Gõ /start để đăng ký lại.")
+        .when(F.col("action") == "help", HELP)
+        .when(F.col("action") == "id", F.concat(F.lit("Chat ID của bạn: "), F.col("chat_id").cast("string")))
+        .when(F.col("action").isin("week", "month"), "Đang tạo file Excel…")
+    )
+    return told.withColumn("action", action).withColumn("reply", reply).drop("__p", "__known")
+
+
+def chats(updates: DataFrame) -> DataFrame:
+    """chat_id and name of every chat that wrote, as the last update (by update_id) names it."""
+    name = F.coalesce(F.nullif("title", F.lit("")), F.nullif("username", F.lit("")), F.col("first_name"), F.lit(""))
+    return updates.filter("chat_id is not null").groupBy("chat_id").agg(F.max_by(name, "update_id").alias("name"))
+
+
 def _scalar(events: DataFrame, column) -> object:
     return events.sparkSession.range(1).select(column).first()[0]
 

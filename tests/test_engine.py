@@ -229,3 +229,19 @@ def test_commands(spark, tmp_path):
     with zipfile.ZipFile(path) as z:
         sheet = z.read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row ") == 3 and "Lễ hội A" in sheet
+
+
+def test_subscribers_updates_and_names(spark):
+    day = date(2026, 1, 1)
+    there = spark.createDataFrame([("a", "An", day)], "chat_id string, name string, joined_at date")
+    joining = spark.createDataFrame([("a", "Khác", date(2025, 1, 1)), ("b", "x" * 70, day), ("b", "y", date(2026, 1, 2)), ("c", None, day)], there.schema)
+    assert {tuple(r) for r in catalogue.subscribed(there, joining).collect()} == {("a", "An", day), ("b", "x" * 60, day), ("c", "", day)}
+    old = spark.createDataFrame([(1, "A", "hcm", True, 5), (2, "B", "camau", False, None)], "id int, name string, province string, alerted boolean, crowd int")
+    new = spark.createDataFrame([(1, "A2", "cantho", False, None), (3, "C", "hcm", False, 1)], old.schema)
+    assert {tuple(r) for r in catalogue.updated(old, new).collect()} == {(1, "A2", "hcm", True, None), (2, "B", "camau", False, None)}
+    asked = spark.createDataFrame([("LỄ HỘI a!",), (None,), ("khác",)], "name string")
+    events = spark.createDataFrame([(7, "Lễ hội A"), (9, "lễ hội a"), (8, "B")], "id int, name string")
+    assert [tuple(r) for r in catalogue.named(asked, events).collect()] == [("LỄ HỘI a!", 9)]
+    updates = spark.createDataFrame([(1, "a", "/start"), (2, "z", "/start"), (3, "z", "/start MA"), (4, "z", "/id"), (5, "z", "/excel tháng"), (6, "z", None)], "update_id int, chat_id string, text string")
+    got = {r.update_id: (r.action, r.reply) for r in serve.acted(updates, there, "MA").collect()}
+    assert [got[i][0] for i in range(1, 7)] == ["join", "refuse", "join", "id", "month", None] and got[4][1] == "Chat ID của bạn: z"
