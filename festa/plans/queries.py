@@ -339,9 +339,9 @@ def retained_links(spark, sf_dir):
 
 @query(f"""
     WITH r AS ({RUNS}), l AS (SELECT source_id, max(seq) FILTER (WHERE ok) AS last_seq FROM r GROUP BY 1)
-    SELECT source_id, count(*) AS fails FROM r JOIN l USING (source_id) WHERE NOT ok AND (last_seq IS NULL OR seq > last_seq) GROUP BY 1 HAVING count(*) >= 3""")
+    SELECT source_id, count(*) AS fails FROM r JOIN l USING (source_id) WHERE NOT ok AND (last_seq IS NULL OR seq > last_seq) GROUP BY 1 HAVING count(*) >= 1""")
 def failing_sources(spark, sf_dir):
-    return catalogue.to_notify(catalogue.fail_streaks(view(spark, sf_dir, RUNS))).select("source_id", "fails")
+    return catalogue.to_notify(catalogue.fail_streaks(view(spark, sf_dir, RUNS)), threshold=1).select("source_id", "fails")
 
 
 @query(f"SELECT item_id, link FROM ({ARTICLES}) ORDER BY published DESC, link LIMIT 50")
