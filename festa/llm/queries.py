@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from festa.llm import chat, exact_dedup, fingerprint, html_extract, langid, mixing, near_dedup, packing, quality, sharding
+from festa.llm import chat, exact_dedup, fingerprint, html_extract, langid, licenses, merkle, mixing, near_dedup, packing, quality, sharding, whitening
 from festa.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_license_scan": op12_license_scan,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +96,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size,
                doc_id IS NOT DISTINCT FROM keep_id AND n_chars = keep_chars AS kept, text_sha256, n_chars FROM g
     """,
+    "op12_license_scan": licenses.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }
