@@ -1,14 +1,19 @@
 """Entity resolution: which reports are of one event, and what the event is after them.
 
-Pairs: events of one province that share a telling token and lie within three days (or are undated) meet in
-blocks (province, month, token); the number of shared tokens falls out of the grouping, so no token arrays are
-compared. The order-dependent fold (a merge changes what later reports match) runs per province on the live
-events, which retention bounds.
+Pairs: events of one province whose names agree enough and that lie within three days (or are undated). Two names can
+agree only if they share one of their rarest words, so events meet in blocks (province, month, word) under the first
+few words that the threshold leaves to each, by classes of the partner's number of words; a common word makes no block.
+
+Fold: reports in order, each merging into the first event it duplicates or becoming one; a merge changes what later
+reports match. Reports that pairs link (over distinct names and days, so copies cost nothing) fold on their own, at most
+``BLOCK`` reports of a root in a round; where an event may have come within reach of others, those are joined.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,10 +21,22 @@ from pyspark.sql import functions as F
 
 from festa.functions import lexicon
 from festa.functions.geo import KEYS, OWN
-from festa.functions.text import normalize, padded, phrases
+from festa.functions.names import event_name_of
+from festa.functions.text import canonical_name, is_preparing, normalize, padded, phrases
+from festa.operators.components import connected
+from festa.shared import numbered, stored
 
 BAND_DAYS = 3
 MOST_SOURCES = 6
+#: Shares of tokens that make two names alike: of both names' tokens, if undated, and of the shorter name's, if this many are shared.
+SHARE, UNDATED_SHARE, HELD, HELD_TOKENS = 0.34, 0.4, 0.6, 3
+#: Words of names so common that they come last in the order of words; numbers of words that count as one class of partners.
+COMMON_WORDS = 256
+CLASSES = ((1, 1), (2, 2), (3, 3), (4, 5), (6, 8), (9, 2**30))
+#: Reports of one root that one round folds.
+BLOCK = 20_000
+#: Reports of small roots that one group takes together.
+PACK = 4_000
 
 EVENT = (
     "id bigint, name string, province string, venue string, start_date date, end_date date, start_time string, crowd int, "
@@ -48,8 +65,9 @@ def gap_days(a_start: Column, a_last: Column, b_start: Column, b_last: Column) -
 
 def alike(shared: Column, a_size: Column, b_size: Column, dated: Column) -> Column:
     """Enough of the tokens agree; more are asked for if one event is undated."""
-    jaccard = shared / (a_size + b_size - shared)
-    return (shared > 0) & ((jaccard >= F.when(dated, 0.34).otherwise(0.4)) | ((shared / F.least(a_size, b_size) >= 0.6) & (shared >= 3)))
+    one = F.lit(1)
+    jaccard = shared / F.greatest(a_size + b_size - shared, one)
+    return (shared > 0) & ((jaccard >= F.when(dated, SHARE).otherwise(UNDATED_SHARE)) | ((shared / F.greatest(F.least(a_size, b_size), one) >= HELD) & (shared >= HELD_TOKENS)))
 
 
 def is_duplicate(a_tokens: Column, b_tokens: Column, dated: Column) -> Column:
@@ -60,40 +78,82 @@ def maybe_same(a_tokens: Column, b_tokens: Column) -> Column:
     return F.size(F.array_intersect(a_tokens, b_tokens)) >= 2
 
 
-def _spans(events: DataFrame) -> DataFrame:
-    told = events.select("id", "province", "start_date", last_date(F.col("start_date"), F.col("end_date")).alias("last"), tokens(F.col("name"), F.col("province")).alias("tokens"))
-    return told.withColumn("size", F.size("tokens")).select("*", F.explode("tokens").alias("token")).drop("tokens")
+def _told(events: DataFrame) -> DataFrame:
+    """id, province, start_date, last, tokens: rarest tokens first, by their number of names."""
+    rows = events.select("id", "province", "start_date", last_date(F.col("start_date"), F.col("end_date")).alias("last"), tokens(F.col("name"), F.col("province")).alias("tokens"))
+    return by_rarity(stored(rows))
+
+
+def by_rarity(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``tokens`` in one order for all: the most common words last, a bounded list of them."""
+    counts = rows.select(F.explode("tokens").alias("t")).groupBy("t").count()
+    common = [r.t for r in counts.orderBy(F.desc("count"), "t").limit(COMMON_WORDS).collect()][::-1]
+    ranked = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
+    return rows.withColumn("tokens", F.concat(F.array_sort(F.array_except("tokens", ranked)), F.array_intersect(ranked, F.col("tokens"))))
+
+
+def _least_shared(size: Column, other: int) -> Column:
+    """How many tokens names of ``size`` and of ``other`` or more tokens share at least, if they are alike."""
+    small = F.least(size, F.lit(other))
+    return F.greatest(F.lit(1), F.least(F.ceil(SHARE * (size + other) / (1 + SHARE) - 1e-9), F.greatest(F.lit(HELD_TOKENS), F.ceil(HELD * small - 1e-9)))).cast("int")
+
+
+def _offered(partner: int) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t.alias("token"), F.lit(partner).alias("partner"))
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """A row for each token under which an event may meet a partner: token, own class, class of the partner."""
+    size = F.size("tokens")
+    own, offers = F.lit(0), []
+    for i, (low, high) in enumerate(CLASSES):
+        own = F.when(size >= low, i).otherwise(own)
+        near = F.least(F.greatest(size, F.lit(low)), F.lit(high))
+        possible = (F.least(size, near) / F.greatest(size, near) >= SHARE) | (F.least(size, F.lit(high)) >= HELD_TOKENS)
+        prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), size - _least_shared(size, low) + 1))
+        offers.append(F.transform(F.when(possible, prefix).otherwise(F.array().cast("array<string>")), _offered(i)))
+    return rows.filter(size > 0).withColumns({"own": own, "k": F.explode(F.concat(*offers))}).select(*rows.columns, "own", "k.token", "k.partner")
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows of ``_keys`` that meet, once each, with ``shared``: columns of both as structs a and b."""
+    left = a.select(F.struct(*[c for c in a.columns if c not in ("own", "token", "partner")]).alias("a"), "own", "partner", "token", *keys)
+    right = b.select(F.struct(*[c for c in b.columns if c not in ("own", "token", "partner")]).alias("b"), F.col("partner").alias("own"), F.col("own").alias("partner"), "token", *keys)
+    met = left.join(right, [*keys, "token", "own", "partner"]).filter(F.col("a.id") != F.col("b.id"))
+    both = met.withColumn("both", F.array_intersect("a.tokens", "b.tokens"))
+    # of all words that two names share, the rarest alone stands for the pair
+    return both.filter(F.get("both", F.lit(0)) == F.col("token")).withColumn("shared", F.size("both"))
 
 
 def _months(start: Column, end: Column) -> Column:
     return F.sequence(F.trunc(start, "MM").cast("date"), F.trunc(end, "MM").cast("date"), F.expr("interval 1 month"))
 
 
-def shared_tokens(events: DataFrame) -> DataFrame:
-    """a_id < b_id, shared, a_size, b_size, dated for all pairs of one province within the band that share a token."""
-    spans = _spans(events)
-    dated, undated = spans.filter("start_date is not null"), spans.filter("start_date is null")
-    left = dated.select("*", F.explode(_months(F.col("start_date"), F.col("last"))).alias("month"))
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """a_id < b_id, shared, a_size, b_size, dated for all pairs of rows (of ``_told``) of one province within the band whose names may be alike."""
+    dated, undated = rows.filter("start_date is not null"), rows.filter("start_date is null")
     wide = dated.withColumn("from", F.date_sub("start_date", BAND_DAYS))
-    right = wide.select("*", F.explode(_months(F.col("from"), F.date_add("last", BAND_DAYS))).alias("month"))
-    a, b = left.alias("a"), right.alias("b")
+    left = _keys(dated.select("*", F.explode(_months(F.col("start_date"), F.greatest("start_date", "last"))).alias("month")))
+    right = _keys(wide.select("*", F.explode(_months(F.col("from"), F.date_add(F.greatest("start_date", "last"), BAND_DAYS))).alias("month")))
     # two spans may share several months: they meet in the first of them
     first = F.greatest(F.trunc(F.col("a.start_date"), "MM"), F.trunc(F.col("b.from"), "MM"))
-    met = a.join(b, ["province", "month", "token"]).filter((F.col("a.id") < F.col("b.id")) & (F.col("month") == first) & (gap_days(F.col("a.start_date"), F.col("a.last"), F.col("b.start_date"), F.col("b.last")) <= BAND_DAYS))
-    kept = [F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.size").alias("a_size"), F.col("b.size").alias("b_size")]
-    met = met.select(*kept, F.lit(True).alias("dated"))
-    u, any_ = undated.alias("u"), spans.alias("x")
-    loose = u.join(any_, ["province", "token"]).filter((F.col("u.id") != F.col("x.id")) & (F.col("x.start_date").isNotNull() | (F.col("u.id") < F.col("x.id"))))
-    swap = F.col("u.id") > F.col("x.id")
-    side = lambda c: (F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"u.{c}")), F.when(swap, F.col(f"u.{c}")).otherwise(F.col(f"x.{c}")))
-    (a_id, b_id), (a_size, b_size) = side("id"), side("size")
-    loose = loose.select(a_id.alias("a_id"), b_id.alias("b_id"), a_size.alias("a_size"), b_size.alias("b_size"), F.lit(False).alias("dated"))
-    return met.unionByName(loose).groupBy("a_id", "b_id", "a_size", "b_size", "dated").agg(F.count(F.lit(1)).alias("shared"))
+    met = _met(left, right, ["province", "month"]).filter((F.col("a.id") < F.col("b.id")) & (F.col("month") == first))
+    met = met.filter(gap_days(F.col("a.start_date"), F.col("a.last"), F.col("b.start_date"), F.col("b.last")) <= BAND_DAYS).withColumn("dated", F.lit(True))
+    loose = _met(_keys(undated), _keys(rows), ["province"]).filter(F.col("b.start_date").isNotNull() | (F.col("a.id") < F.col("b.id")))
+    sides = lambda df, dated: df.select(
+        F.least("a.id", "b.id").alias("a_id"),
+        F.greatest("a.id", "b.id").alias("b_id"),
+        F.size(F.when(F.col("a.id") < F.col("b.id"), F.col("a.tokens")).otherwise(F.col("b.tokens"))).alias("a_size"),
+        F.size(F.when(F.col("a.id") < F.col("b.id"), F.col("b.tokens")).otherwise(F.col("a.tokens"))).alias("b_size"),
+        F.lit(dated).alias("dated"),
+        "shared",
+    )
+    return sides(met, True).unionByName(sides(loose, False))
 
 
 def duplicate_pairs(events: DataFrame) -> DataFrame:
-    pairs = shared_tokens(events).filter(alike(F.col("shared"), F.col("a_size"), F.col("b_size"), F.col("dated")))
-    return pairs.select("a_id", "b_id", "shared")
+    pairs = shared_tokens(_told(events)).filter(alike(F.col("shared"), F.col("a_size"), F.col("b_size"), F.col("dated")))
+    return pairs.select("a_id", "b_id", F.col("shared").cast("bigint").alias("shared"))
 
 
 def first_matches(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -106,7 +166,7 @@ def first_matches(new: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merged(old: str, new: str) -> Column:
-    """The event ``old`` after the report ``new`` (names of struct columns), with ``changed``."""
+    """The event ``old`` after the report ``new`` (names of struct columns), with ``changed``; an event that was alerted as either is not alerted again."""
     o, n = (lambda f: F.col(f"{old}.{f}")), (lambda f: F.col(f"{new}.{f}"))
     links = F.slice(F.concat(o("sources"), F.array_except(n("sources"), o("sources"))), F.lit(1), F.greatest(F.lit(MOST_SOURCES), F.size(o("sources"))))
     crowd = F.when(F.coalesce(n("crowd"), F.lit(0)) > F.coalesce(o("crowd"), F.lit(0)), n("crowd")).otherwise(o("crowd"))
@@ -123,10 +183,11 @@ def merged(old: str, new: str) -> Column:
     case = F.when(fresh, "take").when(is_(longer), "extend").when(is_(other & (gap <= 1) & moved), "join").when(is_(other & (gap > 1) & (span(n("start_date"), n_last) > span(o("start_date"), o_last))), "take").otherwise("keep")
     start = F.when(case == "take", n("start_date")).when(case == "join", low).otherwise(o("start_date"))
     end = F.when(case.isin("take", "extend"), n("end_date")).when(case == "join", high).otherwise(o("end_date"))
-    name = F.when((F.char_length(n("name")) > F.char_length(o("name")) + 15) & (F.char_length(n("name")) <= 120), n("name")).otherwise(o("name"))
+    fuller = (F.char_length(n("name")) > F.char_length(o("name")) + 15) & (F.char_length(n("name")) <= 120)
+    name = F.when(fuller, n("name")).otherwise(o("name"))
     out = {
         "id": o("id"), "name": name, "province": o("province"), "venue": filled("venue"), "start_date": start, "end_date": end, "start_time": filled("start_time"), "crowd": crowd,
-        "fireworks": o("fireworks") | n("fireworks"), "big_concert": o("big_concert") | n("big_concert"), "summary": filled("summary"), "sources": links, "alerted": o("alerted"),
+        "fireworks": o("fireworks") | n("fireworks"), "big_concert": o("big_concert") | n("big_concert"), "summary": filled("summary"), "sources": links, "alerted": o("alerted") | n("alerted"),
     }
     same = [out[f].eqNullSafe(o(f)) for f in ("name", "venue", "start_date", "end_date", "start_time", "crowd", "fireworks", "big_concert", "summary", "sources")]
     changed = same[0]
@@ -135,122 +196,236 @@ def merged(old: str, new: str) -> Column:
     return F.struct(*[c.alias(k) for k, c in out.items()], (~changed).alias("changed"))
 
 
-class Catalogue:
-    """Live events of one province; reports are folded in one after the other."""
-
-    def __init__(self, events: list[dict], next_id: int = 1):
-        self.events = {e["id"]: e for e in events}
-        self.next_id = max([next_id, *(e["id"] + 1 for e in events)])
-        self.by_token: dict[str, set[int]] = defaultdict(set)
-        for e in events:
-            self._index(e)
-
-    def _index(self, e: dict) -> None:
-        for t in e["tokens"]:
-            self.by_token[t].add(e["id"])
-
-    @staticmethod
-    def _last(e: dict):
-        return e["end_date"] or e["start_date"]
-
-    def match(self, new: dict) -> dict | None:
-        """The known event of least id that the report duplicates."""
-        shared: dict[int, int] = defaultdict(int)
-        for t in new["tokens"]:
-            for i in self.by_token[t]:
-                shared[i] += 1
-        for i in sorted(shared):
-            old, n = self.events[i], shared[i]
-            dated = bool(old["start_date"] and new["start_date"])
-            if dated and (max(old["start_date"], new["start_date"]) - min(self._last(old), self._last(new))).days > BAND_DAYS:
-                continue
-            a, b = len(old["tokens"]), len(new["tokens"])
-            if n / (a + b - n) >= (0.34 if dated else 0.4) or (n / min(a, b) >= 0.6 and n >= 3):
-                return old
-        return None
-
-    def fold(self, new: dict) -> tuple[str, int]:
-        """new, merged or dup, and the event's id."""
-        old = self.match(new)
-        if old is None:
-            e = {**new, "id": self.next_id}
-            self.events[e["id"]] = e
-            self.next_id += 1
-            self._index(e)
-            return "new", e["id"]
-        before = {k: v for k, v in old.items()}
-        old["sources"] = [*old["sources"], *[s for s in dict.fromkeys(new["sources"]) if s not in old["sources"]][: max(0, MOST_SOURCES - len(old["sources"]))]]
-        old["crowd"] = new["crowd"] if (new["crowd"] or 0) > (old["crowd"] or 0) else old["crowd"]
-        for flag in ("fireworks", "big_concert", "alerted"):  # an event that was alerted as either is not alerted again
-            old[flag] = old[flag] or new[flag]
-        for text in ("venue", "start_time", "summary"):
-            old[text] = old[text] or new[text]
-        self._dates(old, new)
-        if len(old["name"]) + 15 < len(new["name"]) <= 120:
-            for t in old["tokens"]:
-                self.by_token[t].discard(old["id"])
-            old["name"], old["tokens"] = new["name"], new["tokens"]
-            self._index(old)
-        return ("dup" if old == before else "merged"), old["id"]
-
-    def _dates(self, old: dict, new: dict) -> None:
-        s, t = old["start_date"], new["start_date"]
-        if t is None:
-            return
-        if s is None:
-            old["start_date"], old["end_date"] = t, new["end_date"]
-        elif s == t and new["end_date"] and old["end_date"] and new["end_date"] > old["end_date"]:
-            old["end_date"] = new["end_date"]
-        elif (s, self._last(old)) != (t, self._last(new)):
-            if (max(s, t) - min(self._last(old), self._last(new))).days <= 1:
-                low, high = min(s, t), max(self._last(old), self._last(new))
-                if (low, high) != (s, self._last(old)):
-                    old["start_date"], old["end_date"] = low, high
-            elif self._last(new) - t > self._last(old) - s:
-                old["start_date"], old["end_date"] = t, new["end_date"]
-
-
 FIELDS = [f.split(" ")[0] for f in EVENT.split(", ")]
 
 
-def rows_of(frame: pd.DataFrame) -> list[dict]:
-    out = []
-    for r in frame.to_dict("records"):
-        for k in ("start_date", "end_date"):
-            r[k] = None if pd.isna(r[k]) else pd.Timestamp(r[k]).date()
-        r["crowd"] = None if pd.isna(r["crowd"]) else int(r["crowd"])
-        for k in ("sources", "tokens"):
-            r[k] = [] if r[k] is None else list(r[k])
-        for k in ("venue", "start_time", "summary", "name"):
-            r[k] = r[k] or ""
-        for k in ("fireworks", "big_concert", "alerted"):
-            r[k] = bool(r[k]) if r[k] is not None and not pd.isna(r[k]) else False
-        out.append(r)
+def _whole(rows: DataFrame) -> DataFrame:
+    """EVENT columns without nulls where a merge reads text, flags or links."""
+    texts = {c: F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "venue", "start_time", "summary")}
+    flags = {c: F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("fireworks", "big_concert", "alerted")}
+    links = {"sources": F.coalesce(F.array_distinct("sources"), F.array().cast("array<string>"))}
+    types = dict(f.split(" ") for f in EVENT.split(", "))
+    return rows.select(*[({**texts, **flags, **links}.get(c, F.col(c))).cast(types[c]).alias(c) for c in FIELDS])
+
+
+def cleaned(events: DataFrame) -> DataFrame:
+    """Stored events before they are compared: names as rules would give them now, no date from a title of preparations on one day."""
+    one_day = F.coalesce(F.col("end_date"), F.col("start_date")) == F.col("start_date")
+    drop = F.coalesce(is_preparing(F.col("name")) & one_day, F.lit(False))
+    named = F.coalesce(F.nullif(event_name_of(F.col("name"), F.col("summary")), F.lit("")), F.col("name"))
+    dates = {c: F.when(~drop, F.col(c)) for c in ("start_date", "end_date")}
+    return events.withColumns({**dates, "name": canonical_name(named)})
+
+
+def _alike_pairs(rows: DataFrame) -> DataFrame:
+    return shared_tokens(rows).filter(alike(F.col("shared"), F.col("a_size"), F.col("b_size"), F.col("dated"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+SAME = ("province", "tokens", "start_date", "last")
+
+
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """One row for all reports alike in what decides a match: id (the least), province, tokens, start_date, last."""
+    named = rows.filter(F.col("province").isNotNull() & (F.size("tokens") > 0))
+    return named.groupBy(*SAME).agg(F.min("id").alias("id"))
+
+
+def rooted(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``rows`` with ``root``: the same for reports that a chain of pairs links. Copies are one kind and make no pairs."""
+    roots = kinds.join(connected(_alike_pairs(kinds)), F.col("id") == F.col("node"), "left").select(*SAME, F.coalesce("root", "id").alias("root"))
+    k = roots.select(*[F.col(c).alias(f"__{c}") for c in SAME], "root")
+    same = F.lit(True)
+    for c in SAME:
+        same = same & (F.col(c).eqNullSafe(F.col(f"__{c}")))
+    return rows.join(k, same, "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
+
+
+def reached(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Links (a, b) between roots of which one's events may, at some time, have been what a report of the other matches.
+
+    An event may have borne the names of its first report and of those long enough to replace it, and lay within the days of
+    all its reports; if its first report was undated it may have been so for a while. Reports of other roots that agree
+    with any such name and lie within reach of those days make a link.
+    """
+    told = changes.drop("root").join(rows.select("id", "name", "root", "province", "tokens", "start_date", "last"), F.col("report_id") == F.col("id")).drop("id")
+    whole = told.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("start_date").alias("low"),
+        F.max("last").alias("high"),
+        F.max(F.when(F.col("report_id") == F.col("event_id"), F.struct(F.char_length("name").alias("size"), F.col("start_date").isNull().alias("undated")))).alias("first"),
+    )
+    fuller = (F.col("report_id") == F.col("event_id")) | ((F.char_length("name") > F.col("first.size") + 15) & (F.char_length("name") <= 120))
+    wider = F.col("first.undated") | ~F.col("low").eqNullSafe(F.col("start_date")) | ~F.col("high").eqNullSafe(F.col("last")) | (F.col("report_id") != F.col("event_id"))
+    states = told.join(whole.filter("n > 1"), "event_id").filter(fuller & wider & (F.size("tokens") > 0))
+    at = lambda c: F.when(~F.col("first.undated"), F.col(c))
+    states = states.select(F.col("event_id").alias("id"), "root", "province", "tokens", at("low").alias("start_date"), at("high").alias("last")).distinct()
+    known = rows.filter(F.col("province").isNotNull() & (F.size("tokens") > 0)).groupBy("root", *SAME).agg(F.min("id").alias("id")).select("id", "root", *SAME)
+    near = F.coalesce(gap_days(F.col("a.start_date"), F.col("a.last"), F.col("b.start_date"), F.col("b.last")) <= BAND_DAYS, F.lit(True))
+    met = _met(_keys(states), _keys(known), ["province"]).filter((F.col("a.root") != F.col("b.root")) & near)
+    return met.filter(alike(F.col("shared"), F.size("a.tokens"), F.size("b.tokens"), F.lit(True))).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
+
+
+def _same(e: dict, r: dict, shared: int) -> bool:
+    dated = bool(e["start_date"] and r["start_date"])
+    if dated and (max(e["start_date"], r["start_date"]) - min(_last(e), _last(r))).days > BAND_DAYS:
+        return False
+    a, b = len(e["tokens"]), len(r["tokens"])
+    return shared / (a + b - shared) >= (SHARE if dated else UNDATED_SHARE) or (shared >= HELD_TOKENS and shared / min(a, b) >= HELD)
+
+
+def _last(e: dict):
+    return e["end_date"] or e["start_date"]
+
+
+def _span(old: dict, new: dict) -> tuple:
+    """The days of an event after a report, as in ``merged``."""
+    s, t, own = old["start_date"], new["start_date"], (old["start_date"], old["end_date"])
+    if t is None:
+        return own
+    if s is None:
+        return t, new["end_date"]
+    if s == t and old["end_date"] and new["end_date"] and new["end_date"] > old["end_date"]:
+        return s, new["end_date"]
+    low, high = min(s, t), max(_last(old), _last(new))
+    if (max(s, t) - min(_last(old), _last(new))).days <= 1:
+        return own if (low, high) == (s, _last(old)) else (low, high)
+    return (t, new["end_date"]) if _last(new) - t > _last(old) - s else own
+
+
+def _merge(old: dict, new: dict) -> bool:
+    """``merged`` for rows at hand: change ``old``, tell whether it changed."""
+    more = [x for x in new["sources"] if x not in old["sources"]][: max(0, MOST_SOURCES - len(old["sources"]))]
+    after = {"sources": old["sources"] + more, "crowd": new["crowd"] if (new["crowd"] or 0) > (old["crowd"] or 0) else old["crowd"]}
+    after |= {c: old[c] or new[c] for c in ("venue", "start_time", "summary", "fireworks", "big_concert")}
+    after["start_date"], after["end_date"] = _span(old, new)
+    if len(old["name"]) + 15 < len(new["name"]) <= 120:
+        after |= {"name": new["name"], "tokens": new["tokens"]}
+    changed = any(old[c] != v for c, v in after.items() if c != "tokens")
+    old |= after | {"alerted": old["alerted"] or new["alerted"]}
+    return changed
+
+
+def _rows(frame: pd.DataFrame) -> dict[int, list[dict]]:
+    """The rows of each root, known events first, then by id."""
+    rows: dict[int, list[dict]] = defaultdict(list)
+    for r in frame.sort_values(["known", "id"], ascending=[False, True]).to_dict("records"):
+        r |= {"crowd": None if pd.isna(r["crowd"]) else int(r["crowd"]), "sources": list(r["sources"]), "tokens": list(r["tokens"])}
+        rows[r["root"]].append(r)
+    return rows
+
+
+_ROW = f"root bigint, report_id bigint, status string, event_id bigint, {EVENT}, tokens array<string>, known boolean"
+
+
+def _fold_root(reports: list[dict], events: list[dict]) -> list[dict]:
+    """Fold one root's reports, in order, into its events so far, a list that grows; the changes."""
+    found: dict[str, set[int]] = defaultdict(set)
+    for at, e in enumerate(events):
+        for t in e["tokens"]:
+            found[t].add(at)
+    changes = []
+    for r in reports:
+        shared = Counter(at for t in r["tokens"] for at in found[t]) if not r["known"] and r["province"] else {}
+        at = next((i for i in sorted(shared) if _same(events[i], r, shared[i])), None)
+        if at is None:
+            at, status = len(events), "known" if r["known"] else "new"
+            events.append(dict(r))
+        else:
+            before, status = events[at]["tokens"], "merged" if _merge(events[at], r) else "dup"
+            for t in before:
+                found[t].discard(at)
+        for t in events[at]["tokens"]:
+            found[t].add(at)
+        changes.append({"root": r["root"], "report_id": r["id"], "status": status, "event_id": events[at]["id"]})
+    return changes
+
+
+def _fold_pack(reports: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """The roots of one pack: a row for each report's change, then one for each event."""
+    columns, before, out = [c.split(" ")[0] for c in _ROW.split(", ")], _rows(state), []
+    for root, rows in _rows(reports).items():
+        events = before[root]
+        out += _fold_root(rows, events)
+        out += [{c: e[c] for c in ("root", *FIELDS, "tokens", "known")} for e in events]
+    frame = pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns, dtype=object)
+    return frame.astype({"report_id": "Int64", "event_id": "Int64", "id": "Int64", "crowd": "Int32"}).astype({c: "boolean" for c in ("fireworks", "big_concert", "alerted", "known")})
+
+
+@dataclass(frozen=True)
+class Resolution:
+    """events: EVENT columns, one row an event; changes: report_id, status (known, new, merged, dup), event_id."""
+
+    events: DataFrame
+    changes: DataFrame
+
+
+def _fold_roots(rows: DataFrame, block: int) -> Resolution:
+    """Each root of ``rows`` folded on its own, with the column ``root`` in both tables; at most ``block`` reports of a root a round."""
+    sizes = stored(rows.groupBy("root").agg(F.count(F.lit(1)).alias("members")))
+    most = sizes.agg(F.max("members")).first()[0] or 0
+    rows = stored(rows.join(sizes, "root"))
+    alone = rows.filter("members = 1")
+    events = [alone.select("root", *FIELDS)]
+    changes = [alone.select("root", F.col("id").alias("report_id"), F.when(F.col("known"), "known").otherwise("new").alias("status"), F.col("id").alias("event_id"))]
+    several = rows.filter((F.col("members") > 1) & (F.col("members") <= block)).withColumn("block", F.lit(0).cast("bigint"))
+    if most > block:
+        large = numbered(rows.filter(F.col("members") > block), F.col("root"), ~F.col("known"), F.col("id"))
+        first = large.groupBy("root").agg(F.min("at").alias("first"))
+        large = large.join(first, "root").withColumn("block", F.floor((F.col("at") - F.col("first")) / block))
+        several = stored(several.unionByName(large.select(*several.columns)))
+    packs = max(1, several.count() // PACK) if most > 1 else 1
+    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs))).groupBy("pack")
+    columns = ["root", *FIELDS, "tokens", "known"]
+    state = rows.limit(0).select(columns)
+    for k in range(-(-most // block) if most > 1 else 0):
+        now = several.filter(F.col("block") == k)
+        done = stored(pack(now.select(columns)).cogroup(pack(state)).applyInPandas(_fold_pack, _ROW))
+        state = done.filter("id is not null").select(columns).join(several.filter(F.col("block") == k + 1).select("root").distinct(), "root", "left_semi")
+        last = now.filter(F.col("members") <= (k + 1) * block).select("root").distinct()
+        events.append(done.filter("id is not null").join(last, "root", "left_semi").select("root", *FIELDS))
+        changes.append(done.filter("id is null").select("root", "report_id", "status", "event_id"))
+    return Resolution(stored(_union(events)), stored(_union(changes)))
+
+
+def fold(reports: DataFrame, known: DataFrame | None = None, block: int | None = None) -> Resolution:
+    """Fold reports (EVENT columns; ids give the order and differ from those of known events) into the known events.
+
+    A report merges into the event of least id that it duplicates as it then stands, or becomes an event under its own
+    id. Known events are not compared with each other. Roots, first the chains of pairs, fold on their own; those whose
+    events may have come within reach of another's reports are joined and folded again, until none do: the result is
+    that of one report after the other. Both tables of the result are stored.
+    """
+    rows = _whole(reports).withColumn("known", F.lit(False))
+    if known is not None:
+        rows = _whole(known).withColumn("known", F.lit(True)).unionByName(rows)
+    rows = rows.withColumns({"last": last_date(F.col("start_date"), F.col("end_date")), "tokens": F.array_sort(tokens(F.col("name"), F.col("province")))})
+    rows = stored(by_rarity(stored(rows)))
+    rows = stored(rooted(rows, stored(kinds_of(rows))))
+    done = _fold_roots(rows, block or BLOCK)
+    while True:
+        joined = connected(reached(rows, done.changes))
+        if joined.isEmpty():
+            return Resolution(done.events.drop("root"), done.changes.drop("root"))
+        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+        touched = moved.select("root").union(moved.select(F.col("__root").alias("root"))).distinct()
+        rows = stored(rows.join(moved, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root"))
+        again = _fold_roots(rows.join(touched, "root", "left_semi"), block or BLOCK)
+        rest = lambda t: t.join(touched, "root", "left_anti")
+        done = Resolution(stored(rest(done.events).unionByName(again.events)), stored(rest(done.changes).unionByName(again.changes)))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def frame_of(events: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame([[e[f] for f in FIELDS] for e in events], columns=FIELDS)
-    return frame.astype({"crowd": "Int32", "fireworks": bool, "big_concert": bool, "alerted": bool})
+def resolve(reports: DataFrame) -> DataFrame:
+    """The events that the reports make, each under its first report's id."""
+    return fold(reports).events
 
 
-def resolve(reports: DataFrame) -> DataFrame:
-    """Fold reports (EVENT columns; ids give the order) province by province: the events, each under its first report's id."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        known = Catalogue([])
-        for r in sorted(rows_of(frame), key=lambda r: r["id"]):
-            first = r["id"]
-            status, at = known.fold(r)
-            if status == "new":
-                e = known.events.pop(at)
-                for t in e["tokens"]:
-                    known.by_token[t].discard(at)
-                e["id"] = first
-                known.events[first] = e
-                known._index(e)
-                known.next_id = first + 1
-        return frame_of(list(known.events.values()))
-
-    told = reports.withColumn("tokens", tokens(F.col("name"), F.col("province")))
-    return told.groupBy("province").applyInPandas(lambda f: fold(f), EVENT)
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Stored events after ``cleaned``, those of one event merged into the one of least id, by ascending ids."""
+    return fold(cleaned(events)).events

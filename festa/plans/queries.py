@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
-from festa.operators import catalogue, classify, enrich, resolve
+from festa.operators import catalogue, classify, enrich, resolve, stored
 from festa.plans import serve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
 from festa.shared import shared_folder
 from festa.sources import feeds, html
-from festa.streaming import ingest, schedule
+from festa.streaming import alerts, ingest, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,7 +523,81 @@ def stream_source_notices(spark, sf_dir):
 
 @query()
 def stream_resolved(spark, sf_dir):
+    """The stored events after a stream of reports in two batches."""
     folder = _folder(spark)
     reports = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
     stream = _streamed(spark, reports.select(*resolve.FIELDS).withColumn("today", F.lit(None).cast("date")), folder, "reports")
-    return ingest.drained(ingest.resolved(stream), folder, "changes").select("province", "report_id", "status", "event_id")
+    ingest.resolve_into(stream, f"{folder}/events", f"{folder}/resolve").awaitTermination()
+    return stored.events_at(spark, f"{folder}/events").read().select(*resolve.FIELDS)
+
+
+# what is kept on disk
+
+_DUE = f"SELECT id FROM ({EVENTS}) WHERE NOT alerted AND start_date <= DATE '{TODAY}' + 60 AND coalesce(end_date, start_date) >= DATE '{TODAY}' AND (crowd >= 10000 OR fireworks OR big_concert)"
+
+
+def _kept(spark: SparkSession, sf_dir: str, folder: str):
+    """The events as a stored table, with its rows as a view."""
+    table = stored.events_at(spark, f"{folder}/events")
+    rows = events(spark, sf_dir).withColumns({"first_seen": F.col("first_seen").cast("timestamp"), "updated_at": F.col("first_seen").cast("timestamp")})
+    table.change(rows)
+    return table
+
+
+@query(f"""
+    SELECT id, name, province, CASE WHEN id % 3 = 0 THEN 'Nhà hát' ELSE venue END AS venue, CASE WHEN id % 3 = 0 THEN 7 ELSE crowd END AS crowd, alerted, CAST(first_seen AS DATE) AS first_day,
+           CASE WHEN id % 3 = 0 THEN DATE '{TODAY}' ELSE CAST(first_seen AS DATE) END AS updated_day
+    FROM ({EVENTS}) WHERE id % 7 <> 0""")
+def stored_catalogue(spark, sf_dir):
+    """Events inserted into a table on disk, a third of them updated, a seventh deleted, and read again."""
+    table = _kept(spark, sf_dir, _folder(spark))
+    rows = table.read(1)
+    change = rows.filter("id % 3 = 0").withColumns({"venue": F.lit("Nhà hát"), "crowd": F.lit(7), "province": F.lit("nowhere"), "alerted": F.lit(True)})
+    stored.update(table, change, today().cast("timestamp"))
+    stored.delete(table, rows.filter("id % 7 = 0"))
+    return table.read().select("id", "name", "province", "venue", "crowd", "alerted", F.to_date("first_seen").alias("first_day"), F.to_date("updated_at").alias("updated_day"))
+
+
+@query(f"SELECT id AS event_id, CAST(1 AS BIGINT) AS sends, true AS alerted FROM ({_DUE})")
+def alerts_once(spark, sf_dir):
+    """How often each large event was alerted, after a sender that delivers in part, one that delivers all, and repeats of both batches."""
+    folder = _folder(spark)
+    table, outbox = _kept(spark, sf_dir, folder), alerts.outbox_at(spark, f"{folder}/outbox")
+
+    def sender(part):
+        def send(messages):
+            messages.filter(part).select("event_id").write.mode("append").parquet(f"{folder}/sent")
+            return messages.filter(part)
+
+        return send
+
+    odd, all_ = F.col("event_id") % 2 == 1, F.lit(True)
+    for batch, part in ((1, odd), (1, odd), (2, all_), (2, all_), (3, all_)):
+        alerts.deliver(table, outbox, sender(part), today(), batch)
+    sends = spark.read.schema("event_id bigint").parquet(f"{folder}/sent").groupBy("event_id").agg(F.count(F.lit(1)).alias("sends"))
+    return sends.join(table.read().select(F.col("id").alias("event_id"), "alerted"), "event_id")
+
+
+_STATUS = "CASE WHEN status = 'error' THEN 'no_body' WHEN status = 'view' THEN 'title_only' ELSE status END"
+
+
+@query(f"""
+    WITH RECURSIVE l AS (
+        SELECT *, row_number() OVER (PARTITION BY link ORDER BY at, status) AS n, at + CASE WHEN status IN ('no_body', 'title_only') THEN INTERVAL 6 HOUR ELSE INTERVAL 90 DAY END AS until
+        FROM (SELECT link, {_STATUS} AS status, seen_at AS at FROM ({LEDGER}))),
+    r AS (SELECT link, n, until FROM l WHERE n = 1
+          UNION ALL SELECT link, n, until FROM (
+              SELECT l.link, l.n, l.until, row_number() OVER (PARTITION BY l.link ORDER BY l.n) AS k FROM r JOIN l ON l.link = r.link AND l.n > r.n AND l.at >= r.until) WHERE k = 1)
+    SELECT l.link, l.status, l.at FROM r JOIN l USING (link, n)""")
+def stream_ledger(spark, sf_dir):
+    """Items whose link no live entry holds: entries of articles that could not be read free their link after six hours, others after 90 days."""
+    folder = _folder(spark)
+    items = view(spark, sf_dir, LEDGER).selectExpr("link", f"{_STATUS} AS status", "seen_at AS at")
+    return ingest.drained(ingest.admitted_once(_streamed(spark, items, folder, "items")), folder, "ledger")
+
+
+@query()
+def deduplicated_events(spark, sf_dir):
+    """Stored events after names and dates are cleaned and those of one event are merged."""
+    rows = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
+    return resolve.deduplicated(rows.select(*resolve.FIELDS))

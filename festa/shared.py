@@ -1,10 +1,12 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what is kept there between the steps of an operator."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +17,22 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="festa-checkpoint-")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_festa-checkpoints"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again: cut lineage, of which each later use reads its columns alone."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, *by: Column) -> DataFrame:
+    """``rows``, stored, with ``at``, their places from 0 in the order of ``by``: one sort by range, no task holds all rows."""
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id())
+    placed = stored(placed)
+    part = F.shiftrightunsigned("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).count()
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    at = F.col("__start") + F.col("__place").bitwiseAND(2**33 - 1)
+    return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("at", at).drop("__part", "__start", "__place")

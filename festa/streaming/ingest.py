@@ -1,23 +1,24 @@
 """Structured Streaming: items seen once, source health, and events resolved as reports come in.
 
-State is small and bounded: links for the ledger's 90 days (watermark), two numbers for each source, and the live
-events of each province, which retention removes.
+State is small and bounded: a number for each link of the ledger's 90 days, two numbers for each source, and the stored
+events, a row each, which retention removes.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from festa.operators.resolve import Catalogue, rows_of, tokens
+from festa.operators.catalogue import RETRY_STATUSES
+from festa.operators.stored import events_at, ingest
+from festa.shared import stored
 
-LEDGER_DAYS, FEED_DAYS, RETENTION_DAYS = 90, 45, 90
+LEDGER_DAYS, FEED_DAYS, RETRY_HOURS = 90, 45, 6
 NOTIFY_AFTER = 3
 
 
@@ -61,48 +62,77 @@ def source_notices(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source_id").applyInPandasWithState(_health, _HEALTH, "fails int, notified boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-_CHANGES = "province string, report_id bigint, status string, event_id bigint, event string"
+def resolve_into(reports: DataFrame, events: str, folder: str) -> StreamingQuery:
+    """Start a stream of reports (EVENT columns and ``today``) into the stored events at ``events``; its changes by batch below ``folder``.
 
+    State is the table, a row an event, which retention shrinks by the batch's last ``today`` (none if all are null). A batch is
+    folded as ``resolve.fold`` does and committed with its number; a repeated batch changes nothing.
+    """
 
-def _dump(e: dict) -> str:
-    return json.dumps(e, default=lambda d: d.isoformat() if isinstance(d, date) else str(d), ensure_ascii=False)
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        rows = stored(rows)
+        last = rows.agg(F.max("today")).first()[0]
+        today = None if last is None else F.lit(last).cast("date")
+        now = F.current_timestamp() if last is None else F.lit(last).cast("timestamp")
+        changes = ingest(events_at(spark, events), rows, now, today, (folder, number))
+        if changes is not None:
+            changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
+    return reports.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
-def _load(text: str) -> dict:
-    e = json.loads(text)
-    for k in ("start_date", "end_date"):
-        e[k] = date.fromisoformat(e[k]) if e[k] else None
-    return e
 
+LEDGER_ITEM = "link string, status string, at timestamp"
 
-def _resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stored, next_id = state.get if state.exists else ("[]", 1)
-    known = Catalogue([_load(x) for x in json.loads(stored)], next_id)
-    out = []
-    reports = sorted((r for f in frames for r in rows_of(f)), key=lambda r: r["id"])
-    for r in reports:
-        today = r.pop("today", None)
-        report = r["id"]
-        status, at = known.fold({k: v for k, v in r.items()})
-        out.append((key[0], report, status, at, _dump(known.events[at])))
-        if today is not None and not pd.isna(today):
-            limit = pd.Timestamp(today).date() - timedelta(days=RETENTION_DAYS)
-            for e in [e for e in known.events.values() if (e["end_date"] or e["start_date"] or date.max) < limit]:
-                del known.events[e["id"]]
-                for t in e["tokens"]:
-                    known.by_token[t].discard(e["id"])
-    state.update((json.dumps([_dump(e) for e in known.events.values()]), known.next_id))
-    yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _CHANGES.split(", ")])
-
-
-def resolved(reports: DataFrame) -> DataFrame:
-    """A change row for each report (EVENT columns and ``today``): new, merged or dup, and the event as it stands."""
-    told = reports.withColumn("tokens", tokens(F.col("name"), F.col("province")))
-    return told.groupBy("province").applyInPandasWithState(_resolve, _CHANGES, "events string, next_id bigint", "append", GroupStateTimeout.NoTimeout)
+
+class _Entries(StatefulProcessor):
+    """One live entry a link; it frees the link after six hours if the article could not be read, else after 90 days."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.entry = handle, handle.getValueState("entry", "until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        live = self.entry.get()[0] if self.entry.exists() else None
+        admitted, before = [], live
+        for r in sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: (r.ms, r.status)):
+            if live is None or r.ms >= live:
+                admitted.append((key[0], r.status, r.at))
+                live = int(r.ms) + 3_600_000 * (RETRY_HOURS if r.status in RETRY_STATUSES else 24 * LEDGER_DAYS)
+        if live != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.entry.update((live,))
+            self.handle.registerTimer(live)
+        yield pd.DataFrame(admitted, columns=["link", "status", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.entry.clear()
+        yield pd.DataFrame([], columns=["link", "status", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def admitted_once(items: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The items (LEDGER_ITEM) of a stream whose link no live entry holds: state is one number a link, cleared by a timer.
+
+    Entries follow the items' own times, so that a repeated run gives the same rows. Needs the RocksDB state store (``drained``
+    sets it). Several items of a link are taken in the order of their times. Rows without link or time are left out.
+    """
+    rows = items.filter(F.col("link").isNotNull() & F.col("at").isNotNull())
+    at = F.col("at").cast("timestamp")
+    rows = rows.select("link", F.coalesce("status", F.lit("")).alias("status"), at.alias("at"), F.unix_millis(at).alias("ms"))
+    return rows.withWatermark("at", late).groupBy("link").transformWithStateInPandas(_Entries(), LEDGER_ITEM, "Append", "EventTime")
 
 
 def drained(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Run a stream over what its source holds now and read what it wrote."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}/out").option("checkpointLocation", f"{folder}/{name}/state").outputMode("append").trigger(availableNow=True).start()
+    spark, store = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}/out").option("checkpointLocation", f"{folder}/{name}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store, before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}/out")

@@ -91,10 +91,8 @@ def test_merge_rules_in_both_forms(spark, old, new, want):
     columns = dict(zip(resolve.FIELDS, o, strict=True))
     both = frame(spark, o).select(F.struct("*").alias("o")).crossJoin(frame(spark, n).select(F.struct("*").alias("n")))
     m = both.select(resolve.merged("o", "n").alias("m")).first().m.asDict()
-    known = resolve.Catalogue([])
-    for e in (o, n):
-        status, _ = known.fold({**dict(zip(resolve.FIELDS, e, strict=True)), "tokens": ["a"], "sources": list(e[resolve.FIELDS.index("sources")])})
-    folded = known.events[1]
+    done = resolve.fold(frame(spark, o, n))
+    (folded,), status = done.events.collect(), done.changes.filter("report_id = 2").first().status
     for k, v in want.items():
         assert m[k] == v and folded[k] == v, k
     assert m["sources"] == folded["sources"] == ["u1", "u2"] and status == "merged" and m["changed"]
@@ -158,16 +156,6 @@ def test_health_batch_and_stream(spark, tmp_path):
     assert got == [("s1", 3, "failing"), ("s1", 5, "recovered")]
 
 
-def test_stream_resolves_as_the_batch(spark, tmp_path):
-    rows = [event(i, f"Lễ hội Mùa {i % 3} Vườn {i % 4}", start=d(1 + i % 9), crowd=i) for i in range(1, 25)]
-    df = frame(spark, *rows)
-    df.withColumn("today", F.lit(None).cast("date")).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.withColumn("today", F.lit(None).cast("date")).schema).parquet(f"{tmp_path}/in")
-    changes = ingest.drained(ingest.resolved(stream), str(tmp_path), "c")
-    new = changes.filter("status = 'new'").count()
-    assert changes.count() == 24 and new == resolve.resolve(df).count()
-
-
 def test_feeds(spark):
     rss = "<rss><channel><item><title>Lễ &amp; hội</title><link>https://a/1</link><description>&lt;p&gt;Mở  cửa&lt;/p&gt;</description><pubDate>Thu, 01 Oct 2026 08:00:00 GMT</pubDate></item><item><title>Cũ</title><link>https://a/2</link><pubDate>Mon, 01 Jan 2024 08:00:00 GMT</pubDate></item><item><title>Không ngày</title><link>https://a/3</link></item></channel></rss>"
     docs = spark.createDataFrame([("s", rss, False), ("bad", "<html><p>x", False), ("empty", "<rss/>", False)], "source_id string, content string, is_search boolean")
