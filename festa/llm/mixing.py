@@ -15,9 +15,12 @@ never move.
 Targets: sources rank by code point (null last), weigh 1, 2, 3 repeating, and share all words by weight;
 a target stops at ``max_copies`` times its source's words, the excess is shared out again by weight.
 
+Rows that repeat source, id and text are numbered, in salted parts, and each number is rounded on its own, in a bucket of
+its own; which of such rows gets which number makes no difference to the mix.
+
 Defined results: a null or empty text has size 0, one copy and gives 0 words; a source without words has target 0;
-null is a source of its own; rows that repeat both id and text are rounded alike, all or none of them; an empty table
-gives an empty result.
+null is a source of its own; rows alike in all are told apart by their numbers alone; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 NEAR, NEWTON_STEPS = 1e-6, 80
 #: Up to so many sources their figures are broadcast (under 10 MB); more are joined by a shuffle.
 FEW_SOURCES = 100_000
+#: Parts in which rows alike in source, id and text are numbered.
+SALTS = 64
 
 
 def _size() -> Column:
@@ -53,6 +58,23 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", _size().alias("size"), _mark().alias("mark"))
 
 
+def with_peers(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``peer``: 0, or the place from 0 among the rows alike in source, doc_id and mark. Only repeated rows move."""
+    keyed = rows.withColumn("__k", F.xxhash64("source", "doc_id", "mark"))
+    keys = cut(keyed.groupBy("__k").count().filter("count > 1").select("__k"))
+    repeated = keys.count()
+    if not repeated:
+        return rows.withColumn("peer", F.lit(0).cast("bigint"))
+    keys = F.broadcast(keys) if repeated <= FEW_SOURCES else keys
+    once = keyed.join(keys, "__k", "left_anti").withColumn("peer", F.lit(0).cast("bigint"))
+    again = cut(keyed.join(keys, "__k", "left_semi").withColumn("__salt", F.monotonically_increasing_id() % SALTS))
+    before = Window.partitionBy("__k").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = again.groupBy("__k", "__salt").count().withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("__k", "__salt").orderBy("__start"))
+    again = again.join(starts, ["__k", "__salt"]).withColumn("peer", F.col("__start") + place - 1)
+    return once.unionByName(again.drop("__salt", "__start")).drop("__k")
+
+
 def _ranked(stats: DataFrame) -> DataFrame:
     """``stats`` with the rank of each source, from ranges of sources: no task sorts all of them."""
     ranges = cut(stats.repartitionByRange(F.col("source").asc_nulls_last())).withColumn("part", F.spark_partition_id())
@@ -122,13 +144,14 @@ def _dealt(rows: DataFrame, tilts: DataFrame, max_copies: int) -> DataFrame:
     told = rows.join(tilts.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
     rate = _tilt(max_copies)
     told = told.withColumn("__base", F.floor(rate + 1e-9)).withColumn("__part", F.greatest(rate - F.col("__base"), F.lit(0.0)))
-    chance = F.xxhash64("doc_id", "mark", F.lit("order")) / F.lit(2.0**64) + F.lit(0.5)
-    place = F.struct((chance / F.col("__part")).alias("turn"), "doc_id", "size", "mark")
-    return told.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "mark", F.lit("bucket")), F.col("buckets"))).withColumn("__place", F.when(F.col("__part") > 1e-9, place))
+    mixed_up = lambda use: F.when(F.col("peer") == 0, F.xxhash64("doc_id", "mark", F.lit(use))).otherwise(F.xxhash64("doc_id", "mark", F.lit(use), "peer"))
+    chance = mixed_up("order") / F.lit(2.0**64) + F.lit(0.5)
+    place = F.struct((chance / F.col("__part")).alias("turn"), "doc_id", "size", "mark", "peer")
+    return told.withColumn("__bucket", F.pmod(mixed_up("bucket"), F.col("buckets"))).withColumn("__place", F.when(F.col("__part") > 1e-9, place))
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> tuple[DataFrame, DataFrame]:
-    """The sources' tilts and the buckets' plan (source, bucket, last place taken, closing place) for the rows of ``sizes``."""
+    """The sources' tilts and the buckets' plan (source, bucket, last place taken, closing place) for the rows of ``sizes`` with their peers."""
     histogram = packed(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), 200_000)
     rows = histogram.agg(F.sum("n")).first()[0] or 0
     tilts = source_tilts(histogram, weights, max_copies)
@@ -149,7 +172,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
 
 
 def with_copies(rows: DataFrame, tilts: DataFrame, planned: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
-    """``rows`` (doc_id, source, size, mark and any more) with source_size, target, copies, taken."""
+    """``rows`` (doc_id, source, size, mark, peer and any more) with source_size, target, copies, taken."""
     found = planned.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__in"), "last", "closing")
     told = _dealt(rows, tilts, max_copies).join(found, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")), "left")
     drawn = F.coalesce(F.col("__place") <= F.col("last"), F.lit(False)) != F.coalesce(F.col("__place") == F.col("closing"), F.lit(False))
@@ -159,12 +182,12 @@ def with_copies(rows: DataFrame, tilts: DataFrame, planned: DataFrame, max_copie
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every document."""
-    sized = cut(sizes(docs))
+    sized = cut(with_peers(cut(sizes(docs))))
     return with_copies(sized, *plan(sized)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its copies say, with its own columns."""
     rows = docs.select("doc_id", "source", _size().alias("size"), _mark().alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    taken = with_copies(rows, *plan(cut(sizes(docs)))).filter("copies > 0")
+    taken = with_copies(with_peers(rows), *plan(cut(with_peers(cut(sizes(docs)))))).filter("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")

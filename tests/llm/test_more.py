@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from festa.llm import licenses, merkle, whitening
+from festa.llm import licenses, merkle, mixing, whitening
 from tests.llm.test_llm import SCHEMA, prose
 
 # 11: whitening
@@ -180,3 +180,23 @@ def test_manifest_against_brute_force(spark, monkeypatch, few_runs, few_language
 def test_manifest_of_small_trees(spark, count):
     rows = [(i, f"Text {i}", "en", "s", 1) for i in range(count)]
     same_rows(merkle.manifest(spark.createDataFrame(rows, SCHEMA)).collect(), brute_manifest(rows) if rows else [])
+
+
+# 7: mixing of repeated rows
+
+
+def test_mixing_of_rows_that_repeat_id_and_text(spark):
+    rng = random.Random(7)
+    same = prose(rng, 100)
+    rows = [(None, same, "en", "a", 1)] * 300 + [(i, prose(rng, 100), "en", "a", 1) for i in range(200)] + [(1000 + i, prose(rng, 100), "en", "b", 1) for i in range(250)] + [(5, None, "en", "b", 1)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("peer", F.lit("clash"))
+    found = mixing.mix_documents(docs.repartition(6)).collect()
+    assert len(found) == len(rows)
+    for source_size in {r.source_size for r in found}:
+        own = [r for r in found if r.source_size == source_size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 100
+    count = lambda frame: sorted((r.doc_id or -1, r.source_size, r.size, r.taken) for r in mixing.mix_documents(frame).collect())
+    assert count(docs.repartition(3)) == sorted((r.doc_id or -1, r.source_size, r.size, r.taken) for r in found)
+    assert 0 < sum(r.copies for r in found if r.doc_id is None and r.size) < 300 * 3
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in found)
