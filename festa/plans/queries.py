@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
-from festa.operators import catalogue, classify, enrich, resolve, stored
+from festa.operators import backfills, catalogue, classify, enrich, resolve, stats, stored
 from festa.plans import serve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
 from festa.shared import shared_folder
-from festa.sources import feeds, html
+from festa.sources import decode, feeds, html
 from festa.streaming import alerts, ingest, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,12 +583,12 @@ _STATUS = "CASE WHEN status = 'error' THEN 'no_body' WHEN status = 'view' THEN '
 
 @query(f"""
     WITH RECURSIVE l AS (
-        SELECT *, row_number() OVER (PARTITION BY link ORDER BY at, status) AS n, at + CASE WHEN status IN ('no_body', 'title_only') THEN INTERVAL 6 HOUR ELSE INTERVAL 90 DAY END AS until
-        FROM (SELECT link, {_STATUS} AS status, seen_at AS at FROM ({LEDGER}))),
+        SELECT *, row_number() OVER (PARTITION BY link ORDER BY "at", status) AS n, "at" + CASE WHEN status IN ('no_body', 'title_only') THEN INTERVAL 6 HOUR ELSE INTERVAL 90 DAY END AS until
+        FROM (SELECT link, {_STATUS} AS status, seen_at AS "at" FROM ({LEDGER}))),
     r AS (SELECT link, n, until FROM l WHERE n = 1
           UNION ALL SELECT link, n, until FROM (
-              SELECT l.link, l.n, l.until, row_number() OVER (PARTITION BY l.link ORDER BY l.n) AS k FROM r JOIN l ON l.link = r.link AND l.n > r.n AND l.at >= r.until) WHERE k = 1)
-    SELECT l.link, l.status, l.at FROM r JOIN l USING (link, n)""")
+              SELECT l.link, l.n, l.until, row_number() OVER (PARTITION BY l.link ORDER BY l.n) AS k FROM r JOIN l ON l.link = r.link AND l.n > r.n AND l."at" >= r.until) WHERE k = 1)
+    SELECT l.link, l.status, l."at" FROM r JOIN l USING (link, n)""")
 def stream_ledger(spark, sf_dir):
     """Items whose link no live entry holds: entries of articles that could not be read free their link after six hours, others after 90 days."""
     folder = _folder(spark)
@@ -601,3 +601,35 @@ def deduplicated_events(spark, sf_dir):
     """Stored events after names and dates are cleaned and those of one event are merged."""
     rows = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
     return resolve.deduplicated(rows.select(*resolve.FIELDS))
+
+
+@query(f"SELECT link, status FROM (SELECT link, {_STATUS} AS status, row_number() OVER (PARTITION BY link ORDER BY seen_at DESC, event_id DESC) AS n FROM ({LEDGER})) WHERE n = 1 AND status NOT IN ('not_event', 'title_only', 'no_body')")
+def backfilled_ledger(spark, sf_dir):
+    """The stored ledger after its one-shot jobs ran twice: the second time none is left to do."""
+    table = stored.ledger_at(spark, f"{_folder(spark)}/ledger")
+    rows = catalogue.latest(view(spark, sf_dir, LEDGER), "link", F.col("seen_at"), F.col("event_id"))
+    table.change(rows.select("link", F.lit("").alias("source"), F.lit("").alias("title"), "seen_at", F.expr(_STATUS).alias("status")))
+    for _ in range(2):
+        backfills.apply(table, backfills.MODEL_JOBS)
+    return table.read().select("link", "status")
+
+
+@query(f"SELECT status, count(*) AS n FROM ({ORACLE_SQL['classify_articles']}) GROUP BY status")
+def run_statistics(spark, sf_dir):
+    """Articles by what the cascade makes of them, counted in the pass that writes them."""
+    folder = _folder(spark)
+    counts = stats.written(classify.classified(articles(spark, sf_dir), today()), lambda rows: rows.write.parquet(f"{folder}/classified"))
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n and k != "all"], "status string, n bigint")
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def decoded_documents(spark, sf_dir):
+    """Every document as a server might send it (UTF-8, UTF-16 with a mark, Latin-1 under a vague name where it has all signs, UTF-8 by name), read back."""
+    text = F.coalesce("text", F.lit(""))
+    western = text.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    kind = F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0))
+    content = F.when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when((kind == 2) & western, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    told = F.when((kind == 2) & western, "text/html; charset=ISO-8859-1").when(kind == 3, "text/html; charset=\"UTF8\"")
+    sent = spread(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "documents")).select("doc_id", content.alias("content"), told.alias("content_type"))
+    read = sent.select("doc_id", decode.decoded(F.col("content"), F.col("content_type")).alias("d"))
+    return read.select("doc_id", F.char_length("d.text").cast("bigint").alias("n_chars"), F.sha2(F.col("d.text").cast("binary"), 256).alias("text_sha256"))
