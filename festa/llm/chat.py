@@ -29,7 +29,7 @@ Turn = tuple[str, str]
 CONTROLS = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("\\\\|" + "|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(\\|n|)")
-_PROBE = "\ue000\ue001\ue000"  # private-use signs
+_EDGE, _CORE = "\ue000", "\ue001"  # private-use signs
 LOSS_ROLE = "assistant"
 
 
@@ -66,17 +66,23 @@ def parse_marked(formatted: str) -> list[Turn]:
     return out
 
 
+def probe_for(turns: list[Turn]) -> str:
+    """A string that no role or text of the conversation holds: a run of signs longer than any run there."""
+    longest = max((len(run) for turn in turns for s in turn if _CORE in s for run in re.findall(f"{_CORE}+", s)), default=0)
+    return f"{_EDGE}{_CORE * (longest + 1)}{_EDGE}"
+
+
 def render(turns: list[Turn], template: Callable[[list[Turn]], str], escaped: Callable[[str], str] = escape) -> tuple[str, list[tuple[str, int, int, int, int]] | None, int | None]:
     """The output, each turn's (role, start, end, content start, content end), and the first turn that rewrites history (then no spans)."""
-    before, spans = template([]), []
+    before, spans, probe = template([]), [], probe_for(turns)
     for i, (role, text) in enumerate(turns):
         now = template(turns[: i + 1])
         if not now.startswith(before):
             return template(turns), None, i
         own = escaped(text)
-        probed = template([*turns[:i], (role, _PROBE)])
-        head = probed.find(_PROBE, len(before))
-        tail = len(probed) - head - len(_PROBE)
+        probed = template([*turns[:i], (role, probe)])
+        head = probed.find(probe, len(before))
+        tail = len(probed) - head - len(probe)
         if head < 0 or not probed.startswith(before) or now[head : len(now) - tail] != own or len(now) != head + len(own) + tail:
             return template(turns), None, i
         spans.append((role, len(before), len(now), head, head + len(own)))

@@ -38,6 +38,10 @@ _BREAK = 0x110000  # stands between texts; no sign has this number
 CAPACITY = (float(TOKENS), float(TOKENS), float(TOKENS) ** 2)
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
+#: Capacities that all bind: pieces of up to 1,024 tokens, 64 documents a sequence, and attention for one whole piece and a quarter.
+SHORT_PIECE = 1024
+CAPACITIES = (float(TOKENS), 64.0, 1.25 * SHORT_PIECE**2)
+
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -223,3 +227,8 @@ def pack(pieces: DataFrame, capacity=CAPACITY, weights=WEIGHTS, score: str = "no
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = TOKENS) -> DataFrame:
     capacity = (float(size), float(size), float(size) ** 2)
     return pack(tokenised(docs, path, size), capacity)
+
+
+def pack_under_capacities(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens, 64 pieces and a bounded cost of attention (the sum of squared lengths)."""
+    return pack(tokenised(docs, path, SHORT_PIECE), CAPACITIES, (1.0, 1.0, 1.0))

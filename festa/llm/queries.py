@@ -35,6 +35,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def packing_under_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_under_capacities(table(spark, sf_dir, "documents"))
+
+
 def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_license_scan": op12_license_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
+    "packing_under_capacities": packing_under_capacities,
 }
 
 ORACLE_SQL: dict[str, str] = {

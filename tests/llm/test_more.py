@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from festa.llm import licenses, merkle, mixing, whitening
+from festa.llm import chat, licenses, merkle, mixing, packing, whitening
 from tests.llm.test_llm import SCHEMA, prose
 
 # 11: whitening
@@ -200,3 +200,43 @@ def test_mixing_of_rows_that_repeat_id_and_text(spark):
     assert 0 < sum(r.copies for r in found if r.doc_id is None and r.size) < 300 * 3
     mix = mixing.mixed(docs)
     assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in found)
+
+
+# 6: packing under capacities that bind
+
+
+def test_every_capacity_binds_and_holds(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in [*([2] * 900), *([700] * 6), *(rng.randrange(1, 400) for _ in range(120)), 5000]] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = packing.pack_under_capacities(docs).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(r)
+    tokens, pieces, cost = packing.CAPACITIES
+    used = [(sum(r.length for r in b), len(b), sum(r.length**2 for r in b)) for b in bins.values()]
+    assert all(a <= tokens and n <= pieces and c <= cost for a, n, c in used)
+    for b in bins.values():
+        b.sort(key=lambda r: r.offset)
+        assert [r.offset for r in b] == [sum(r.length for r in b[:i]) for i in range(len(b))]
+    assert {r.doc_id for r in rows} == set(range(len(texts))) and max(r.length for r in rows) <= packing.SHORT_PIECE
+    # each capacity is, for some bin and some piece of another, the only one that keeps the piece out
+    alone = set()
+    for a, n, c in used:
+        for x in {r.length for r in rows}:
+            over = [a + x > tokens, n + 1 > pieces, c + x * x > cost]
+            alone |= {over.index(True)} if sum(over) == 1 else set()
+    assert alone == {0, 1, 2}
+    # no two sequences could be one
+    assert not any(a + x <= tokens and n + y <= pieces and c + z <= cost for i, (a, n, c) in enumerate(used) for x, y, z in used[i + 1 :])
+
+
+# 4: probes
+
+
+def test_roles_and_texts_that_hold_a_probe():
+    held = chat.probe_for([])
+    turns = [(held, "a"), ("assistant", f"b{held}{chat.probe_for([(held, held)])}"), (f"x{held}", held), ("assistant", "")]
+    text, spans, rewritten = chat.render(turns, chat.marked_turns)
+    assert rewritten is None and chat.parse_marked(text) == turns
+    assert [chat.unescape(text[a:b]) for _, _, _, a, b in spans] == [t for _, t in turns]
