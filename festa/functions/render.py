@@ -68,10 +68,14 @@ def event_text(summary: bool = False) -> Column:
 def _joined(events: DataFrame, texts: Column, most: int | None = None) -> DataFrame:
     """One row: the number of events, of large ones, and their texts in order (start, priority, name)."""
     rank = F.when(F.col("priority") == "CAO", 0).when(F.col("priority") == "TB", 1).otherwise(2)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start_date").alias("d"), rank.alias("r"), F.col("name").alias("n"), F.col("id").alias("i"), texts.alias("t"))))
     large = facts.is_large(F.col("crowd"), F.col("fireworks"), F.col("big_concert"))
-    shown = ordered if most is None else F.slice(ordered, 1, most)
-    return events.agg(F.count(F.lit(1)).alias("events"), F.count_if(large).alias("large"), F.array_join(F.transform(shown, lambda x: x["t"]), "\n\n").alias("body"))
+    counts = [F.count(F.lit(1)).alias("events"), F.count_if(large).alias("large")]
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("start_date").alias("d"), rank.alias("r"), F.col("name").alias("n"), F.col("id").alias("i"), texts.alias("t"))))
+    body = F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("body")
+    if most is None:
+        return events.agg(*counts, body)
+    first = events.orderBy("start_date", rank, "name", "id").limit(most)
+    return events.agg(*counts).crossJoin(first.agg(body))  # one row each
 
 
 def digest(events: DataFrame, today: Column, days: int, hour: int = 7) -> DataFrame:

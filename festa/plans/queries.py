@@ -523,7 +523,7 @@ def stream_source_notices(spark, sf_dir):
 
 @query()
 def stream_resolved(spark, sf_dir):
-    """The stored events after a stream of reports in two batches."""
+    """The stored events after a stream of reports."""
     folder = _folder(spark)
     reports = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
     stream = _streamed(spark, reports.select(*resolve.FIELDS).withColumn("today", F.lit(None).cast("date")), folder, "reports")

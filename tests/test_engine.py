@@ -233,3 +233,13 @@ def test_subscribers_updates_and_names(spark):
     updates = spark.createDataFrame([(1, "a", "/start"), (2, "z", "/start"), (3, "z", "/start MA"), (4, "z", "/id"), (5, "z", "/excel tháng"), (6, "z", None)], "update_id int, chat_id string, text string")
     got = {r.update_id: (r.action, r.reply) for r in serve.acted(updates, there, "MA").collect()}
     assert [got[i][0] for i in range(1, 7)] == ["join", "refuse", "join", "id", "month", None] and got[4][1] == "Chat ID của bạn: z"
+
+
+def test_listing_takes_the_first_and_counts_all(spark):
+    rows = [event(i, f"Lễ hội {i:02}", start=d(1 + i % 7) if i % 5 else None) for i in range(30)]
+    events = catalogue.with_priority(frame(spark, *rows))
+    got = render.listing(events, F.lit("Danh sách")).first()
+    shown = [line for line in got.text.split("\n") if line.startswith("Lễ hội")]
+    want = sorted(rows, key=lambda r: (r[4] is not None, r[4] or TODAY, r[1]))[:25]
+    assert got.events == 30 and shown == [r[1] for r in want] and "… và 5 sự kiện khác" in got.text
+    assert render.listing(events.limit(0), F.lit("Danh sách")).first().events == 0
