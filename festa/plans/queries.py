@@ -438,9 +438,13 @@ def resolved_events(spark, sf_dir):
 _A = "(?is)(<a\\s[^>]*href=.*?</a>)"
 
 
+#: The references that the pages hold; the engine knows all of HTML 4.
+_REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def sql_plain(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for reference, sign in html.ENTITIES.items():
+    for reference, sign in _REFERENCES.items():
         out = f"replace({out}, '{reference}', '{sign.replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 

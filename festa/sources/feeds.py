@@ -1,4 +1,4 @@
-"""The source catalogue and feeds: YAML to a DataFrame of sources, feed documents to items, errors as rows."""
+"""The source catalogue and feeds: YAML to a DataFrame of sources, feed and page documents to items, errors as rows."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from festa.sources.html import absolute, dated_title, plain
+from festa.sources.html import absolute, article_links, dated_title, host, page_title, plain, unescaped
+from festa.sources.selectors import selected
 
 CATALOGUE = "id string, name string, type string, url string, urls array<string>, item_selector string, province_hint string, local boolean, enabled boolean, window string, topics string, provinces map<string,string>"
 CUTOFF_DAYS = 45
+SEARCH_ENTRIES = 15
 SEARCH = "https://news.google.com/rss/search?q={}&hl=vi&gl=VN&ceid=VN:vi"
-_ITEMS = "source_id string, pos int, title string, link string, summary string, published date, error string"
+_ITEMS = "source_id string, address int, is_search boolean, pos int, title string, link string, summary string, published date, publisher string, error string"
 
 
 def catalogue(spark: SparkSession, entries: list[dict]) -> DataFrame:
@@ -57,6 +59,8 @@ def _entries(document: str) -> Iterator[tuple]:
         for e in item:
             value = (e.text or "").strip() or e.get("href", "")
             parts.setdefault(local(e), value)
+            if local(e) == "source":
+                parts.setdefault("publisher", e.get("url") or e.get("href") or "")
         stamp, day = next((parts[k] for k in ("pubDate", "published", "updated", "date") if parts.get(k)), ""), None
         try:
             day = parsedate_to_datetime(stamp).date()
@@ -66,47 +70,87 @@ def _entries(document: str) -> Iterator[tuple]:
                 day = pd.Timestamp(found[0]).date() if found else None
             except ValueError:
                 day = None
-        yield pos, parts.get("title", ""), parts.get("link", ""), parts.get("description") or parts.get("summary") or parts.get("content") or "", day
+        yield pos, parts.get("title", ""), parts.get("link", ""), parts.get("description") or parts.get("summary") or parts.get("content") or "", day, parts.get("publisher", "")
 
 
-def feed_items(documents: DataFrame, today: Column) -> DataFrame:
-    """Items of feed documents (source_id, content, is_search); one error row for a document that is none or has no entry."""
+def _documents(documents: DataFrame) -> DataFrame:
+    """Every entry of feed documents as written, with an error row for a document that is none or has no entry."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for source, content in zip(batch["source_id"], batch["content"], strict=True):
+            for source, address, search, content in batch.itertuples(index=False):
                 try:
                     found = list(_entries(content or ""))
                     error = None if found else "the feed has no entries"
                 except ElementTree.ParseError as e:
                     found, error = [], f"not a feed: {e}"
-                out += [(source, *x, None) for x in found] or [(source, None, None, None, None, None, error)]
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _ITEMS.split(", ")]).astype({"pos": "Int32"})
+                out += [(source, address, search, *x, None) for x in found] or [(source, address, search, *[None] * 6, error)]
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _ITEMS.split(", ")]).astype({"pos": "Int32", "address": "Int32"})
+
+    address = F.col("address").cast("int") if "address" in documents.columns else F.lit(0)
+    rows = documents.select("source_id", address.alias("address"), F.coalesce("is_search", F.lit(False)).alias("is_search"), "content").mapInPandas(run, _ITEMS)
+    return rows.withColumn("is_search", F.col("is_search") | F.coalesce(F.contains("link", F.lit("news.google.com")), F.lit(False)))
+
+
+def _whole() -> Column:
+    return (F.coalesce("link", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")
 
-    rows = documents.select("source_id", "content").mapInPandas(run, _ITEMS)
-    flags = documents.select("source_id", F.coalesce("is_search", F.lit(False)).alias("__search")).dropDuplicates(["source_id"])
-    rows = rows.join(flags, "source_id", "left").withColumn("is_search", F.col("__search") | F.coalesce(F.contains("link", F.lit("news.google.com")), F.lit(False))).drop("__search")
+
+def feed_items(documents: DataFrame, today: Column) -> DataFrame:
+    """Items of feed documents (source_id, content, is_search, maybe address); one error row for a document that is none or has no entry."""
     fresh = F.col("published").isNull() | (F.col("published") >= F.date_sub(today, CUTOFF_DAYS))
-    whole = (F.coalesce("link", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")
-    cleaned = rows.withColumns({"title": plain(F.col("title")), "summary": F.when(F.col("is_search"), "").otherwise(plain(plain(F.col("summary"))))})
-    return cleaned.filter(F.col("error").isNotNull() | (fresh & whole))
+    cleaned = _documents(documents).withColumns({"title": plain(F.col("title")), "summary": F.when(F.col("is_search"), "").otherwise(plain(plain(F.col("summary"))))})
+    return cleaned.filter(F.col("error").isNotNull() | (fresh & _whole()))
+
+
+def search_items(documents: DataFrame, most: int = SEARCH_ENTRIES) -> DataFrame:
+    """Items of a search's answer: of its first entries those with link and title, of any age, with the host of the publisher and no summary.
+
+    An entry without link or title counts among the first, but gives no item. Error rows as in ``feed_items``.
+    """
+    rows = _documents(documents).filter(F.col("error").isNotNull() | ((F.col("pos") < most) & _whole()))
+    return rows.withColumns({"title": plain(F.col("title")), "summary": F.lit(""), "is_search": F.lit(True), "publisher": host(F.col("publisher"))})
+
+
+def auto_items(documents: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+    """Items of sources that name addresses only: those of their feeds and the links of their pages, each link once.
+
+    ``documents``: source_id, address (its place among the source's addresses), content, is_search: feeds at an address, or found
+    on its page. ``pages``: page_id, source_id, address, url, html. Of equal links of a source the first stays: by address,
+    feeds before pages, then by place. A feed that is none is passed over; a source without any item gives one error row.
+    """
+    columns = ("source_id", "address", "kind", "pos", "title", "link", "summary", "published")
+    of_feeds = feed_items(documents, today).filter("error is null").withColumn("kind", F.lit(0))
+    keys = pages.select("page_id", "source_id", F.col("address").cast("int").alias("address"))
+    of_pages = article_links(pages).join(keys, "page_id").withColumns({"kind": F.lit(1), "summary": F.lit("")})
+    both = of_feeds.select(*columns).unionByName(of_pages.select(*columns))
+    order = F.struct("address", "kind", "pos")
+    first = both.groupBy("source_id", "link").agg(F.min_by(F.struct(*[c for c in columns if c not in ("source_id", "link")]), order).alias("r")).select("source_id", "link", "r.*")
+    asked = documents.select("source_id").unionByName(pages.select("source_id")).distinct()
+    told = asked.join(first, "source_id", "left").withColumn("error", F.when(F.col("link").isNull(), "no item found"))
+    return told.select(*columns, "error")
+
+
+def page_items(pages: DataFrame, today: Column) -> DataFrame:
+    """The item that a page is itself, as added by hand: page_id, link, title, published (today), error if it has no title of eight signs."""
+    title = page_title(F.col("html"))
+    error = F.when(F.char_length("title") < 8, "no title")
+    return pages.select("page_id", F.col("url").alias("link"), title.alias("title"), today.alias("published")).withColumn("error", error)
 
 
 def listed_items(pages: DataFrame, selector: str, most: int = 60) -> DataFrame:
-    """Items of a list page by a small selector: ``a.class``, ``a[href*="x"]``, or a tag before ``a``; an error row for a page without any."""
-    raw = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*href=.*?</a>)"), F.lit(1))).alias("pos", "a"))
-    if m := re.fullmatch(r"a\.([\w-]+)", selector):
-        hit = F.col("a").rlike(rf"(?is)^<a\s[^>]*class=[\"'][^\"']*\b{re.escape(m[1])}\b")
-    elif m := re.fullmatch(r"a\[href\*=[\"']?([^\"'\]]+)[\"']?\]", selector):
-        hit = F.col("a").rlike(rf"(?is)^<a\s[^>]*href=[\"']?[^\"'>]*{re.escape(m[1])}")
-    elif m := re.fullmatch(r"(\w+) a", selector):
-        raw = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(rf"(?is)<{m[1]}\b[^>]*>\s*(<a\s[^>]*href=.*?</a>)"), F.lit(1))).alias("pos", "a"))
-        hit = F.lit(True)
-    else:
-        raise ValueError(f"selector not supported: {selector}")
-    first = raw.filter(hit).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("n") <= most)
-    href = F.btrim(F.regexp_extract("a", r"(?is)^<a\s[^>]*?href=[\"']?([^\"'>\s]*)", 1))
-    told = pages.select("page_id", "url").join(first, "page_id", "left").withColumn("t", dated_title(plain(F.col("a"))))
-    out = told.select("page_id", "pos", absolute(href, F.col("url")).alias("link"), "t.title", "t.published", F.when(F.col("a").isNull(), "no element matches").alias("error"))
-    return out.filter(F.col("error").isNotNull() | (F.char_length("title") >= 8)).dropDuplicates(["page_id", "link"])
+    """Items of list pages (page_id, url, html) by a CSS selector: the link that a found element is, or the first one inside it.
+
+    Only the first ``most`` elements count. Of equal links of a page the first stays; a page without any element gives an error row.
+    """
+    found = selected(pages, selector)
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("n") <= most)
+    a = F.when(F.col("tag") == "a", F.col("outer")).otherwise(F.regexp_extract("outer", r"(?is)(<a(?:\s[^>]*)?>.*?(?:</a>|$))", 1))
+    href = F.btrim(unescaped(F.regexp_extract("a", r"(?is)^<a\s[^>]*?href=[\"']?([^\"'>\s]*)", 1)))
+    told = pages.select("page_id", "url").join(first.withColumn("a", a), "page_id", "left").withColumn("href", href)
+    titled = told.withColumn("t", dated_title(F.coalesce(F.nullif(plain(F.col("a")), F.lit("")), plain(F.col("outer")))))
+    rows = titled.select("page_id", "pos", absolute(F.col("href"), F.col("url")).alias("link"), "t.title", "t.published", F.when(F.col("outer").isNull(), "no element matches").alias("error"), "href")
+    kept = rows.filter(F.col("error").isNotNull() | ((F.col("href") != "") & (F.char_length("title") >= 8))).drop("href")
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "link").orderBy("pos")))
+    return kept.filter(F.col("error").isNotNull() | (F.col("n") == 1)).drop("n")

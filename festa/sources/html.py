@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.functions import lexicon
-from festa.functions.text import squeezed
+from festa.functions.text import let, squeezed
 
 # What is no article, what is a feed, and how a date ends a title.
 SKIP_LINK = r"(?i)^(javascript|mailto|tel):|#|/(tag|tags|search|tim-kiem|rss|login|dang-nhap|lien-he|gioi-thieu|video|photo)(/|$|\?)"
 FEED_LINK = r"(?i)(\.rss(\?.*)?$|rss\.xml$|/feed/?$|/rss/[^/]+\.(rss|xml)$|/rss/[^/]+/?$)"
 TAIL_DATE = r"\s+(\d{1,2})/(\d{1,2})/(\d{4})(?:\s+\d+)?\s*$"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 NO_TEXT_TAGS = ("script", "style", "nav", "footer", "header", "aside", "form", "noscript")
 
 
+# The named references of HTML 4, as the standard library lists them: name, code point.
+_NAMED = ",".join(f"{name}={code}" for name, code in name2codepoint.items()) + ",apos=39"
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def unescaped(text: Column) -> Column:
+    """Character references (decimal, hexadecimal, the named ones of HTML 4) as their signs, each once; unknown ones stay."""
+
+    def sign(part: Column) -> Column:
+        reference = F.regexp_extract(part, _REFERENCE, 1)
+        hexadecimal = F.conv(F.substring(reference, 3, 6), 16, 10).cast("int")
+        named = F.element_at(F.str_to_map(F.lit(_NAMED), F.lit(","), F.lit("=")), reference).cast("int")
+        code = F.when(reference.rlike("^#[xX]"), hexadecimal).when(reference.startswith("#"), F.substring(reference, 2, 7).cast("int")).when(reference != "", named)
+        valid = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), 0xFFFD).otherwise(code)
+        shown = lambda c: F.coalesce(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"), F.lit(""))
+        known = F.concat(let(valid, shown), F.regexp_replace(part, _REFERENCE, ""))
+        return F.when(code.isNotNull(), known).otherwise(F.concat(F.lit("&"), part))
+
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), sign), ""))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&", -1), decoded)).otherwise(t))
+
+
 def plain(html: Column) -> Column:
-    """Tags become blanks, the common references signs, white space single."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")
-    for reference, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(reference), F.lit(sign))
-    return squeezed(text)
+    """Tags become blanks, character references signs, white space single."""
+    return squeezed(unescaped(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>", " ")))
 
 
 def host(url: Column) -> Column:
