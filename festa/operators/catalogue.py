@@ -147,6 +147,18 @@ def named(replies: DataFrame, events: DataFrame) -> DataFrame:
     return replies.select("*", key).join(last, "__key").drop("__key")
 
 
+def readmitted(ledger: DataFrame, links: DataFrame) -> DataFrame:
+    """The ledger without the links that are given again by hand, so that they pass as unseen whatever they came to before."""
+    return ledger.join(links.select("link").distinct(), "link", "left_anti")
+
+
+def described() -> Column:
+    """An event in a line for a model: name, dates, venue and summary; at most 400 signs; an unknown date shows as None."""
+    day = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    whole = F.concat(F.col("name"), F.lit(" | "), day("start_date"), F.lit("→"), day("end_date"), F.lit(" | "), F.coalesce("venue", F.lit("")), F.lit(" | "), F.coalesce("summary", F.lit("")))
+    return F.substring(whole, 1, 400)
+
+
 def deleted(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 

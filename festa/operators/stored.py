@@ -27,6 +27,20 @@ def _completed(events: DataFrame, now: Column) -> DataFrame:
     return catalogue.with_priority(events).withColumn("updated_at", now)
 
 
+def readd(ledger: StoredTable, reports: DataFrame, table: StoredTable, now: Column) -> DataFrame:
+    """Articles given by hand: link, title, and a report's columns where the cascade found an event; folded whatever the ledger held.
+
+    The ledger's rows of these links are replaced by what comes of them now (new, merged, dup; ``not_event`` without a
+    name); gives link and status. ``reports`` holds each link once, with ids that no stored event has.
+    """
+    asked = stored(reports)
+    changes = ingest(table, asked.filter("name is not null"), now)
+    told = asked.select("id", "link", "title").join(changes.select(F.col("report_id").alias("id"), "status"), "id", "left")
+    entries = stored(told.select("link", F.lit("manual").alias("source"), "title", now.alias("seen_at"), F.coalesce("status", F.lit("not_event")).alias("status")))
+    ledger.change(entries)
+    return entries.select("link", "status")
+
+
 def insert(table: StoredTable, events: DataFrame, now: Column) -> int:
     """Events of new ids, not alerted, first seen now."""
     return table.change(_completed(events, now).withColumns({"first_seen": now, "alerted": F.lit(False)}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from festa.functions import dates, facts, geo, lexicon, render, text
@@ -13,8 +13,8 @@ from festa.operators import backfills, catalogue, classify, enrich, resolve, sta
 from festa.plans import serve
 from festa.plans.views import ARTICLES, EVENTS, LEDGER, RUNS, TODAY, spread, view
 from festa.shared import shared_folder
-from festa.sources import decode, feeds, html
-from festa.streaming import alerts, ingest, schedule
+from festa.sources import decode, feeds, html, selectors
+from festa.streaming import alerts, ingest, replies, schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -637,3 +637,106 @@ def decoded_documents(spark, sf_dir):
     sent = spread(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "documents")).select("doc_id", content.alias("content"), told.alias("content_type"))
     read = sent.select("doc_id", decode.decoded(F.col("content"), F.col("content_type")).alias("d"))
     return read.select("doc_id", F.char_length("d.text").cast("bigint").alias("n_chars"), F.sha2(F.col("d.text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("""
+    WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li><a href="/[^"]*">(.*?)</a></li>', 1) AS a FROM pages)
+    SELECT page_id, unnest(a) AS title, CAST(generate_subscripts(a, 1) AS BIGINT) AS n FROM n""")
+def selected_links(spark, sf_dir):
+    """Links of the menus, found by a selector."""
+    found = selectors.selected(_table(spark, sf_dir, "pages"), 'nav > ul > li > a[href^="/"]')
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
+    return found.select("page_id", F.regexp_extract("outer", "(?s)^<a[^>]*>(.*)</a>$", 1).alias("title"), number.alias("n"))
+
+
+_ENTRY = ("<item><title>", "title", "</title><link>", "link", "</link><source url=\"https://www.bao.example/\">B</source><pubDate>", "published", "</pubDate></item>")
+
+
+def _entries(rows: DataFrame, key: str) -> DataFrame:
+    """Feed documents (source_id, content) of the rows of a key, in the order of their ids."""
+    entry = F.concat(*[F.lit(x) if x.startswith("<") else F.col(x).cast("string") for x in _ENTRY])
+    items = F.array_sort(F.collect_list(F.struct("item_id", entry.alias("entry"))))
+    content = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(items, lambda x: x["entry"]), ""), F.lit("</channel></rss>"))
+    return rows.groupBy(F.col(key).alias("source_id")).agg(content.alias("content"))
+
+
+@query(f"""
+    SELECT source_id, link, publisher FROM (SELECT CAST(item_id // 128 AS VARCHAR) AS source_id, link, 'bao.example' AS publisher, row_number() OVER (PARTITION BY item_id // 128 ORDER BY item_id) AS n FROM ({ARTICLES})) WHERE n <= 15""")
+def searched_items(spark, sf_dir):
+    """The first entries of searches that each answer with the articles of neighbouring ids."""
+    documents = _entries(articles(spark, sf_dir).withColumn("key", F.floor(F.col("item_id") / 128).cast("string")), "key")
+    return feeds.search_items(documents.withColumn("is_search", F.lit(True))).select("source_id", "link", "publisher")
+
+
+@query(f"""
+    WITH a AS (SELECT CAST(item_id // 64 AS VARCHAR) AS source_id, 'https://tin.example/le-hoi/' || CAST(item_id AS VARCHAR) || '.html' AS link, title, published, item_id FROM ({ARTICLES}))
+    SELECT source_id, link, title, min(kind) AS kind FROM (SELECT *, 0 AS kind FROM a WHERE published >= {D} - 45 UNION ALL SELECT *, 1 AS kind FROM a WHERE item_id % 3 = 0) GROUP BY ALL""")
+def auto_source_items(spark, sf_dir):
+    """Items of sources with a feed and pages of links, each link once, of the feed if it has it."""
+    rows = articles(spark, sf_dir).withColumn("link", F.concat(F.lit("https://tin.example/le-hoi/"), F.col("item_id").cast("string"), F.lit(".html"))).withColumn("key", F.floor(F.col("item_id") / 64).cast("string"))
+    documents = _entries(rows, "key").select("source_id", F.lit(0).alias("address"), "content", F.lit(False).alias("is_search"))
+    anchor = F.concat(F.lit("<p><a href='"), F.expr("substring(link, 20)"), F.lit("'>"), F.col("title"), F.lit("</a></p>"))
+    pages = rows.filter("item_id % 3 = 0").select(F.col("item_id").alias("page_id"), F.col("key").alias("source_id"), F.lit(1).alias("address"), F.lit("https://tin.example/").alias("url"), anchor.alias("html"))
+    return feeds.auto_items(documents, pages, today()).filter("error is null").select("source_id", "link", "title", "kind")
+
+
+@query(f"""
+    SELECT id FROM (SELECT id, coalesce(sum(CAST(coalesce(crowd, 0) AS BIGINT)) OVER (ORDER BY start_date NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(CAST(crowd AS BIGINT)) FROM ({EVENTS})) AS everything FROM ({EVENTS}))
+    WHERE before < everything // 3 AND everything // 3 - before >= 20000""")
+def budgeted_events(spark, sf_dir):
+    """Events, by date, that a budget of a third of all visitors covers."""
+    rows = view(spark, sf_dir, EVENTS)
+    total = rows.agg(F.sum(F.col("crowd").cast("bigint"))).first()[0] or 0
+    return schedule.within_budget(rows, F.col("crowd"), total // 3, F.col("start_date"), F.col("id"), reserve=20000).select("id")
+
+
+@query(f"SELECT id FROM ({EVENTS}) WHERE (start_date, id) <= (SELECT (start_date, id) FROM ({EVENTS}) WHERE start_date >= {D} AND fireworks ORDER BY start_date, id LIMIT 1) OR start_date IS NULL")
+def events_until_fresh(spark, sf_dir):
+    """Events, by date, up to the first one still to come that has fireworks."""
+    return schedule.until(view(spark, sf_dir, EVENTS), (F.col("start_date") >= today()) & F.col("fireworks"), "start_date", "id", inclusive=True).select("id")
+
+
+@query(f"SELECT id, substring(name || ' | ' || coalesce(CAST(start_date AS VARCHAR), 'None') || '→' || coalesce(CAST(end_date AS VARCHAR), 'None') || ' | ' || venue || ' | ' || summary, 1, 400) AS line FROM ({EVENTS})")
+def described_events(spark, sf_dir):
+    return view(spark, sf_dir, EVENTS).select("id", catalogue.described().alias("line"))
+
+
+@query(f"""
+    WITH h AS (SELECT source_id, count(*) FILTER (WHERE NOT ok AND seq > coalesce(last_ok, -1)) AS fails, arg_max(error, seq) FILTER (WHERE NOT ok) AS last_error
+               FROM (SELECT *, max(seq) FILTER (WHERE ok) OVER (PARTITION BY source_id) AS last_ok FROM ({RUNS})) GROUP BY 1),
+    s AS (SELECT status, count(*) AS n FROM ({LEDGER}) GROUP BY 1)
+    SELECT 1 AS place, '' AS key, 'Số sự kiện đang lưu: ' || (SELECT count(*) FROM ({EVENTS})) AS line
+    UNION ALL SELECT 2, '', 'Số người nhận tin: ' || (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_acctbal > 0)
+    UNION ALL SELECT * FROM (VALUES (4, '', 'Lần thu thập gần nhất: {TODAY}'), (5, '', 'Bản tin gần nhất: chưa có'), (7, '', 'AI: chưa có'), (8, '', 'AI tìm sự kiện: chưa có'), (9, '', 'AI tìm sáng (7 ngày tới): chưa có'), (10, '', 'Giải mã link Google News (lượt gần nhất): chưa có'))
+    UNION ALL SELECT 6, '', 'Nguồn: ' || count(*) || ' (lỗi: ' || count(*) FILTER (WHERE fails > 0) || ')' FROM h
+    UNION ALL SELECT 11, '', 'Bài đã xử lý: ' || string_agg(status || '=' || n, ', ' ORDER BY n DESC, status) FROM s
+    UNION ALL SELECT 12, source_id, ' - ' || source_id || ': lỗi ' || fails || ' lần – ' || substring(last_error, 1, 80) FROM h WHERE fails > 0""")
+def status_lines(spark, sf_dir):
+    """The state of the system, as a command shows it."""
+    runs = view(spark, sf_dir, RUNS)
+    errors = runs.filter("not ok").groupBy("source_id").agg(F.max_by("error", "seq").alias("last_error"))
+    health = catalogue.fail_streaks(runs).join(errors, "source_id", "left").withColumn("name", F.lit(None).cast("string"))
+    recipients = _table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("chat_id"))
+    return serve.status(view(spark, sf_dir, EVENTS), recipients, health, view(spark, sf_dir, LEDGER), {"last_collect": TODAY})
+
+
+@query(f"SELECT update_id, CASE WHEN update_id % 7 = 6 THEN 0 ELSE 1 END AS sends FROM ({UPDATES})")
+def replies_once(spark, sf_dir):
+    """How often each update was answered, by a stream whose sender delivers in part at first, and that is started again."""
+    folder = _folder(spark)
+    stream = _streamed(spark, view(spark, sf_dir, UPDATES).select("update_id", "chat_id", "text"), folder, "updates")
+    known = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("chat_id"))
+
+    def sender(part):
+        def send(messages):
+            messages.filter(part).select("event_id").write.mode("append").parquet(f"{folder}/sent")
+            return messages.filter(part)
+
+        return send
+
+    table = replies.replies_at(spark, f"{folder}/replies")
+    replies.replying(stream, f"{folder}/replies", folder, known, sender(F.col("event_id") % 2 == 1), "MA1").awaitTermination()
+    for part in (F.lit(True), F.lit(True)):
+        replies.reply_once(view(spark, sf_dir, UPDATES), table, known, sender(part), "MA1", (table.note("batch") or 0) + 1)
+    sends = spark.read.schema("event_id bigint").parquet(f"{folder}/sent").groupBy(F.col("event_id").alias("update_id")).agg(F.count(F.lit(1)).cast("int").alias("sends"))
+    return table.read().select("update_id").join(sends, "update_id", "left").select("update_id", F.coalesce("sends", F.lit(0)).alias("sends"))

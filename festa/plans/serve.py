@@ -71,8 +71,37 @@ def _scalar(events: DataFrame, column) -> object:
     return events.sparkSession.range(1).select(column).first()[0]
 
 
-def answer(events: DataFrame, message: str, today: date, days: int = 7) -> list[str]:
-    """The messages that answer one command over the catalogue (with priority and search text)."""
+def status(events: DataFrame, recipients: DataFrame, health: DataFrame, ledger: DataFrame, notes: dict[str, str] | None = None) -> DataFrame:
+    """The lines (place, line) of the system's state: counts, notes of the last runs, the ledger by status, each failing source.
+
+    ``health``: source_id, name, fails, last_error. Statuses stand by number, then name; sources by id. Every table is
+    aggregated where it lies; lines grow with the failing sources alone.
+    """
+    spark, told = events.sparkSession, notes or {}
+    # What the bot says.
+    never = "chưa có"
+    labels = [("Lần thu thập gần nhất: ", "last_collect"), ("Bản tin gần nhất: ", "last_digest_date")]
+    later = [("AI: ", "llm_state"), ("AI tìm sự kiện: ", "last_discover"), ("AI tìm sáng (7 ngày tới): ", "last_morning"), ("Giải mã link Google News (lượt gần nhất): ", "last_gn")]
+    count = lambda c=F.lit(1): F.count(c).cast("string")
+    failing = health.filter("fails > 0")
+    by_status = ledger.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), F.col("status").alias("status"))))  # a few statuses
+    shown = F.array_join(F.transform(pairs, lambda p: F.concat(F.coalesce(p["status"], F.lit("None")), F.lit("="), (-p["down"]).cast("string"))), ", ")
+    one = lambda place, df, line: df.agg(line.alias("line")).select(F.lit(place).alias("place"), F.lit("").alias("key"), "line")
+    fixed = [(4 + i, "", f"{label}{told.get(key) or never}") for i, (label, key) in enumerate(labels)] + [(7 + i, "", f"{label}{told.get(key) or never}") for i, (label, key) in enumerate(later)]
+    lines = (
+        one(1, events, F.concat(F.lit("Số sự kiện đang lưu: "), count()))
+        .unionByName(one(2, recipients.select("chat_id").distinct(), F.concat(F.lit("Số người nhận tin: "), count())))
+        .unionByName(spark.createDataFrame(fixed, "place int, key string, line string"))
+        .unionByName(one(6, health, F.concat(F.lit("Nguồn: "), count(), F.lit(" (lỗi: "), count(F.when(F.col("fails") > 0, 1)), F.lit(")"))))
+        .unionByName(one(11, by_status, F.concat(F.lit("Bài đã xử lý: "), F.coalesce(F.nullif(shown, F.lit("")), F.lit(never)))))
+        .unionByName(failing.select(F.lit(12).alias("place"), F.col("source_id").alias("key"), F.concat(F.lit(" - "), F.coalesce("name", "source_id"), F.lit(": lỗi "), F.col("fails").cast("string"), F.lit(" lần – "), F.substring(F.coalesce("last_error", F.lit("")), 1, 80)).alias("line")))
+    )
+    return lines.orderBy("place", "key")
+
+
+def answer(events: DataFrame, message: str, today: date, days: int = 7, state: DataFrame | None = None) -> list[str]:
+    """The messages that answer one command over the catalogue (with priority and search text); ``state``: the lines of ``status``."""
     t = F.lit(today)
     parsed = _scalar(events, text.parsed_command(F.lit(message)))
     cmd, arg = parsed["cmd"], parsed["arg"]
@@ -93,6 +122,8 @@ def answer(events: DataFrame, message: str, today: date, days: int = 7) -> list[
         title, found = f"KẾT QUẢ CHO “{arg}” ({{}})", catalogue.search(events, arg, t)
     elif cmd == "tatca":
         return [_everything(events, today)]
+    elif cmd == "trangthai" and state is not None:
+        return ["\n".join(r["line"] for r in state.collect())]
     else:
         return [UNKNOWN if cmd else "Gõ /help để xem các lệnh."]
     row = render.listing(found, F.lit("\u0001")).first()

@@ -36,3 +36,18 @@ def numbered(rows: DataFrame, *by: Column) -> DataFrame:
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
     at = F.col("__start") + F.col("__place").bitwiseAND(2**33 - 1)
     return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("at", at).drop("__part", "__start", "__place")
+
+
+def running(rows: DataFrame, amount: Column, *by: Column) -> DataFrame:
+    """``rows``, stored, with ``before``, the sum of ``amount`` (null: 0) over all rows that come earlier in the order of ``by``.
+
+    One sort by range; sums of partitions first, so no task holds all rows. ``by`` must be a total order for equal reruns.
+    """
+    placed = rows.withColumn("__amount", F.coalesce(amount.cast("double"), F.lit(0.0))).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(placed.withColumn("__place", F.monotonically_increasing_id())).withColumn("__part", F.shiftrightunsigned("__place", 33))
+    sizes = placed.groupBy("__part").agg(F.sum("__amount").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    starts = sizes.select("__part", F.coalesce(earlier, F.lit(0.0)).alias("__start"))
+    within = F.sum("__amount").over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))
+    told = placed.withColumn("__within", F.coalesce(within, F.lit(0.0))).join(F.broadcast(starts), "__part")
+    return told.withColumn("before", F.col("__start") + F.col("__within")).drop("__amount", "__place", "__part", "__start", "__within")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from festa.operators import catalogue
+from festa.shared import running
 
 
 @dataclass(frozen=True)
@@ -76,3 +77,28 @@ def events_due(events: DataFrame, tries: DataFrame, today: Column, now: Column,
 def admitted(items: DataFrame, most: int) -> DataFrame:
     """The newest items of a run; the others stay unseen for the next one."""
     return items.orderBy(F.col("published").desc_nulls_last(), "link").limit(most)
+
+
+def within_budget(rows: DataFrame, cost: Column, budget: float, *order: Column, reserve: float = 0.0) -> DataFrame:
+    """The rows that a loop would begin which stops as soon as less than ``reserve``, or nothing, is left of its budget.
+
+    A row may overdraw the budget, as work once begun is done; negative and null costs count as none. ``order`` is a total order.
+    """
+    spent = running(rows, F.greatest(cost, F.lit(0)), *order)
+    left = F.lit(float(budget)) - F.col("before")
+    return spent.filter((left > 0) & (left >= reserve)).drop("before")
+
+
+def until(rows: DataFrame, stop: Column, *order: str, inclusive: bool = False) -> DataFrame:
+    """The rows before the first one, in the order of the columns (nulls first), at which ``stop`` holds (null: it does not); all if it never does.
+
+    ``inclusive``: with that row too, as when a result ends the search. One aggregation to one row; no sort.
+    """
+    place = F.struct(*order)
+    first = rows.filter(F.coalesce(stop, F.lit(False))).agg(F.min(place)).scalar()
+    return rows.filter(first.isNull() | (place <= first if inclusive else place < first))
+
+
+def deadline_before(budget: float) -> float:
+    """When reading articles must end so that a run of ``budget`` seconds can finish: earlier by a third, at most 90 seconds."""
+    return budget - min(90, budget // 3)
