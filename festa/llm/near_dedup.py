@@ -10,10 +10,17 @@ without each word as keys, which two texts one edit apart always share. Nodes th
 Each member is first compared with the bucket's leader, the first in one of a few pseudo-random orders. Buckets that
 this leaves in several components are then gone through whole: members lie in chunks of one length band, chunks of
 near lengths meet, and every pair of two components is compared unless the counts of its words prove it too far apart.
-So no pair of a bucket stays neither linked nor compared. A comparison aligns the two word sequences within a band:
+A bucket in which more than CROWDED members lie outside its largest component is split before: its texts share a
+passage and little else. Similar texts have most of their words, and of their pairs of neighbours, in common, so that
+each must share one of its rarest in the group (``rarest``: prefix filter, exact): members meet under those, by words or
+by pairs, whichever lets fewer texts of a group meet; a group that neither parts better stays whole. The passage, being
+frequent, comes last and brings none together. So no pair of a bucket stays neither linked nor compared nor told apart.
+A comparison aligns the two word sequences within a band:
 their edit similarity (1 - edits / longer length) must be 0.8 or more. Classes are the connected components of the
 links found.
 
+Scripts written without spaces (Han, Kana, Thai, Lao, Khmer, Myanmar) have one word at each sign.
+
 Defined results: a class is named by its least doc_id; a null text counts as empty, texts without any sign
 are one class; texts under five words are one k-mer; rows with a null doc_id join the class of their text
 and name it by null only if none of its rows has an id; different texts under one doc_id are different nodes;
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm import words
-from festa.llm.common import cut, row_key, rows_of_keys, sized, text_of
+from festa.llm.common import cut, row_key, rows_of_keys, sized, stored, text_of
 from festa.llm.langid import _lower as lower_table
 
 KMER_WORDS = 5
@@ -59,6 +67,21 @@ LEADERS = 4
 ROUNDS = 1
 #: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
 CHUNK, CHUNKS_PER_TASK, COUNTS = 64, 64, 128
+#: A bucket with more members outside its largest component is split by the rarest runs of so many words.
+CROWDED, SPLIT_WORDS = 256, (1, 2)
+#: Runs of more texts of a group are frequent; they are few, and looked up without moving their rows.
+FREQUENT = 1_000
+#: Signs of scripts without spaces between words.
+_SIGNS = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3041, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x323B0)]
+
+
+@cache
+def _signs() -> np.ndarray:
+    """Which letters are words by themselves."""
+    table = np.zeros(0x110000, bool)
+    for a, b in _SIGNS:
+        table[a:b] = True
+    return table & (words.classes() == words.LETTER)
 
 
 def token_arrays(texts: list[str]) -> list[np.ndarray]:
@@ -67,7 +90,9 @@ def token_arrays(texts: list[str]) -> list[np.ndarray]:
     for a, b in words.batches(texts):
         codes, kinds, bounds = words.points(texts[a:b])
         kinds = np.where(kinds == words.NUMBER, words.LETTER, kinds)
-        start = np.flatnonzero((np.diff(kinds, prepend=words.BREAK) != 0) | (kinds == words.BREAK))
+        sign = _signs()[codes]
+        alone = sign | np.concatenate(([False], sign[:-1]))
+        start = np.flatnonzero((np.diff(kinds, prepend=words.BREAK) != 0) | (kinds == words.BREAK) | alone)
         end = np.append(start[1:], len(codes))
         h = words.hashes(lower_table()[codes], start, end)
         kind, at = kinds[start], np.searchsorted(start, bounds)
@@ -304,14 +329,74 @@ def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n:
     return out
 
 
-def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """The pairs (node, leader) of each bucket whose labels differ and which word counts do not tell apart."""
+def _standing(members: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
+    """key, node, label, bulk (of the bucket's largest component) and others (members outside it) of buckets in several components."""
     told = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     most = of_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("of"), F.count(F.lit(1)).alias("labels"))
-    # two members have met as leader and member
-    most = most.filter("labels > 1 and of > 2").select("key", F.col("most.label").alias("bulk_label"))
-    open_ = told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
+    most = most.filter((F.col("labels") > 1) & (F.col("of") >= least_size)).select("key", F.col("most.label").alias("bulk_label"), (F.col("of") - F.col("most.size")).alias("others"))
+    return told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
+
+
+def rarest(words_of: int, k: int, least: float = SIMILARITY) -> int:
+    """Of a text's runs of k words in any one order, so many first ones hold one that a similar text has among its own first ones.
+
+    An edit breaks k runs at most and there are at most (1 - least) * n edits for the longer text of n words, so that
+    the two have (1 - k * (1 - least)) * n - (k - 1) runs in common at least.
+    """
+    shared = int(np.ceil((1 - k * (1 - least)) * words_of - (k - 1) - 1e-9))
+    return max(1, words_of - k + 1) - max(1, shared) + 1
+
+
+def _split(groups: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """key, node: the parts of crowded groups (key, node, bulk, others) under whose key similar members of two components meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, node, bulk, text in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "bulk", "tokens")), strict=True):
+                own = np.frombuffer(text, "<u4").astype(np.uint64)
+                for k in SPLIT_WORDS:
+                    found = kmers(own, k).view(np.int64)
+                    n = len(found)
+                    most = np.full(n, rarest(len(own), k, least), np.int32)
+                    same = [np.full(n, key, np.int64), np.full(n, node, np.int64), np.full(n, bulk), np.full(n, k, np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*same, found, most))], ["key", "node", "bulk", "k", "run", "most"])
+
+    by = ["key", "k", "run"]
+    runs = groups.join(_asked(tokens, groups), "node").select("key", "node", "bulk", "tokens")
+    runs = stored(runs.mapInArrow(run, "key bigint, node bigint, bulk boolean, k int, run bigint, most int"))
+    count = F.count(F.lit(1))
+    counted = sized(runs.groupBy(*by).agg(count.alias("texts")).filter("texts > 1"), 200_000)
+    frequent = counted.filter(F.col("texts") > FREQUENT).withColumnRenamed("texts", "many")
+    some = F.broadcast if frequent.count() <= FEW_NODES else (lambda df: df)
+    told = runs.join(some(frequent), by, "left")
+    few = told.filter("many is null").join(counted.filter(F.col("texts") <= FREQUENT), by, "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    told = few.unionByName(told.filter("many is not null").withColumn("texts", F.col("many"))).drop("many")
+    order = Window.partitionBy("key", "node", "k").orderBy("texts", "run")
+    first = told.withColumn("r", F.row_number().over(order)).filter("r <= most and texts > 1")
+    first = sized(first.select("key", "k", "node", "bulk", F.xxhash64("key", "k", "run").alias("part")), 200_000)
+    parts = first.groupBy("key", "k", "part").agg(count.alias("size"), F.sum((~F.col("bulk")).cast("bigint")).alias("others"))
+    parts = sized(parts.filter("size > 1 and others > 0"), 200_000)
+    work = F.sum(F.col("others").cast("double") * F.col("size"))
+    whole = groups.groupBy("key").agg((F.max("others").cast("double") * count).alias("work")).select("key", F.lit(0).alias("k"), "work")
+    # runs of a width that bring no two texts together leave nothing to compare
+    widths = groups.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, SPLIT_WORDS))).alias("k"))
+    offered = whole.unionByName(widths.join(parts.groupBy("key", "k").agg(work.alias("work")), ["key", "k"], "left").fillna(0.0, ["work"]))
+    chosen = cut(offered.groupBy("key").agg(F.min(F.struct("work", "k")).alias("c")).select("key", "c.k"))
+    by_run = first.join(parts.join(chosen, ["key", "k"]).select("part"), "part").select(F.col("part").alias("key"), "node")
+    return groups.join(chosen.filter("k = 0"), "key").select("key", "node").unionByName(by_run)
+
+
+def _unlinked(members: DataFrame, led: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """The pairs (node, leader) of each bucket whose labels differ and which word counts do not tell apart; crowded buckets are split first."""
+    met = sized(_standing(members, labels, 3), 200_000)  # two members have met as leader and member
+    few = met.filter(F.col("others") <= CROWDED)
+    # crowded buckets of one leader are one group: the same texts meet in many of them
+    crowded = met.filter(F.col("others") > CROWDED).select("key", "node").join(led.select("key", "leader"), "key")
+    crowded = sized(crowded.select(F.col("leader").alias("key"), "node").distinct(), 200_000)
+    if crowded.limit(1).count():
+        few = few.unionByName(_standing(_split(sized(_standing(crowded, labels, 2), 200_000), tokens, least), labels, 2))
+    open_ = few.drop("others")
     open_ = sized(open_, 200_000)
     counted = _counted(_asked(tokens, open_))
     # texts whose lengths differ by more than the threshold lets lie two bands apart or more
@@ -428,7 +513,7 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
         labels = link(_apart(agreed, labels))
         if turn + 1 < rounds:
             members = _apart(pairs, labels).select("key", "node", "n")
-    labels = link(_unlinked(everyone, labels, tokens, least))
+    labels = link(_unlinked(everyone, led, labels, tokens, least))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))

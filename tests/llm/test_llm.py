@@ -528,6 +528,37 @@ def test_near_duplicates_at_the_threshold_and_in_short_texts(spark):
     assert min(of[0], of[1]) >= 150 and found[0] >= 0.95 * of[0] and found[1] >= 0.98 * of[1]
 
 
+def test_rarest_runs_of_similar_texts_meet():
+    rng = random.Random(41)
+    for _ in range(400):
+        n = rng.randrange(1, 60)
+        a = [rng.randrange(30) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(1 + n // 4)):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[], [rng.randrange(30)], [b[i], rng.randrange(30)]])
+            b = b or [1]
+        x, y = np.array(a, "<u4"), np.array(b, "<u4")
+        if not near_dedup.similar(x, y) or a == b:
+            continue
+        for k in near_dedup.SPLIT_WORDS:
+            runs = [set(np.sort(near_dedup.kmers(t.astype(np.uint64), k))[: near_dedup.rarest(len(t), k)].tolist()) for t in (x, y)]
+            assert runs[0] & runs[1]
+
+
+def test_signs_of_scripts_without_spaces_are_words(spark):
+    rng = random.Random(42)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    one, many = list(han), list(han)
+    one[200] = "々"
+    for i in range(0, 400, 2):
+        many[i] = chr(0x8000 + rng.randrange(3000))
+    texts = [han, "".join(one), "".join(many), "ab" + han]
+    assert [len(t) for t in near_dedup.token_arrays([han, "한국어 문장", "ไทย", "ab漢字cd"])] == [400, 2, 3, 4]
+    got = [r.class_id for r in near_dedup.classes(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 0, 2, 0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
