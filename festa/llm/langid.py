@@ -6,8 +6,10 @@ linear support vector machine (hinge loss, L2 penalty) for each pair of language
 Both are fitted by averaged stochastic gradient steps on a bounded number of rows of each language.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learnt; a
-language of no listed family is a family of its own; a null language is never learnt; repeated rows are
-predicted alike; an empty table gives an empty result; lang, source and doc_id are never inputs.
+language of no listed family is a family of its own; a null language is never learnt; of rows of one id and language
+the one of least text is learnt from, so that the bound holds for rows and their order is settled; of more than
+MOST_LANGUAGES languages those with the most rows to learn from are learnt (ties by name); repeated rows are predicted
+alike; an empty table gives an empty result; lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from festa.llm import words
-from festa.llm.common import held_out, learn_row, text_of
+from festa.llm.common import cut, held_out, learn_row, text_of
 
 BITS = 17
 #: The most rows of one language, and the most languages, that one fit learns from.
@@ -123,11 +125,12 @@ class Model:
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
         self.family = np.array([self.families.index(family_of(x)) for x in self.languages], int)
         self.weights = np.zeros((1 << BITS, len(self.families) + len(self.pairs)), np.float32)
-        self.shrunk = 1.0  # the pairs' weights are those of the table times this, so that decay touches one number
+        self.own = [np.array([lang in p for p in self.pairs], bool) for lang in range(len(self.languages))]
+        self.shrunk = np.ones(len(self.pairs))  # the pairs' weights are those of the table times these, so that decay touches one number a pair
         self.total, self.times = np.zeros_like(self.weights), 0
 
     def effective(self) -> np.ndarray:
-        return self.weights * np.r_[np.ones(len(self.families)), np.full(len(self.pairs), self.shrunk)].astype(np.float32)
+        return self.weights * np.r_[np.ones(len(self.families)), self.shrunk].astype(np.float32)
 
     def averaged(self) -> np.ndarray:
         """The mean of the weights after each part of the later passes, which steadies stochastic steps."""
@@ -161,7 +164,7 @@ class Model:
                         sign = 1 if lang == x else -1
                         step[nf + j] = sign * (sign * got[nf + j] < 1)
                 norm = max(1e-9, float(value @ value))
-                self.shrunk *= 1 - rate * PENALTY
+                self.shrunk[self.own[lang]] *= 1 - rate * PENALTY
                 step[nf:] /= self.shrunk
                 self.weights[index] += (rate / (scale * norm)) * np.outer(value, step).astype(np.float32)
             if average:
@@ -203,17 +206,17 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     order = F.xxhash64("doc_id", F.lit("lang"))
     # the first rows of each salted part, then of those: no language's ids meet in one task
     first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "doc_id"))
-    parts = able.select("doc_id", "lang", order.alias("h")).withColumn("r", first(F.pmod("h", F.lit(SALTS)))).filter(F.col("r") <= rows)
+    parts = able.select("doc_id", "lang", order.alias("h")).distinct().withColumn("r", first(F.pmod("h", F.lit(SALTS)))).filter(F.col("r") <= rows)
     ranked = parts.withColumn("r", first())
-    chosen = ranked.filter(F.col("r") <= rows).select("doc_id", F.col("lang").alias("chosen"), "h").dropDuplicates(["doc_id"])
-    languages = sorted(r[0] for r in chosen.select("chosen").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; raise MOST_LANGUAGES or clean the column lang")
+    chosen = cut(ranked.filter(F.col("r") <= rows).select("doc_id", "lang", "h"))
+    most = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    languages = sorted(r["lang"] for r in most.collect())
     model = Model(languages)
     if not languages:
         return model
-    sample = able.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most rows x MOST_LANGUAGES ids
-    one = sample.filter(F.col("lang") == F.col("chosen")).repartition(1).sortWithinPartitions("h", "doc_id")
+    chosen = chosen.filter(F.col("lang").isin(languages))  # at most rows x MOST_LANGUAGES ids
+    sample = able.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    one = sample.groupBy("h", "doc_id", "lang").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("h", "doc_id", "lang")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(languages)

@@ -6,8 +6,9 @@ sparse dot product. Training is online (FTRL-proximal): labelled rows, a bounded
 stable pseudo-random order; labels join ids first, so that unlabelled texts are not moved.
 
 Defined results: a null or empty text has no feature and gets the bias' score; a null label is not learnt
-from; without labelled rows every score is 0.5; several labels of a document are all learnt from; repeated
-rows are scored alike; an empty table gives an empty result; further columns are kept by ``scored``.
+from; without labelled rows every score is 0.5; several different labels of a document are all learnt
+from, equal ones once; of rows of one id the one of least text is learnt from, so that the bound holds for rows and
+their order is settled; repeated rows are scored alike; an empty table gives an empty result; further columns are kept by ``scored``.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarr
     """Weights learnt from at most ``rows`` labelled documents that may be learnt from; 2**BITS numbers."""
     order = F.xxhash64("doc_id", F.lit("quality"))
     chosen = labels.filter(learn_row() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("quality"))
-    chosen = chosen.orderBy(order, "doc_id", "quality").limit(rows)
+    chosen = chosen.distinct().orderBy(order, "doc_id", "quality").limit(rows)
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of two numbers
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     one = sample.select("doc_id", "text", "quality").repartition(1).sortWithinPartitions(order, "doc_id", "quality")
     found = one.select("text", "quality").mapInPandas(train, "feature bigint, weight double").toPandas()  # at most 2**BITS rows
     weights = np.zeros(1 << BITS, np.float32)
