@@ -67,8 +67,9 @@ LEADERS = 4
 ROUNDS = 1
 #: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
 CHUNK, CHUNKS_PER_TASK, COUNTS = 64, 64, 128
-#: A bucket with more members outside its largest component is split by the rarest runs of so many words.
-CROWDED, SPLIT_WORDS = 256, (1, 2)
+#: A bucket with more members outside its largest component is split by the rarest runs of so many words. Up to that size it costs a member
+#: less to have its word counts set against all others (about a millisecond) than to have its words sorted by how many texts have them.
+CROWDED, SPLIT_WORDS = 10_000, (1, 2)
 #: Runs of more texts of a group are frequent; they are few, and looked up without moving their rows.
 FREQUENT = 1_000
 #: Signs of scripts without spaces between words.

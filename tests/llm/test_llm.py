@@ -89,6 +89,97 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def rows_learnt(spark, monkeypatch, fit):
+    """What the learner is given, as one frame."""
+    seen = []
+    frame = type(spark.range(1))
+    original = frame.mapInPandas
+    with monkeypatch.context() as m:
+        m.setattr(frame, "mapInPandas", lambda df, *a, **k: (seen.append(df.toPandas()), original(df, *a, **k))[1])
+        fit()
+    return seen[0]
+
+
+def test_learning_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    rng = random.Random(43)
+    texts = [prose(rng, 9) for _ in range(60)]
+    rows = [(i, t, "en" if i % 2 else "de", "s", 1) for i, t in enumerate(texts)] + [(3, prose(rng, 9), "en", "s", 1) for _ in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 3, "doc_id bigint, quality int, toxic int")
+    made = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA)
+        learnt = rows_learnt(spark, monkeypatch, lambda docs=docs: quality.fit(docs, labels, 20))
+        assert len(learnt) == 20
+        langs = rows_learnt(spark, monkeypatch, lambda docs=docs: langid.fit(docs, 15))
+        assert Counter(langs["lang"]) == {"en": 15, "de": 15}
+        made.append((learnt, langs, quality.fit(docs, labels, 40)))
+    assert made[0][0].equals(made[1][0]) and made[0][1].equals(made[1][1]) and np.array_equal(made[0][2], made[1][2])
+
+
+def test_languages_beyond_the_bound_are_the_rarest(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    langs = ["en"] * 30 + ["de"] * 20 + ["fr"] * 5
+    docs = docs_of(spark, [f"{x}a {x}b {x}c" for x in langs], langs)
+    assert langid.fit(docs).languages == ["de", "en"]
+
+
+def brute_ftrl(texts, labels):
+    """The learner row by row, with dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (np.sign(z[i]) * quality.L1 - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for a in range(0, len(texts), quality.BLOCK_ROWS):
+        for _ in range(quality.EPOCHS):
+            for text, label in zip(texts[a : a + quality.BLOCK_ROWS], labels[a : a + quality.BLOCK_ROWS], strict=True):
+                counts = Counter(quality.features([text])[0].tolist())
+                norm = sum(c * c for c in counts.values()) ** 0.5
+                values = [(i, c / norm) for i, c in counts.items()] + [((1 << quality.BITS) - 1, 0.2)]
+                p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in values)))
+                for i, v, w in [(i, v, weight(i)) for i, v in values]:
+                    g = (p - label) * v
+                    z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * w
+                    n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_quality_against_a_learner_of_dictionaries(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 25)
+    rng = random.Random(44)
+    texts = [prose(rng, rng.randrange(1, 15)) for _ in range(60)] + ["a a a", ""]
+    labels = [float(rng.random() < 0.6) for _ in texts]
+    got = pd.concat(quality.train(iter([pd.DataFrame({"text": texts, "quality": labels})])))
+    want = brute_ftrl(texts, labels)
+    assert set(got["feature"]) == set(want)
+    assert all(abs(w - want[i]) < 1e-9 for i, w in zip(got["feature"], got["weight"], strict=True))
+
+
+def test_pair_margins_against_dense_steps():
+    """The sparse, lazily shrunk steps of the support vector machines equal dense ones that shrink every weight."""
+    texts = ["der und die", "the and of", "die das und nicht", "of the that", "le les des"]
+    langs = np.array([0, 1, 0, 1, 2])
+    model = langid.Model(["de", "en", "fr"])
+    model.learn(texts, langs, 0.5, average=False)
+    nf, scale = len(model.families), 40.0
+    dense = np.zeros(1 << langid.BITS)
+    for text, lang in zip(texts, langs, strict=True):
+        if lang == 2:  # in no pair with the others
+            continue
+        grams, at, which, _ = langid.word_grams([text])
+        x = np.zeros(1 << langid.BITS)
+        for w in which:
+            own = grams[at[w] : at[w + 1]]
+            np.add.at(x, own, 1.0)
+        x /= sum(at[w + 1] - at[w] for w in which)
+        sign = 1 if lang == 0 else -1
+        hinge = sign * (sign * scale * (x @ dense) < 1)
+        dense = dense * (1 - 0.5 * langid.PENALTY) + 0.5 / (scale * (x @ x)) * hinge * x
+    assert model.pairs == [(0, 1)] and np.allclose(model.effective()[:, nf], dense, atol=1e-5)
+
+
 # 3: fingerprints
 
 
@@ -472,8 +563,10 @@ def brute_classes(texts):
     return root
 
 
-def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [100, near_dedup.CROWDED])
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch, crowded):
     rng = random.Random(22)
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
     monkeypatch.setattr(near_dedup, "CHUNK", 32, raising=False)
     monkeypatch.setattr(near_dedup, "CHUNKS_PER_TASK", 4, raising=False)
     vocab = [f"v{i}" for i in range(20_000)]
