@@ -630,7 +630,7 @@ def run_statistics(spark, sf_dir):
 def decoded_documents(spark, sf_dir):
     """Every document as a server might send it (UTF-8, UTF-16 with a mark, Latin-1 under a vague name where it has all signs, UTF-8 by name), read back."""
     text = F.coalesce("text", F.lit(""))
-    western = text.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    western = text.rlike(r"^[\x00-\x7F\xA0-\xFF]*\z")
     kind = F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0))
     content = F.when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when((kind == 2) & western, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     told = F.when((kind == 2) & western, "text/html; charset=ISO-8859-1").when(kind == 3, "text/html; charset=\"UTF8\"")
