@@ -1,8 +1,13 @@
 """Results and bounds that larger or odder tables showed."""
 
 import hashlib
+import random
+import re
 
-from festa.plans import queries
+import pytest
+
+from festa.functions.text import one_of
+from festa.plans import queries, views
 from festa.sources import decode
 
 
@@ -15,3 +20,22 @@ def test_latin_texts_that_end_in_their_only_accent_are_read_back(spark, tmp_path
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_chars, r.text_sha256) for r in queries.decoded_documents(spark, str(tmp_path)).collect()}
     assert got == {i: (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_one_pattern_of_common_beginnings_finds_the_longest_word(seed):
+    r = random.Random(seed)
+    words = tuple({"".join(r.choices("ab c", k=r.randint(1, 5))).strip() or "a" for _ in range(8)})
+    text = "".join(r.choices("ab c", k=300))
+    listed = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    assert re.findall(f"(?<![a-c])(?=({one_of(words, '(?![a-c])')}))", text) == re.findall(f"(?<![a-c])(?=({listed})(?![a-c]))", text)
+    assert bool(re.search(f" {one_of(words)}", text)) == bool(re.search(f" (?:{listed})", text))
+
+
+def test_rows_of_a_join_are_dealt_into_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "PART_ROWS", 100)
+    spark.range(2000).selectExpr("id as o_orderkey", "id % 50 as o_custkey", "'O' as o_orderstatus", "1e5D as o_totalprice", "timestamp '1996-06-01' as o_orderdate", "'1' as o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "'BUILDING' as c_mktsegment", "1D as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for rows in (queries.articles(spark, str(tmp_path)), queries.events(spark, str(tmp_path))):
+        sizes = [len(part) for part in rows.select(rows.columns[0]).rdd.glom().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 200
