@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from festa.shared import stored
+from festa import shared
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``shared.stored``, never sent whole to all tasks: a pair takes few bytes in a file and many in the driver's memory."""
+    return shared.stored(df).hint("merge")
 
 
 def connected(edges: DataFrame) -> DataFrame:

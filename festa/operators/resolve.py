@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,8 @@ from festa.functions.geo import KEYS, OWN
 from festa.functions.names import event_name_of
 from festa.functions.text import canonical_name, is_preparing, normalize, padded, phrases
 from festa.operators.components import connected
-from festa.shared import numbered, stored
+from festa import shared
+from festa.shared import numbered
 
 BAND_DAYS = 3
 MOST_SOURCES = 6
@@ -33,6 +35,8 @@ SHARE, UNDATED_SHARE, HELD, HELD_TOKENS = 0.34, 0.4, 0.6, 3
 #: Words of names so common that they come last in the order of words; numbers of words that count as one class of partners.
 COMMON_WORDS = 256
 CLASSES = ((1, 1), (2, 2), (3, 3), (4, 5), (6, 8), (9, 2**30))
+#: Days of a stretch under which a fold looks for events, and the stretch of those without a date.
+STRETCH, UNDATED = 16, -1
 #: Reports of one root that one round folds.
 BLOCK = 20_000
 #: Reports of small roots that one group takes together.
@@ -44,6 +48,11 @@ EVENT = (
 )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``shared.stored``, never sent whole to all tasks: files of few bytes may hold many rows, which the driver would have to unpack."""
+    return shared.stored(df).hint("merge")
+
+
 def tokens(name: Column, province: Column) -> Column:
     """The telling words of a name: without the province's own names, common words and numbers."""
     own = phrases(OWN[KEYS[0]])
@@ -261,22 +270,41 @@ def reached(rows: DataFrame, changes: DataFrame) -> DataFrame:
     states = states.select(F.col("event_id").alias("id"), "root", "province", "tokens", at("low").alias("start_date"), at("high").alias("last")).distinct()
     known = rows.filter(F.col("province").isNotNull() & (F.size("tokens") > 0)).groupBy("root", *SAME).agg(F.min("id").alias("id")).select("id", "root", *SAME)
     near = F.coalesce(gap_days(F.col("a.start_date"), F.col("a.last"), F.col("b.start_date"), F.col("b.last")) <= BAND_DAYS, F.lit(True))
-    met = _met(_keys(states), _keys(known), ["province"]).filter((F.col("a.root") != F.col("b.root")) & near)
-    return met.filter(alike(F.col("shared"), F.size("a.tokens"), F.size("b.tokens"), F.lit(True))).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
+    # those with days meet by months, or all reports that a word names would meet; what has no date meets everything
+    in_months = lambda df, more: _keys(df.filter("start_date is not null").select("*", F.explode(_months(F.date_sub("start_date", more), F.date_add(F.greatest("start_date", "last"), more))).alias("month")))
+    undated = lambda df: df.filter("start_date is null")
+    meetings = [
+        _met(in_months(states, BAND_DAYS), in_months(known, 0), ["province", "month"]),
+        _met(_keys(states.filter("start_date is not null")), _keys(undated(known)), ["province"]),
+        _met(_keys(undated(states)), _keys(known), ["province"]),
+    ]
+    agree = (F.col("a.root") != F.col("b.root")) & near & alike(F.col("shared"), F.size("a.tokens"), F.size("b.tokens"), F.lit(True))
+    return _union([m.filter(agree).select(F.col("a.root").alias("a"), F.col("b.root").alias("b")) for m in meetings]).distinct()
 
 
 def _same(e: dict, r: dict, shared: int) -> bool:
     dated = bool(e["start_date"] and r["start_date"])
     if dated and (max(e["start_date"], r["start_date"]) - min(_last(e), _last(r))).days > BAND_DAYS:
         return False
-    a, b = len(e["tokens"]), len(r["tokens"])
-    return shared / (a + b - shared) >= (SHARE if dated else UNDATED_SHARE) or (shared >= HELD_TOKENS and shared / min(a, b) >= HELD)
+    return shared > 0 and _agree(shared, len(e["tokens"]), len(r["tokens"]), SHARE if dated else UNDATED_SHARE)
+
+
+def _agree(shared: int, a: int, b: int, share: float) -> bool:
+    return shared / (a + b - shared) >= share or (shared >= HELD_TOKENS and shared / min(a, b) >= HELD)
 
 
 def _last(e: dict):
     return e["end_date"] or e["start_date"]
 
 
+def _stretches(e: dict, more: int) -> tuple:
+    """The numbers of the stretches of days that an event lies in, with ``more`` days at both ends."""
+    if not e["start_date"]:
+        return (UNDATED,)
+    ends = sorted((e["start_date"].toordinal(), _last(e).toordinal()))
+    return tuple(range((ends[0] - more) // STRETCH, (ends[1] + more) // STRETCH + 1))
+
+
 def _span(old: dict, new: dict) -> tuple:
     """The days of an event after a report, as in ``merged``."""
     s, t, own = old["start_date"], new["start_date"], (old["start_date"], old["end_date"])
@@ -317,25 +345,66 @@ def _rows(frame: pd.DataFrame) -> dict[int, list[dict]]:
 _ROW = f"root bigint, report_id bigint, status string, event_id bigint, {EVENT}, tokens array<string>, known boolean"
 
 
+@cache
+def _probes(size: int, other: int) -> int:
+    """Of ``size`` tokens in any order, how many hold at least one of those shared with a name of ``other`` tokens that is alike."""
+    least = next((k for k in range(1, min(size, other) + 1) if _agree(k, size, other, SHARE)), size + 1)
+    return size - least + 1
+
+
+class _Known:
+    """The events of one root by what a report must share with them: a token, by number of tokens and by stretch of days."""
+
+    def __init__(self, events: list[dict]):
+        self.events, self.keys = events, []
+        self.found: dict[tuple, set[int]] = defaultdict(set)
+        self.size: dict[int, int] = {}
+        self.sizes: Counter[int] = Counter()
+        for at in range(len(events)):
+            self.put(at)
+
+    def put(self, at: int) -> None:
+        """Take in an event that is new or has changed."""
+        e = self.events[at]
+        size, days = len(e["tokens"]), _stretches(e, 0)
+        keys = {(t, size, day) for t in e["tokens"] for day in (*days, None)}  # None: whatever the days
+        if at == len(self.keys):
+            self.keys.append(set())
+        else:
+            self.sizes[self.size[at]] -= 1
+        for k in self.keys[at] - keys:
+            self.found[k].discard(at)
+        for k in keys - self.keys[at]:
+            self.found[k].add(at)
+        self.keys[at], self.size[at] = keys, size
+        self.sizes[size] += 1
+
+    def first(self, r: dict) -> int | None:
+        """The place of the first event that a report duplicates."""
+        days = (*_stretches(r, BAND_DAYS), UNDATED) if r["start_date"] else (None,)
+        own, near = set(r["tokens"]), set()
+        for size, n in self.sizes.items():
+            if n:
+                for t in r["tokens"][: _probes(len(own), size)]:
+                    near.update(*(self.found.get((t, size, day), ()) for day in days))
+        return next((at for at in sorted(near) if _same(self.events[at], r, len(own.intersection(self.events[at]["tokens"])))), None)
+
+
 def _fold_root(reports: list[dict], events: list[dict]) -> list[dict]:
     """Fold one root's reports, in order, into its events so far, a list that grows; the changes."""
-    found: dict[str, set[int]] = defaultdict(set)
-    for at, e in enumerate(events):
-        for t in e["tokens"]:
-            found[t].add(at)
-    changes = []
+    known, changes = _Known(events), []
     for r in reports:
-        shared = Counter(at for t in r["tokens"] for at in found[t]) if not r["known"] and r["province"] else {}
-        at = next((i for i in sorted(shared) if _same(events[i], r, shared[i])), None)
+        at = known.first(r) if not r["known"] and r["province"] else None
         if at is None:
             at, status = len(events), "known" if r["known"] else "new"
             events.append(dict(r))
+            known.put(at)
         else:
-            before, status = events[at]["tokens"], "merged" if _merge(events[at], r) else "dup"
-            for t in before:
-                found[t].discard(at)
-        for t in events[at]["tokens"]:
-            found[t].add(at)
+            e = events[at]
+            before = e["tokens"], e["start_date"], e["end_date"]
+            status = "merged" if _merge(e, r) else "dup"
+            if before != (e["tokens"], e["start_date"], e["end_date"]):
+                known.put(at)
         changes.append({"root": r["root"], "report_id": r["id"], "status": status, "event_id": events[at]["id"]})
     return changes
 

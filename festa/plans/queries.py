@@ -48,6 +48,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.with_priority(spread(view(spark, sf_dir, EVENTS), _table(spark, sf_dir, "orders"), "id").withColumn("sources", F.array("source")))
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as reports to fold."""
+    rows = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
+    return spread(rows, _table(spark, sf_dir, "orders"), "id")
+
+
 # SQL fragments
 
 
@@ -429,7 +435,7 @@ def merge_pairs(spark, sf_dir):
 
 @query()
 def resolved_events(spark, sf_dir):
-    reports = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
+    reports = _reports(spark, sf_dir)
     return resolve.resolve(reports.select(*resolve.FIELDS))
 
 
@@ -529,7 +535,7 @@ def stream_source_notices(spark, sf_dir):
 def stream_resolved(spark, sf_dir):
     """The stored events after a stream of reports."""
     folder = _folder(spark)
-    reports = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
+    reports = _reports(spark, sf_dir)
     stream = _streamed(spark, reports.select(*resolve.FIELDS).withColumn("today", F.lit(None).cast("date")), folder, "reports")
     ingest.resolve_into(stream, f"{folder}/events", f"{folder}/resolve").awaitTermination()
     return stored.events_at(spark, f"{folder}/events").read().select(*resolve.FIELDS)
@@ -603,7 +609,7 @@ def stream_ledger(spark, sf_dir):
 @query()
 def deduplicated_events(spark, sf_dir):
     """Stored events after names and dates are cleaned and those of one event are merged."""
-    rows = view(spark, sf_dir, EVENTS).filter(F.col("province").isNotNull()).withColumn("sources", F.array("source"))
+    rows = _reports(spark, sf_dir)
     return resolve.deduplicated(rows.select(*resolve.FIELDS))
 
 

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from datetime import date, timedelta
 
 import pytest
 
 from festa.functions.text import one_of
+from festa.operators import components, resolve
 from festa.plans import queries, views
 from festa.sources import decode
 
@@ -39,3 +42,29 @@ def test_rows_of_a_join_are_dealt_into_parts_of_bounded_rows(spark, tmp_path, mo
     for rows in (queries.articles(spark, str(tmp_path)), queries.events(spark, str(tmp_path))):
         sizes = [len(part) for part in rows.select(rows.columns[0]).rdd.glom().collect()]
         assert sum(sizes) == 2000 and max(sizes) < 200
+
+
+def _report(i, day, *words):
+    start = date(1995, 1, 1) + timedelta(day)
+    return {"root": 1, "id": i, "known": False, "name": "x" * 20, "province": "a", "start_date": start, "end_date": start, "crowd": None, "sources": [str(i)], "tokens": list(words), **dict.fromkeys(("venue", "start_time", "summary"), ""), **dict.fromkeys(("fireworks", "big_concert", "alerted"), False)}
+
+
+def test_a_fold_looks_at_few_events(monkeypatch):
+    seen = Counter()
+    same = resolve._same
+    monkeypatch.setattr(resolve, "_same", lambda *a: seen.update(n=1) or same(*a))
+    n = 2400
+    rows = [_report(i, 7 * i % 2400, f"w{i}", f"k{i % 50}", "common") for i in range(n)]
+    rows += [_report(n + i, 7 * i % 2400, f"w{i}", f"k{i % 50}", "common") for i in range(n)]
+    events = []
+    changes = resolve._fold_root(rows, events)
+    assert len(events) == n and [c["event_id"] for c in changes[n:]] == list(range(n))
+    assert seen["n"] < 10 * n
+
+
+def test_what_a_fold_stores_is_not_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components.shared, "stored", lambda df: df)
+    small = spark.range(100).toDF("k")
+    plan = spark.range(1000).toDF("k").join(resolve.stored(small), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, components.connected(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a bigint, b bigint")).collect())) == [(2, 1), (3, 1), (9, 7)]
