@@ -658,6 +658,11 @@ def selected_links(spark, sf_dir):
 _ENTRY = ("<item><title>", "title", "</title><link>", "link", "</link><source url=\"https://www.bao.example/\">B</source><pubDate>", "published", "</pubDate></item>")
 
 
+def _keyed(spark: SparkSession, sf_dir: str, key) -> DataFrame:
+    """Articles with ``key``, dealt by it into parts of bounded rows, so that a task has few documents at once."""
+    return spread(view(spark, sf_dir, ARTICLES).withColumn("key", key.cast("string")), _table(spark, sf_dir, "orders"), "key")
+
+
 def _entries(rows: DataFrame, key: str) -> DataFrame:
     """Feed documents (source_id, content) of the rows of a key, in the order of their ids."""
     entry = F.concat(*[F.lit(x) if x.startswith("<") else F.col(x).cast("string") for x in _ENTRY])
@@ -670,7 +675,7 @@ def _entries(rows: DataFrame, key: str) -> DataFrame:
     SELECT source_id, link, publisher FROM (SELECT CAST(item_id // 128 AS VARCHAR) AS source_id, link, 'bao.example' AS publisher, row_number() OVER (PARTITION BY item_id // 128 ORDER BY item_id) AS n FROM ({ARTICLES})) WHERE n <= 15""")
 def searched_items(spark, sf_dir):
     """The first entries of searches that each answer with the articles of neighbouring ids."""
-    documents = _entries(articles(spark, sf_dir).withColumn("key", F.floor(F.col("item_id") / 128).cast("string")), "key")
+    documents = _entries(_keyed(spark, sf_dir, F.floor(F.col("item_id") / 128)), "key")
     return feeds.search_items(documents.withColumn("is_search", F.lit(True))).select("source_id", "link", "publisher")
 
 
@@ -679,7 +684,7 @@ def searched_items(spark, sf_dir):
     SELECT source_id, link, title, min(kind) AS kind FROM (SELECT *, 0 AS kind FROM a WHERE published >= {D} - 45 UNION ALL SELECT *, 1 AS kind FROM a WHERE item_id % 3 = 0) GROUP BY ALL""")
 def auto_source_items(spark, sf_dir):
     """Items of sources with a feed and pages of links, each link once, of the feed if it has it."""
-    rows = articles(spark, sf_dir).withColumn("link", F.concat(F.lit("https://tin.example/le-hoi/"), F.col("item_id").cast("string"), F.lit(".html"))).withColumn("key", F.floor(F.col("item_id") / 64).cast("string"))
+    rows = _keyed(spark, sf_dir, F.floor(F.col("item_id") / 64)).withColumn("link", F.concat(F.lit("https://tin.example/le-hoi/"), F.col("item_id").cast("string"), F.lit(".html")))
     documents = _entries(rows, "key").select("source_id", F.lit(0).alias("address"), "content", F.lit(False).alias("is_search"))
     anchor = F.concat(F.lit("<p><a href='"), F.expr("substring(link, 20)"), F.lit("'>"), F.col("title"), F.lit("</a></p>"))
     pages = rows.filter("item_id % 3 = 0").select(F.col("item_id").alias("page_id"), F.col("key").alias("source_id"), F.lit(1).alias("address"), F.lit("https://tin.example/").alias("url"), anchor.alias("html"))

@@ -17,6 +17,8 @@ from festa.sources.selectors import selected
 CATALOGUE = "id string, name string, type string, url string, urls array<string>, item_selector string, province_hint string, local boolean, enabled boolean, window string, topics string, provinces map<string,string>"
 CUTOFF_DAYS = 45
 SEARCH_ENTRIES = 15
+#: Entries after which a frame is handed on: a document may hold many.
+FRAME_ROWS = 5_000
 SEARCH = "https://news.google.com/rss/search?q={}&hl=vi&gl=VN&ceid=VN:vi"
 _ITEMS = "source_id string, address int, is_search boolean, pos int, title string, link string, summary string, published date, publisher string, error string"
 
@@ -76,17 +78,23 @@ def _entries(document: str) -> Iterator[tuple]:
 def _documents(documents: DataFrame) -> DataFrame:
     """Every entry of feed documents as written, with an error row for a document that is none or has no entry."""
 
+    names = [c.split(" ")[0] for c in _ITEMS.split(", ")]
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"pos": "Int32", "address": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for source, address, search, content in batch.itertuples(index=False):
+                if len(out) >= FRAME_ROWS:
+                    yield frame(out)
+                    out = []
                 try:
                     found = list(_entries(content or ""))
                     error = None if found else "the feed has no entries"
                 except ElementTree.ParseError as e:
                     found, error = [], f"not a feed: {e}"
                 out += [(source, address, search, *x, None) for x in found] or [(source, address, search, *[None] * 6, error)]
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _ITEMS.split(", ")]).astype({"pos": "Int32", "address": "Int32"})
+            yield frame(out)
 
     address = F.col("address").cast("int") if "address" in documents.columns else F.lit(0)
     rows = documents.select("source_id", address.alias("address"), F.coalesce("is_search", F.lit(False)).alias("is_search"), "content").mapInPandas(run, _ITEMS)

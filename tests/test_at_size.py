@@ -11,7 +11,7 @@ import pytest
 from festa.functions.text import one_of
 from festa.operators import components, resolve
 from festa.plans import queries, views
-from festa.sources import decode
+from festa.sources import decode, feeds
 
 
 def test_latin_texts_that_end_in_their_only_accent_are_read_back(spark, tmp_path):
@@ -68,3 +68,16 @@ def test_what_a_fold_stores_is_not_sent_to_all_tasks(spark, monkeypatch):
     plan = spark.range(1000).toDF("k").join(resolve.stored(small), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert sorted(map(tuple, components.connected(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a bigint, b bigint")).collect())) == [(2, 1), (3, 1), (9, 7)]
+
+
+@pytest.mark.parametrize("name", ["search_items", "auto_items"])
+def test_a_task_has_few_feed_documents(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(views, "PART_ROWS", 1000)
+    spark.range(40_000).selectExpr("id as o_orderkey", "id % 50 as o_custkey", "'O' as o_orderstatus", "1e5D as o_totalprice", "timestamp '1996-06-01' as o_orderdate", "'1' as o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "'BUILDING' as c_mktsegment", "1D as c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    seen = []
+    plain = getattr(feeds, name)
+    monkeypatch.setattr(feeds, name, lambda documents, *a: seen.append(documents) or plain(documents, *a))
+    queries.QUERIES["searched_items" if name == "search_items" else "auto_source_items"](spark, str(tmp_path))
+    sizes = [len(part) for part in seen[0].select("source_id").rdd.glom().collect()]
+    assert len(sizes) == 40 and sum(sizes) == (313 if name == "search_items" else 625) and max(sizes) < 40
