@@ -140,3 +140,18 @@ def test_ranges(run):
 def test_lists_are_consistent():
     assert len(lexicon.PROVINCES) == 8 and lexicon.ELSEWHERE.count("kon tum") == 2
     assert all(geo._SHOWN[shown] == names.fold(shown) for shown, _ in lexicon.PROVINCES.values())
+
+
+def test_a_word_is_folded_once():
+    names._code.cache_clear()
+    words = "Lễ chùa Khu1 tại Cần Thơ"
+    assert names.typed_name(words) == names.typed_name(words) == ""
+    told = names._code.cache_info()
+    assert told.misses == 6 and told.hits == 6
+    assert [names._code(w) for w in ("“Hội", "-", "Khu1,", "2026")] == ["“hoi", "–·", "khu1#,", "2026"]
+
+
+def test_dates_of_two_days_are_found_by_any_of_their_marks(run):
+    cases = {"20/6-23/6": (20, 23), "10.6–12.6": (10, 12), "5 ĐẾN 7/6": (5, 7), "5 và 7 tháng 6": (5, 7), "5/6 tới ngày 9/6": (5, 9), "lúc 3.5 điểm, 8/6": (8, 8)}
+    found = run([*cases], dates.find_dates(F.col("t"), F.lit(date(2026, 6, 1))))
+    assert [[(s.start.day, s.end.day) for s in spans] for spans in found] == [[v] for v in cases.values()]
