@@ -58,8 +58,7 @@ def delete(table: StoredTable, ids: DataFrame) -> int:
 
 
 def mark_alerted(table: StoredTable, ids: DataFrame) -> int:
-    base = table.version()
-    return table.change(table.read(base).join(ids.select("id").distinct(), "id", "left_semi").withColumn("alerted", F.lit(True)), base=base)
+    return table.change(keys=ids, alerted=F.lit(True))
 
 
 def retire(table: StoredTable, today: Column) -> int:

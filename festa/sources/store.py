@@ -6,7 +6,7 @@ another writer was first, so that readers see one version or the next and writer
 carry notes, such as the last batch of a stream that it holds: a batch and its result are committed together.
 
 Defined results: of several rows with one key in a change the greatest stays; a row without a key is left out; a key
-that is both changed and deleted is changed; a version that ``vacuum`` removed raises LookupError.
+that is both changed and deleted is changed; one that is both deleted and given values is deleted; a version that ``vacuum`` removed raises LookupError.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import json
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKET = "__bucket"
+BUCKET, PART, KIND = "__bucket", "__part", "__kind"
+#: What a row of a change is to its key.
+OLD, GONE, SET, PUT = range(4)
 
 
 class ConflictError(RuntimeError):
@@ -97,9 +100,26 @@ class StoredTable:
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def _merged(self, old: DataFrame, changes: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """The rows of ``old`` after ``changes`` (key, KIND, row), with BUCKET: old and new rows move once, to where they are written.
+
+        A bucket is dealt into parts by key, so that no task grows with the table.
+        """
+        rest = [f.name for f in self.schema if f.name != self.key]
+        rows = old.select(self.key, F.lit(OLD).alias(KIND), F.struct(*rest).alias("r")).unionByName(changes)
+        parts = max(1, -(-4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
+        by = [BUCKET, PART, self.key]
+        rows = rows.withColumns({BUCKET: self._bucket(), PART: F.pmod(F.hash(self.key), F.lit(parts))}).repartition(BUCKET, PART)
+        of = lambda kind: F.max(F.when(F.col(KIND) == kind, F.col("r")))
+        told = rows.groupBy(*by).agg(of(OLD).alias("old"), of(PUT).alias("put"), F.bool_or(F.col(KIND) == GONE).alias("gone"), F.bool_or(F.col(KIND) == SET).alias("set"))
+        told = told.withColumn("r", F.coalesce("put", F.when(~F.col("gone"), F.col("old")))).filter("r is not null")
+        changed = F.col("set") & F.col("put").isNull()
+        columns = [F.when(changed, values[c]).otherwise(F.col(f"r.{c}")).alias(c) if c in values else F.col(f"r.{c}") for c in rest]
+        return told.select(self.key, *columns, BUCKET).select(*self.schema.names, BUCKET)
+
     def _write(self, rows: DataFrame) -> dict[str, list[str]]:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        rows.write.partitionBy(BUCKET).parquet(folder)
         found: dict[str, list[str]] = defaultdict(list)
         it = self._fs.listFiles(self._hadoop.Path(folder), True)
         while it.hasNext():
@@ -108,26 +128,27 @@ class StoredTable:
                 found[name.rsplit(f"{BUCKET}=", 1)[1].split("/", 1)[0]].append(name)
         return found
 
-    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None, notes: dict | None = None, base: int | None = None) -> int:
-        """Put ``rows`` (by key: they replace or add) and remove the keys of ``gone``; the new version.
+    def change(self, rows: DataFrame | None = None, gone: DataFrame | None = None, notes: dict | None = None, base: int | None = None, keys: DataFrame | None = None, **values: Column) -> int:
+        """Put ``rows`` (by key: they replace or add), remove the keys of ``gone``, give the known ones of ``keys`` these ``values``; the new version.
 
         With ``base``, the version that the change was made from, a later version raises ConflictError; without it the change is
         made again on what another writer has committed meanwhile.
         """
-        key, rest = self.key, [f.name for f in self.schema if f.name != self.key]
-        new = self.spark.createDataFrame([], self.schema) if rows is None else rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
-        new = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*").select(*self.schema.names)
-        keys = new.select(key)
-        if gone is not None:
-            keys = keys.unionByName(gone.select(F.col(key).cast(self.schema[key].dataType))).filter(F.col(key).isNotNull())
-        touched = {str(r[0]) for r in keys.select(self._bucket()).distinct().collect()}  # at most the number of buckets
+        own = lambda f: F.col(f.name).cast(f.dataType).alias(f.name)
+        row = F.struct(*[own(f) for f in self.schema if f.name != self.key])
+        values = {c: v.cast(self.schema[c].dataType) for c, v in values.items()}
+        none = F.lit(None).cast(StructType([f for f in self.schema if f.name != self.key]))
+        given = [(rows, PUT, row), (gone, GONE, none), (keys, SET, none)]
+        made = [df.select(own(self.schema[self.key]), F.lit(kind).alias(KIND), r.alias("r")) for df, kind, r in given if df is not None]
+        changes = reduce(DataFrame.unionByName, made).filter(F.col(self.key).isNotNull()) if made else None
+        touched = {str(r[0]) for r in changes.select(self._bucket()).distinct().collect()} if made else set()  # at most the number of buckets
         while True:
             at = self.version() if base is None else base
             was = self.manifest(at)
             files = {b: f for b, f in was["files"].items() if b not in touched}
             if touched:
                 old = self._of_files(p for b, f in was["files"].items() if b in touched for p in f)
-                files |= self._write(old.join(keys, key, "left_anti").unionByName(new))
+                files |= self._write(self._merged(old, changes, values))
             try:
                 return self._commit(at, files, was["notes"] | (notes or {}))
             except ConflictError:

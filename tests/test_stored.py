@@ -143,3 +143,30 @@ def test_alerts_are_delivered_once(spark, tmp_path):
     assert sorted(sent) == [1, 2, 3] and {r.id for r in t.read().filter("alerted").collect()} == {1, 2, 3}
     text = out.read().filter("event_id = 1").first().message
     assert "Lễ hội 1\nĐịa điểm: Bến" in text and "5–6/10" in text
+
+
+def test_a_change_moves_the_rows_of_its_buckets_once(spark, tmp_path):
+    large = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as for large tables
+    before = {k: spark.conf.get(k) for k in large}
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        t, seen = StoredTable(spark, f"{tmp_path}/t", "id bigint, v string, alerted boolean", "id", 1), []
+        t.change(spark.range(2000).selectExpr("id", "cast(id as string) as v", "false as alerted"))
+        assert len(t.manifest()["files"]["0"]) > 1  # a bucket is not one task
+        write = t._write
+        t._write = lambda rows: seen.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or write(rows)
+        stored.mark_alerted(t, spark.range(0, 4000, 2).toDF("id"))
+        assert seen == [1]
+        assert sorted(map(tuple, t.read().collect())) == [(i, str(i), i % 2 == 0) for i in range(2000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_key_of_several_changes_is_changed_deleted_or_set_in_this_order(spark, tmp_path):
+    t = StoredTable(spark, f"{tmp_path}/t", "id bigint, v string, n int", "id", 2)
+    t.change(spark.createDataFrame([(i, "old", None) for i in range(5)], t.schema))
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "id bigint")
+    t.change(spark.createDataFrame([(0, "a", 1), (0, "b", None), (9, None, None), (None, "x", 1)], t.schema), ids(0, 1, None), keys=ids(0, 1, 2, 2, 7), v=F.lit("set"))
+    assert sorted(map(tuple, t.read().collect())) == [(0, "b", None), (2, "set", None), (3, "old", None), (4, "old", None), (9, None, None)]
