@@ -183,6 +183,23 @@ def test_pairs_equal_all_pairs(spark, seed, monkeypatch):
     assert sorted(found) == sorted(want) and len(want) > 50
 
 
+def test_names_are_compared_once_and_their_events_by_days(spark, monkeypatch):
+    """Lists and batches of a few, copies, repeated ids, spans that end before they start and none: all pairs, while names meet once."""
+    met, made = resolve._met, []
+    monkeypatch.setattr(resolve, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    monkeypatch.setattr(resolve, "LISTED", 7, raising=False)
+    monkeypatch.setattr(resolve, "FOUND", 50, raising=False)
+    rng, names = random.Random(8), ["Lễ hội Sen Lúa Tranh", "Hội chợ Sen Lúa Tranh", "Sen Lúa Nhạc Hoa Trái", "Nhạc Hoa", "Lễ hội"]
+    rows = []
+    for i in range(150):
+        start = d(rng.randrange(1, 29), rng.randrange(1, 13)) if rng.random() < 0.9 else None
+        rows.append(event(i % 148, rng.choice(names), rng.choice(["cantho", "camau"]), start=start, end=start and rng.choice([None, start + timedelta(rng.randrange(-6, 40))])))
+    brute, events = Brute(named_tokens(spark, rows)), dicts(rows)
+    want = [(*sorted((a["id"], b["id"])), len(brute.tokens[a["name"], a["province"]] & brute.tokens[b["name"], b["province"]])) for i, a in enumerate(events) for b in events[i + 1 :] if a["id"] != b["id"] and brute.same(a, b)]
+    assert sorted(tuple(r) for r in resolve.duplicate_pairs(frame(spark, *rows)).collect()) == sorted(want) and len(want) > 400
+    assert sum(m.count() for m in made) <= 2 * 5 * 5
+
+
 def test_stored_events_are_cleaned_before_they_are_compared(spark):
     rows = [
         event(1, "Chuẩn bị Lễ hội Trái cây Chợ Lách", start=d(5)), event(2, "Lễ hội Trái cây Chợ Lách", start=d(20), end=d(22), alerted=True), event(3, "Chuẩn bị Lễ hội Hoa Sen Tháp Mười", start=d(5), end=d(6)),
