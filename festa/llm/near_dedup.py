@@ -300,12 +300,14 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             yield batch.select(["node", "leader"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = sized(pairs.select("node", "leader"), 20_000)
-    tokens = _asked(tokens, pairs.select("node").distinct().unionByName(pairs.select(F.col("leader").alias("node")).distinct()))
-    some = F.broadcast if (tokens.agg(F.sum(F.length("tokens"))).first()[0] or 0) <= FEW_BYTES else (lambda df: df)
+    node, leader = (pairs.select(F.col(c).alias("node")) for c in ("node", "leader"))
+    few = (_asked(tokens, node.unionByName(leader)).agg(F.sum(F.length("tokens"))).first()[0] or 0) <= FEW_BYTES
+    # each side takes the words of its own nodes alone
+    mine, its = (F.broadcast(_asked(tokens, side)) if few else _asked(tokens, side) for side in (node, leader))
     # comparing costs far more than moving the pairs: over as many tasks as there are, some thousand pairs each
     pairs = pairs.repartition(max(1, min(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 2_000)))
-    leaders = tokens.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
-    return pairs.join(some(tokens), "node").join(some(leaders), "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
+    leaders = its.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
+    return pairs.join(mine, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
@@ -485,6 +487,12 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs if labels is None else _labelled(pairs, labels).filter("mine <> its").drop("mine", "its")
 
 
+def _meeting(members: DataFrame) -> DataFrame:
+    """The members (key, node, n) of buckets where texts meet; all move once, by key, and are counted where they are."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return sized(members.select("key", "node", "n", size.alias("size")).filter("size > 1").drop("size"), 200_000)
+
+
 def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataFrame:
     """doc_id, sha, n, class_id, class_size, kept (the class's row that stays) for every row."""
     # a row's number, fixed by the checkpoint, names it; a node has the number of its first row
@@ -492,10 +500,9 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "at")
     nodes = rows.groupBy("sequence").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = sized(nodes.withColumn("node", F.col("row.at")), 200_000)
-    of = lambda some, column: rows.select(F.col("at").alias("node"), column).join(some, "node")
-    members = of(nodes.select("node", "n"), "keys").select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    members = sized(members.join(crowded, "key"), 200_000)  # only buckets where texts meet
+    # nodes grow with the table: joined in the same way at every size
+    members = rows.select(F.col("at").alias("node"), "keys").join(nodes.select("node", "n").hint("merge"), "node").select("node", "n", F.explode("keys").alias("key"))  # a key tells its sketch too
+    members = _meeting(members)
     tokens = _asked(rows.select(F.col("at").alias("node"), "tokens"), members)
     everyone, labels = members, None
     link = lambda pairs: _relabelled(labels, sized(_verified(pairs, tokens, least), 200_000))

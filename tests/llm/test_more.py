@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from festa.llm import chat, licenses, merkle, mixing, packing, whitening
+from festa.llm import chat, licenses, merkle, mixing, near_dedup, packing, whitening
 from tests.llm.test_llm import SCHEMA, prose
 
 # 11: whitening
@@ -240,3 +240,19 @@ def test_roles_and_texts_that_hold_a_probe():
     text, spans, rewritten = chat.render(turns, chat.marked_turns)
     assert rewritten is None and chat.parse_marked(text) == turns
     assert [chat.unescape(text[a:b]) for _, _, _, a, b in spans] == [t for _, t in turns]
+
+
+def test_near_dedup_moves_keys_once_and_each_sides_own_words(spark, monkeypatch):
+    members = spark.createDataFrame([(1, 5, 9), (2, 5, 9), (2, 6, 9), (3, 7, 9)], "node bigint, key bigint, n int")
+    kept, moved = [], near_dedup.sized
+    monkeypatch.setattr(near_dedup, "sized", lambda df, rows: kept.append(df) or moved(df, rows))
+    assert sorted((r.key, r.node, r.n) for r in near_dedup._meeting(members).collect()) == [(5, 1, 9), (5, 2, 9)]
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    words_of = {i: np.array([*range(40), 100 + i], "<u4").tobytes() for i in range(6)} | {6: np.arange(500, 541).astype("<u4").tobytes()}
+    tokens = spark.createDataFrame(list(words_of.items()), "node bigint, tokens binary")
+    asked, ask = [], near_dedup._asked
+    monkeypatch.setattr(near_dedup, "_asked", lambda *a: asked.append(ask(*a)) or asked[-1])
+    monkeypatch.setattr(near_dedup, "FEW_BYTES", -1)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 7)], "node bigint, leader bigint")
+    assert sorted(tuple(r) for r in near_dedup._verified(pairs, tokens, 0.8).collect()) == [(i, 0) for i in range(1, 6)]
+    assert [df.count() for df in asked] == [7, 6, 1]
