@@ -8,9 +8,10 @@ run of five, so that a second family of sketches takes runs of three words (of t
 few runs are left); texts under ten words, which the threshold allows one edit, have themselves and themselves
 without each word as keys, which two texts one edit apart always share. Nodes that agree on a key meet in a bucket.
 Each member is first compared with the bucket's leader, the first in one of a few pseudo-random orders. Buckets that
-this leaves in several components are then gone through whole: members lie in chunks of one length band, chunks of
-near lengths meet, and every pair of two components is compared unless the counts of its words prove it too far apart.
-A bucket in which more than CROWDED members lie outside its largest component is split before: its texts share a
+this leaves in several components are then gone through whole, those of one leader as one group: its members' words
+move to where they meet, an index of words tells how many any two have in common, and every pair of two components is
+compared there unless that proves it too far apart. Pairs are never rows: a part of a group gives its links alone.
+A group in which more than CROWDED members lie outside its largest component is split before: its texts share a
 passage and little else. Similar texts have most of their words, and of their pairs of neighbours, in common, so that
 each must share one of its rarest in the group (``rarest``: prefix filter, exact): members meet under those, by words or
 by pairs, whichever lets fewer texts of a group meet; a group that neither parts better stays whole. The passage, being
@@ -33,6 +34,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, groupby, islice, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +68,14 @@ FEW_BYTES = 16 * 2**20
 LEADERS = 4
 #: Rounds of leaders; each takes up what the one before left over. What then is unlinked is compared pair by pair, so that more rounds only move work.
 ROUNDS = 1
-#: Members of a bucket in one chunk; chunks of a bucket that one task sets against all others; classes of words that are counted to tell texts apart.
-CHUNK, CHUNKS_PER_TASK, COUNTS = 64, 64, 128
-#: A bucket with more members outside its largest component is split by the rarest runs of so many words. Up to that size it costs a member
-#: less to have its word counts set against all others (about a millisecond) than to have its words sorted by how many texts have them.
-CROWDED, SPLIT_WORDS = 10_000, (1, 2)
+#: Members of a group that one task sets against all others, and their words; texts that are looked up in an index at once.
+PART, BLOCK = (1_024, 2**22), 64
+#: Classes of words that are counted to tell texts apart (``maybe_similar``; the search counts the words themselves).
+COUNTS = 128
+#: A group with more members outside its largest component is split by the rarest runs of so many words. Both ways are exact; up to about that
+#: size a member costs less looked up in an index of all others than with its words sorted by how many texts have them (26,408 members of 350
+#: words: 164 task seconds and 349 MB shuffled against 278 and 862).
+CROWDED, SPLIT_WORDS = 40_000, (1, 2)
 #: Runs of more texts of a group are frequent; they are few, and looked up without moving their rows.
 FREQUENT = 1_000
 #: Signs of scripts without spaces between words.
@@ -310,18 +316,6 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return pairs.join(mine, "node").join(leaders, "leader").select("node", "leader", "tokens", "leader_tokens").mapInArrow(run, "node bigint, leader bigint")
 
 
-def _counted(tokens: DataFrame) -> DataFrame:
-    """node, n, counts: how many of its words fall into each of COUNTS classes, 255 at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words_of = [np.frombuffer(x, "<u4") for x in batch.column("tokens").to_pylist()]
-            counts = [np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes() for x in words_of]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in words_of], pa.int32()), pa.array(counts, pa.binary())], ["node", "n", "counts"])
-
-    return tokens.mapInArrow(run, "node bigint, n int, counts binary")
-
-
 def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: int, least: float = SIMILARITY) -> np.ndarray:
     """Whether texts may be similar to another, by word counts: an edit changes their sum of differences by two at most."""
     longer = np.maximum(n, other_n)
@@ -333,11 +327,13 @@ def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n:
 
 
 def _standing(members: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
-    """key, node, label, bulk (of the bucket's largest component) and others (members outside it) of buckets in several components."""
-    told = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    most = of_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("of"), F.count(F.lit(1)).alias("labels"))
-    most = most.filter((F.col("labels") > 1) & (F.col("of") >= least_size)).select("key", F.col("most.label").alias("bulk_label"), (F.col("of") - F.col("most.size")).alias("others"))
+    """key, node, n, label, bulk (of the bucket's largest component), others (members outside it) and their words, of buckets in several components."""
+    told = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    total = (F.sum("size").alias("of"), F.sum("words").alias("of_words"), F.count(F.lit(1)).alias("labels"))
+    most = of_label.groupBy("key").agg(F.max(F.struct("size", "label", "words")).alias("most"), *total)
+    others = ((F.col("of") - F.col("most.size")).alias("others"), (F.col("of_words") - F.col("most.words")).alias("words"))
+    most = most.filter((F.col("labels") > 1) & (F.col("of") >= least_size)).select("key", F.col("most.label").alias("bulk_label"), *others)
     return told.join(most, "key").withColumn("bulk", F.col("label") == F.col("bulk_label")).drop("bulk_label")
 
 
@@ -390,52 +386,111 @@ def _split(groups: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return groups.join(chosen.filter("k = 0"), "key").select("key", "node").unionByName(by_run)
 
 
+def word_index(runs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The values in some texts' runs, and which texts have each: frequent values as rows of a table, others as lists of texts."""
+    values, owners = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    order = np.argsort(values, kind="stable")
+    values, first, size = np.unique(values[order], return_index=True, return_counts=True)
+    owners, frequent = owners[order], 4 * size > len(runs)
+    row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+    table, row_of = np.zeros((int(frequent.sum()), len(runs)), np.float32), np.repeat(row, size)
+    table[row_of[row_of >= 0], owners[row_of >= 0]] = 1
+    return values, first, size, owners, row, table
+
+
+def in_common(index: tuple[np.ndarray, ...], runs: list[np.ndarray]) -> np.ndarray:
+    """How many runs each of some texts (down) has in common with each text of the index (across)."""
+    values, first, size, owners, row, table = index
+    found, of = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+    hit = values[at] == found
+    at, of = at[hit], of[hit]
+    frequent = row[at] >= 0
+    has = np.zeros((len(runs), len(table)), np.float32)
+    has[of[frequent], row[at[frequent]]] = 1
+    out = (has @ table).astype(np.int64)
+    at, of = at[~frequent], of[~frequent]
+    many = size[at]
+    place = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return out + np.bincount(np.repeat(of, many) * out.shape[1] + owners[place], minlength=out.size).reshape(out.shape)
+
+
+def _links_of(key: int, members: Iterator[tuple], least: float) -> Iterator[tuple[int, int]]:
+    """Links (node, leader) between the texts of one part of a group, as few as join what is similar there.
+
+    A member is (side, node, label, keys of its groups, words). Those of side 0 come first; they meet each other, then each
+    of side 1. Pairs that have more words without a partner than they may have edits are told apart by an index, so that only
+    the others are aligned; a pair that meets in several groups is aligned in the first.
+    """
+    roots: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := roots.get(x, x)) != x:
+            roots[x] = x = roots.get(up, up)
+        return x
+
+    index = None
+    for side, these in groupby(members, itemgetter(0)):
+        while block := list(these if side == 0 else islice(these, BLOCK)):
+            words_of = [np.frombuffer(m[4], "<u4") for m in block]
+            runs = [kmers(w.astype(np.uint64), 1) for w in words_of]
+            n, labels = np.array([len(w) for w in words_of]), np.array([m[2] for m in block])
+            if side == 0:
+                index, its, its_words, its_n, its_labels = word_index(runs), block, words_of, n, labels
+            for i in range(0, len(block) if index else 0, BLOCK):
+                longer = np.maximum(n[i : i + BLOCK, None], its_n)
+                near = longer - in_common(index, runs[i : i + BLOCK]) <= np.floor((1 - least) * longer + 1e-9)
+                for x, y in np.argwhere(near & (labels[i : i + BLOCK, None] != its_labels)).tolist():
+                    a, b = block[i + x], its[y]
+                    mine, other = root(a[2]), root(b[2])
+                    if (side == 0 and a[1] <= b[1]) or mine == other or min(set(a[3]).intersection(b[3])) != key:
+                        continue
+                    if similar(words_of[i + x], its_words[y], least):
+                        roots[mine] = other
+                        yield max(a[1], b[1]), min(a[1], b[1])
+
+
+def _grouped(met: DataFrame, led: DataFrame) -> DataFrame:
+    """key, node, n: buckets of one leader are one group, for the same texts meet in many of them, unless that makes far more pairs than they have."""
+    of = met.join(led.select("key", "leader"), "key")
+    sizes = of.groupBy("leader").agg(F.count_distinct("node").cast("double").alias("nodes"), F.sum("others").alias("pairs"))
+    whole = F.col("nodes") * F.col("nodes") <= 4 * F.col("pairs")
+    return of.join(sizes, "leader").select(F.when(whole, F.col("leader")).otherwise(F.col("key")).alias("key"), "node", "n").distinct()
+
+
 def _unlinked(members: DataFrame, led: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """The pairs (node, leader) of each bucket whose labels differ and which word counts do not tell apart; crowded buckets are split first."""
+    """Links (node, leader) between members of a bucket whose labels differ, after every such pair was compared or told apart; crowded groups are split first."""
     met = sized(_standing(members, labels, 3), 200_000)  # two members have met as leader and member
-    few = met.filter(F.col("others") <= CROWDED)
-    # crowded buckets of one leader are one group: the same texts meet in many of them
-    crowded = met.filter(F.col("others") > CROWDED).select("key", "node").join(led.select("key", "leader"), "key")
-    crowded = sized(crowded.select(F.col("leader").alias("key"), "node").distinct(), 200_000)
+    met = sized(_standing(_grouped(met, led), labels, 2), 200_000)
+    crowded = met.filter(F.col("others") > CROWDED)
     if crowded.limit(1).count():
-        few = few.unionByName(_standing(_split(sized(_standing(crowded, labels, 2), 200_000), tokens, least), labels, 2))
-    open_ = few.drop("others")
-    open_ = sized(open_, 200_000)
-    counted = _counted(_asked(tokens, open_))
-    # texts whose lengths differ by more than the threshold lets lie two bands apart or more
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-np.log(least)) + 1e-9).cast("int")
-    open_ = open_.join(counted, "node").withColumn("band", band)
-    dealt = open_.groupBy("key", "bulk", "band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    spread = dealt.groupBy("key").agg(F.ceil(F.sum("chunks") / CHUNKS_PER_TASK).cast("int").alias("salts"))
-    dealt = dealt.join(spread, "key")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    member = F.struct("node", "label", "n", "counts")
-    chunks = open_.join(dealt, ["key", "bulk", "band"]).groupBy("key", "bulk", "band", chunk.alias("chunk")).agg(F.first("salts").alias("salts"), F.collect_list(member).alias("members"))
-    chunks = sized(chunks, 5_000)
-    side = F.struct("bulk", "band", "chunk")
-    # a bucket of many chunks is dealt to several tasks by its left side
-    left = chunks.select("key", F.pmod(F.xxhash64("bulk", "band", "chunk"), F.col("salts")).cast("int").alias("salt"), side.alias("a"), F.col("members").alias("a_members"))
-    right = chunks.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), side.alias("b"), F.col("members").alias("b_members"))
-    meet = (F.col("a") <= F.col("b")) & ~(F.col("a.bulk") & F.col("b.bulk")) & (F.abs(F.col("a.band") - F.col("b.band")) <= 1)
+        split = _split(crowded.select("key", "node", "bulk", "others"), tokens, least).join(crowded.select("node", "n").distinct(), "node")
+        met = sized(met.filter(F.col("others") <= CROWDED).unionByName(_standing(split, labels, 2)), 200_000)
+    # members outside the largest component are dealt to the parts of their group; they meet each other there, and those of half the other parts; its own members meet all
+    parts = F.ceil(F.greatest(F.col("others") / PART[0], F.col("words") / PART[1])).cast("int")
+    met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def meets(part: Column) -> Column:
+        ahead = F.pmod(F.col("own") - part, F.col("parts"))
+        return F.col("bulk") | (2 * ahead < F.col("parts")) | ((2 * ahead == F.col("parts")) & (part < F.col("own")))
+
+    part = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), meets))
+    side = F.when(F.col("bulk") | (F.col("own") != F.col("part")), 1).otherwise(0)
+    dealt = met.select("key", "node", "label", "bulk", "own", part.alias("part")).select("key", "part", side.alias("side"), "node", "label")
+    keys = met.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    texts = _asked(tokens, met).join(keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(members: pa.StructArray) -> tuple:
-            counts = np.frombuffer(b"".join(members.field("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
-            return *(members.field(f).to_numpy(zero_copy_only=False) for f in ("node", "label", "n")), counts
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "part", "side", "node", "label", "keys", "tokens")), strict=True)
 
-        for batch in batches:
-            nodes, leaders = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i in range(len(batch)):
-                node, label, n, counts = parts(batch.column("a_members")[i].values)
-                its_node, its_label, its_n, its_counts = parts(batch.column("b_members")[i].values)
-                for j in range(len(its_node)):
-                    other = np.flatnonzero(label != its_label[j])
-                    found = node[other[maybe_similar(counts[other], n[other], its_counts[j], its_n[j], least)]]
-                    nodes.append(np.maximum(found, its_node[j]))
-                    leaders.append(np.minimum(found, its_node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(leaders))], ["node", "leader"])
+        links = chain.from_iterable(_links_of(key, (m[2:] for m in its), least) for (key, _), its in groupby(rows(), itemgetter(0, 1)))
+        while some := list(islice(links, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["node", "leader"])
 
-    return left.join(right, ["key", "salt"]).filter(meet).select("a_members", "b_members").mapInArrow(run, "node bigint, leader bigint").distinct()
+    moved = dealt.join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return moved.select("key", "part", "side", "node", "label", "keys", "tokens").mapInArrow(run, "node bigint, leader bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -521,7 +576,7 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
         labels = link(_apart(agreed, labels))
         if turn + 1 < rounds:
             members = _apart(pairs, labels).select("key", "node", "n")
-    labels = link(_unlinked(everyone, led, labels, tokens, least))
+    labels = _relabelled(labels, sized(_unlinked(everyone, led, labels, tokens, least), 200_000))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))

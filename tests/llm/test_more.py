@@ -256,3 +256,37 @@ def test_near_dedup_moves_keys_once_and_each_sides_own_words(spark, monkeypatch)
     pairs = spark.createDataFrame([(i, 0) for i in range(1, 7)], "node bigint, leader bigint")
     assert sorted(tuple(r) for r in near_dedup._verified(pairs, tokens, 0.8).collect()) == [(i, 0) for i in range(1, 6)]
     assert [df.count() for df in asked] == [7, 6, 1]
+
+
+def test_a_group_gives_links_and_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", (16, 2**22), raising=False)
+    rng = np.random.default_rng(51)
+    vocab, shared = rng.integers(0, 2**32, 60), rng.integers(0, 2**32, 120)
+    texts = [np.concatenate((shared, rng.choice(vocab, rng.integers(36, 45)))).astype("<u4") for _ in range(70)]
+    texts += [np.concatenate((t[:150], rng.integers(0, 2**32, 6))).astype("<u4") for t in texts[:20]]
+    same = {(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similar(texts[i], texts[j])}
+    tokens = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "node bigint, tokens binary")
+    # the same texts meet under two keys of different leaders
+    members = spark.createDataFrame([(k, i, len(t)) for k in (7, 8) for i, t in enumerate(texts)], "key bigint, node bigint, n int")
+    led = spark.createDataFrame([(7, 1), (8, 2)], "key bigint, leader bigint")
+    known = [(i, 0) for i in (0, 3, 5, 6, 9)]
+    labels = spark.createDataFrame(known, "node bigint, label bigint")
+    found = [tuple(r) for r in near_dedup._unlinked(members, led, labels, tokens, 0.8).collect()]
+    assert set(found) <= same and len(found) < len(texts)
+
+    def classes(links):
+        of = list(range(len(texts)))
+        for a, b in links:
+            of = [of[b] if x == of[a] else x for x in of]
+        return [of.index(x) for x in of]
+
+    assert classes([*found, *known]) == classes([*same, *known])
+
+
+def test_an_index_counts_the_words_in_common():
+    rng = np.random.default_rng(52)
+    texts = [rng.integers(0, 30, rng.integers(1, 60)).astype(np.uint64) for _ in range(50)]
+    runs = [near_dedup.kmers(t, 1) for t in texts]
+    for size in (1, 3, 40):
+        got = near_dedup.in_common(near_dedup.word_index(runs[:size]), runs)
+        assert got.tolist() == [[near_dedup._common(t, o) for o in texts[:size]] for t in texts]
