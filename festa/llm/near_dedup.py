@@ -327,8 +327,8 @@ def maybe_similar(counts: np.ndarray, n: np.ndarray, other: np.ndarray, other_n:
 
 
 def _standing(members: DataFrame, labels: DataFrame, least_size: int) -> DataFrame:
-    """key, node, n, label, bulk (of the bucket's largest component), others (members outside it) and their words, of buckets in several components."""
-    told = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """The members (key, node, n, …) with label, bulk (of the bucket's largest component), others (members outside it) and their words, of buckets in several components."""
+    told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
     total = (F.sum("size").alias("of"), F.sum("words").alias("of_words"), F.count(F.lit(1)).alias("labels"))
     most = of_label.groupBy("key").agg(F.max(F.struct("size", "label", "words")).alias("most"), *total)
@@ -450,18 +450,17 @@ def _links_of(key: int, members: Iterator[tuple], least: float) -> Iterator[tupl
                         yield max(a[1], b[1]), min(a[1], b[1])
 
 
-def _grouped(met: DataFrame, led: DataFrame) -> DataFrame:
+def _grouped(met: DataFrame) -> DataFrame:
     """key, node, n: buckets of one leader are one group, for the same texts meet in many of them, unless that makes far more pairs than they have."""
-    of = met.join(led.select("key", "leader"), "key")
-    sizes = of.groupBy("leader").agg(F.count_distinct("node").cast("double").alias("nodes"), F.sum("others").alias("pairs"))
+    sizes = met.groupBy("leader").agg(F.count_distinct("node").cast("double").alias("nodes"), F.sum("others").alias("pairs"))
     whole = F.col("nodes") * F.col("nodes") <= 4 * F.col("pairs")
-    return of.join(sizes, "leader").select(F.when(whole, F.col("leader")).otherwise(F.col("key")).alias("key"), "node", "n").distinct()
+    return met.join(sizes, "leader").select(F.when(whole, F.col("leader")).otherwise(F.col("key")).alias("key"), "node", "n").distinct()
 
 
-def _unlinked(members: DataFrame, led: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+def _unlinked(members: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """Links (node, leader) between members of a bucket whose labels differ, after every such pair was compared or told apart; crowded groups are split first."""
     met = sized(_standing(members, labels, 3), 200_000)  # two members have met as leader and member
-    met = sized(_standing(_grouped(met, led), labels, 2), 200_000)
+    met = sized(_standing(_grouped(met), labels, 2), 200_000)
     crowded = met.filter(F.col("others") > CROWDED)
     if crowded.limit(1).count():
         split = _split(crowded.select("key", "node", "bulk", "others"), tokens, least).join(crowded.select("node", "n").distinct(), "node")
@@ -542,10 +541,15 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs if labels is None else _labelled(pairs, labels).filter("mine <> its").drop("mine", "its")
 
 
-def _meeting(members: DataFrame) -> DataFrame:
-    """The members (key, node, n) of buckets where texts meet; all move once, by key, and are counted where they are."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return sized(members.select("key", "node", "n", size.alias("size")).filter("size > 1").drop("size"), 200_000)
+def _meeting(members: DataFrame, turn: int = 0) -> DataFrame:
+    """The members (key, node, n, leader, leader_n) of buckets where texts meet; all move once, by key, are counted where they are and meet their leader."""
+    # dealt before the window, so that what it takes the least of is made where it is used and not moved
+    members, bucket = members.select("key", "node", "n").repartition("key"), Window.partitionBy("key")
+    # few orders in all: the buckets of one class then mostly have the same leaders, and few pairs to compare
+    order = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
+    first = F.min(F.struct(order.alias("h"), "node", "n")).over(bucket)
+    met = members.select("key", "node", "n", F.count(F.lit(1)).over(bucket).alias("size"), first.alias("first")).filter("size > 1")
+    return sized(met.select("key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n")), 200_000)
 
 
 def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataFrame:
@@ -562,12 +566,8 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
     everyone, labels = members, None
     link = lambda pairs: _relabelled(labels, sized(_verified(pairs, tokens, least), 200_000))
     for turn in range(rounds):
-        # few orders in all: the buckets of one class then mostly have the same leaders, and few pairs to compare
-        order = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
-        first = F.min(F.struct(order.alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n")))
-        led = members.groupBy("key").agg(first.alias("l")).select("key", "l.leader", "l.leader_n")
         # what is neither the leader nor linked to it; the next round's leaders are chosen among these
-        pairs = sized(_apart(members.join(led, "key").filter("node <> leader"), labels), 200_000)
+        pairs = _apart(members.filter("node <> leader"), labels)
         near = pairs.filter(F.least("n", "leader_n") >= F.lit(least) * F.greatest("n", "leader_n") - 1e-9)
         agreed = sized(near.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")), 20_000)
         # first each node's most agreeing leader, then one pair of any two classes that these links leave apart, then the rest
@@ -575,8 +575,8 @@ def _classed(docs: DataFrame, least: float, sketches: int, rounds: int) -> DataF
         labels = link(_foremost(sized(_labelled(agreed, labels).filter("mine <> its"), 20_000), F.least("mine", "its"), F.greatest("mine", "its")))
         labels = link(_apart(agreed, labels))
         if turn + 1 < rounds:
-            members = _apart(pairs, labels).select("key", "node", "n")
-    labels = _relabelled(labels, sized(_unlinked(everyone, led, labels, tokens, least), 200_000))
+            members = _meeting(_apart(pairs, labels), turn + 1)
+    labels = _relabelled(labels, sized(_unlinked(everyone.drop("leader_n"), labels, tokens, least), 200_000))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.select("sequence", F.col("label").alias("class"), "row", "copies")
     told = named.groupBy("class").agg(F.min("row").alias("kept"), F.sum("copies").alias("class_size"))

@@ -267,11 +267,10 @@ def test_a_group_gives_links_and_no_pairs(spark, monkeypatch):
     same = {(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similar(texts[i], texts[j])}
     tokens = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "node bigint, tokens binary")
     # the same texts meet under two keys of different leaders
-    members = spark.createDataFrame([(k, i, len(t)) for k in (7, 8) for i, t in enumerate(texts)], "key bigint, node bigint, n int")
-    led = spark.createDataFrame([(7, 1), (8, 2)], "key bigint, leader bigint")
+    members = spark.createDataFrame([(k, i, len(t), k - 6) for k in (7, 8) for i, t in enumerate(texts)], "key bigint, node bigint, n int, leader bigint")
     known = [(i, 0) for i in (0, 3, 5, 6, 9)]
     labels = spark.createDataFrame(known, "node bigint, label bigint")
-    found = [tuple(r) for r in near_dedup._unlinked(members, led, labels, tokens, 0.8).collect()]
+    found = [tuple(r) for r in near_dedup._unlinked(members, labels, tokens, 0.8).collect()]
     assert set(found) <= same and len(found) < len(texts)
 
     def classes(links):
