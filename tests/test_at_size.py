@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from datetime import date, timedelta
 
+import pyarrow as pa
 import pytest
 
 from festa.functions.text import one_of
@@ -35,6 +36,21 @@ def test_one_pattern_of_common_beginnings_finds_the_longest_word(seed):
     assert bool(re.search(f" {one_of(words)}", text)) == bool(re.search(f" (?:{listed})", text))
 
 
+@pytest.mark.parametrize("found", [1, 4, 7, 1_000])
+def test_pairs_of_lists_are_made_in_parts_of_any_size(monkeypatch, found):
+    """The last event may make more pairs than a part takes, the first ones or all may make none, and a batch may be empty."""
+    monkeypatch.setattr(resolve, "FOUND", found)
+    monkeypatch.setattr(resolve, "HELD_EVENTS", 10, raising=False)
+    r = random.Random(found)
+    schema = pa.schema([("shared", pa.int64()), ("same", pa.bool_()), ("loose", pa.bool_()), *[(c, pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int32()), ("last", pa.int32())]))) for c in "ab"]])
+    for far in (0, 500):
+        event = lambda i, day: {"id": i, "start": day, "last": day + i % 3}
+        rows = [{"shared": k, "same": False, "loose": True, "a": [event(100 * k + i, r.randrange(20)) for i in range(r.randrange(1, 9))], "b": [event(100 * k + 50 + i, far + r.randrange(20)) for i in range(9)]} for k in range(12)]
+        want = sorted((a["id"], b["id"], x["shared"]) for x in rows for a in x["a"] for b in x["b"] if max(a["start"], b["start"]) - min(a["last"], b["last"]) <= 3)
+        batches = [pa.RecordBatch.from_pylist(rows, schema=schema), pa.RecordBatch.from_pylist([], schema=schema)]
+        assert sorted(tuple(p.values()) for b in resolve._near(iter(batches)) for p in b.to_pylist()) == want and bool(want) == (far == 0)
+
+
 def test_rows_of_a_join_are_dealt_into_parts_of_bounded_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(views, "PART_ROWS", 100)
     spark.range(2000).selectExpr("id as o_orderkey", "id % 50 as o_custkey", "'O' as o_orderstatus", "1e5D as o_totalprice", "timestamp '1996-06-01' as o_orderdate", "'1' as o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
