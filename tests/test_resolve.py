@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from festa import shared
 from festa.functions.text import canonical_name
 from festa.operators import components, resolve
 from tests.test_engine import d, event, frame
@@ -159,6 +160,23 @@ def test_roots_are_joined_where_events_come_within_reach(spark):
     check(spark, resolve.fold(frame(spark, *rows)), brute)
 
 
+def test_a_fold_compares_names_and_goes_through_reports_once(spark, monkeypatch):
+    """One chain of many reports over all days: names meet, reports do not, and the jobs do not grow with the chain."""
+    met, made = resolve._met, []
+    monkeypatch.setattr(resolve, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    writes, written = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df: writes.append(1) or written(df))
+    rng, names = random.Random(4), ["Lễ hội Sen Lúa Tranh", "Hội chợ Sen Lúa Tranh", "Sen Lúa Nhạc Hoa Trái mở rộng toàn vùng sông nước", "Nhạc Hoa Trái", "Lễ hội Sen"]
+    rows = []
+    for i in range(1, 400):
+        start = d(rng.randrange(1, 29), rng.randrange(1, 13)) if rng.random() < 0.95 else None
+        rows.append(event(i, rng.choice(names), "cantho", start=start, end=start and rng.choice([None, start + timedelta(rng.randrange(-6, 9))]), crowd=i % 7))
+    brute = Brute(named_tokens(spark, rows))
+    brute.fold(dicts(rows))
+    check(spark, resolve.fold(frame(spark, *rows), block=20), brute)
+    assert made and sum(m.count() for m in made) <= 5 * 5 and len(writes) < 30
+
+
 @pytest.mark.parametrize("shape", ["path", "random", "none"])
 def test_connected_components(spark, shape):
     rng = random.Random(2)
