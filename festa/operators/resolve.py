@@ -285,12 +285,19 @@ def _whole(rows: DataFrame) -> DataFrame:
 
 
 def cleaned(events: DataFrame) -> DataFrame:
-    """Stored events before they are compared: names as rules would give them now, no date from a title of preparations on one day."""
-    one_day = F.coalesce(F.col("end_date"), F.col("start_date")) == F.col("start_date")
-    drop = F.coalesce(is_preparing(F.col("name")) & one_day, F.lit(False))
+    """Stored events before they are compared: names as rules would give them now, no date from a title of preparations on one day.
+
+    Events of one name and summary are read by the rules once.
+    """
+    told = stored(events.select("name", "summary").distinct())
+    told = told.repartition(max(told.sparkSession.sparkContext.defaultParallelism, -(-told.count() // PART_ROWS)))
     named = F.coalesce(F.nullif(event_name_of(F.col("name"), F.col("summary")), F.lit("")), F.col("name"))
+    told = stored(told.select(F.col("name").alias("__name"), F.col("summary").alias("__summary"), canonical_name(named).alias("__called"), is_preparing(F.col("name")).alias("__prepares")))
+    rows = events.join(told, F.col("name").eqNullSafe(F.col("__name")) & F.col("summary").eqNullSafe(F.col("__summary")))
+    one_day = F.coalesce(F.col("end_date"), F.col("start_date")) == F.col("start_date")
+    drop = F.coalesce(F.col("__prepares") & one_day, F.lit(False))
     dates = {c: F.when(~drop, F.col(c)) for c in ("start_date", "end_date")}
-    return events.withColumns({**dates, "name": canonical_name(named)})
+    return rows.withColumns({**dates, "name": F.col("__called")}).select(*events.columns)
 
 
 def _agree(shared: int, a: int, b: int, share: float) -> bool:

@@ -228,3 +228,16 @@ def test_stored_events_are_cleaned_before_they_are_compared(spark):
     assert (got[1].name, got[1].start_date, got[1].end_date, got[1].alerted) == ("Lễ hội Trái cây Chợ Lách", d(20), d(22), True)
     assert (got[3].start_date, got[3].end_date) == (d(5), d(6)) and not got[3].name.startswith("Chuẩn bị")
     assert spark.range(1).select(canonical_name(F.lit(got[3].name))).first()[0] == got[3].name
+
+
+def test_stored_names_are_read_by_the_rules_once(spark, monkeypatch):
+    """Copies of a name and summary, nulls among them, are one row for the rules; every event keeps its own days."""
+    seen = []
+    monkeypatch.setattr(resolve.shared, "stored", lambda df, stored=resolve.shared.stored: seen.append(stored(df)) or seen[-1])
+    rows = [event(i, [None, "Chuẩn bị Lễ hội Hoa Sen Tháp Mười", "Hội chợ Gạo 2026"][i % 3], start=d(1 + i % 28), end=d(1 + i % 28 + i % 2)) for i in range(60)]
+    got = {r.id: r for r in resolve.cleaned(frame(spark, *rows)).collect()}
+    assert len(got) == 60
+    for i, r in got.items():
+        assert r.name == ["", "Lễ hội Hoa Sen Tháp Mười", "Hội chợ Gạo 2026"][i % 3]
+        assert (r.start_date is None) == (i % 3 == 1 and i % 2 == 0) and (r.end_date is None) == (r.start_date is None)
+    assert seen and max(s.count() for s in seen) == 3
