@@ -8,6 +8,7 @@ from datetime import date, timedelta
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from festa.functions.text import one_of
 from festa.operators import components, resolve
@@ -97,3 +98,12 @@ def test_a_task_has_few_feed_documents(spark, tmp_path, monkeypatch, name):
     queries.QUERIES["searched_items" if name == "search_items" else "auto_source_items"](spark, str(tmp_path))
     sizes = [len(part) for part in seen[0].select("source_id").rdd.glom().collect()]
     assert len(sizes) == 40 and sum(sizes) == (313 if name == "search_items" else 625) and max(sizes) < 40
+
+
+def test_words_of_names_are_told_over_all_cores(spark, monkeypatch):
+    """However few bytes the names take, which Spark would leave in one part."""
+    seen = []
+    monkeypatch.setattr(resolve, "tokens", lambda name, province: seen.append(1) or F.array(F.spark_partition_id().cast("string")))
+    rows = spark.range(400).selectExpr("id", "'cantho' as province", "'Lễ hội Sen ' || id % 200 as name")
+    called, _ = resolve._names(rows)
+    assert seen and called.count() == 200 and called.select("tokens").distinct().count() == spark.sparkContext.defaultParallelism
